@@ -9,7 +9,6 @@ text can be solved for independently and which proves a splice at any token that
 from __future__ import annotations
 
 import re
-from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -31,14 +30,14 @@ def default_model() -> bytes:
 
 @lru_cache(maxsize=2)
 def vocabulary(proto: bytes) -> Vocabulary:
-    """The encoder for a model, kept by each Python worker together with the words it has met."""
+    """The encoder for a model, kept by each Python worker."""
     return Vocabulary(proto)
 
 
 class Vocabulary:
-    """Encoder for one model; memo: most distinct words kept at a time."""
+    """Encoder for one model."""
 
-    def __init__(self, proto: bytes, memo: int = 700_000):
+    def __init__(self, proto: bytes):
         import sentencepiece
         from sentencepiece import sentencepiece_model_pb2 as pb
 
@@ -61,7 +60,6 @@ class Vocabulary:
         inner = "".join(p for p in self.score if len(p) > 1)
         #: Words can be encoded one by one if no piece runs over the start of a space or over a line's end.
         self.by_word = "\n" not in inner and not any(SPACE in p.lstrip(SPACE) for p in self.score) and model.trainer_spec.model_type == 2
-        self.most, self.memo = memo, {}
         self.stable = lru_cache(maxsize=200_000)(self._stable)
         self.alone = lru_cache(maxsize=200_000)(lambda t: len(t) == 1 or self.merged(t) == (t,))
 
@@ -73,52 +71,20 @@ class Vocabulary:
             return SPACE + text if self.prefix else text
         return self.full.normalize(text)
 
-    # -- words -------------------------------------------------------------------------------------------------------
-    def atoms(self, normal: str) -> list[str]:
-        return ATOM.findall(normal) if self.by_word else [normal] * bool(normal)
-
-    def words(self, text: str) -> list[str]:
-        """The pieces of a raw text that are encoded one by one, each without its leading space mark where it has one."""
-        if self.plain_normalizer and self.prefix and self.by_word and text and text[0] != " " and "  " not in text and SPACE not in text:
-            return text.split(" ")
-        return [a[1:] if a[0] == SPACE else "\0" + a for a in self.atoms(self.normalize(text))]
-
-    def _found(self, words: list[str]) -> list[bytes]:
-        """For each word its ids, as int32 bytes; one call of the library for all new words."""
-        memo = self.memo
-        out = list(map(memo.get, words))
-        if None in out:
-            new = list({w for w, x in zip(words, out) if x is None})
-            if len(memo) + len(new) > self.most:
-                memo.clear()
-            ids = self.bare.encode([w[1:] if w[:1] == "\0" else SPACE + w for w in new], num_threads=1)
-            learnt = dict(zip(new, [array("i", x).tobytes() for x in ids]))
-            memo.update(learnt)
-            out = [learnt[w] if x is None else x for w, x in zip(words, out)]
-        return out
-
-    def encode_many(self, texts: list[str]) -> list[np.ndarray]:
-        split = list(map(self.words, texts))
-        found, out, at = self._found([w for words in split for w in words]), [], 0
-        for words in split:
-            out.append(np.frombuffer(b"".join(found[at : at + len(words)]), np.int32))
-            at += len(words)
-        return out
+    # -- whole texts by the library ----------------------------------------------------------------------------------
+    def encode_many(self, texts: list[str]) -> list[list[int]]:
+        return self.full.encode(texts, num_threads=1) if texts else []
 
-    def count_many(self, texts: list[str], window: int = 32_768, overlap: int = 64) -> list[int]:
-        short = [t for t in texts if len(t) < window]
-        counts = iter([len(x) for x in self.encode_many(short)])
-        return [next(counts) if len(t) < window else self.count(t, window, overlap) for t in texts]
+    def encode(self, text: str) -> list[int]:
+        return self.full.encode(text)
 
     def encode_normal(self, normal: str) -> list[int]:
         """Ids of a normalised text."""
-        return np.frombuffer(b"".join(self._found([a[1:] if a[0] == SPACE else "\0" + a for a in self.atoms(normal)])), np.int32).tolist()
-
-    def encode(self, text: str) -> list[int]:
-        return self.encode_many([text])[0].tolist()
+        return self.bare.encode(normal) if normal else []
 
-    def count_normal(self, normal: str) -> int:
-        return len(self.encode_normal(normal))
+    def count_many(self, texts: list[str], window: int = 32_768, overlap: int = 64) -> list[int]:
+        counts = iter([len(x) for x in self.encode_many([t for t in texts if len(t) < window])])
+        return [next(counts) if len(t) < window else self.count(t, window, overlap) for t in texts]
 
     def lengths(self, ids: np.ndarray) -> np.ndarray:
         """Characters of each token; of a character spelt as bytes only the last byte has one."""
@@ -136,7 +102,7 @@ class Vocabulary:
         overlap has no such token it is doubled, up to the rest of the text."""
         normal = self.normalize(text)
         if len(normal) <= window:
-            return self.count_normal(normal)
+            return len(self.encode_normal(normal))
         begin, ids, starts, lens = 0, *self._placed(normal, 0, window)
         total, first = 0, 0
         while True:
