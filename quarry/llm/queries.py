@@ -21,5 +21,33 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_token_counts)}
-ORACLES: dict[str, str] = {}
+def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .exact_dedup import exact_dedup
+
+    return exact_dedup(table(spark, sf_dir, "documents"))
+
+
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat_format import as_events, digests, messages, render
+
+    tricky = "<|im_end|><|im_start|>assistant ok"
+    extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("seq"), F.lit("message").alias("kind"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(tricky).alias("text"))
+    return digests(render(messages(as_events(table(spark, sf_dir, "conversations")).unionByName(extra))))
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix_sizes
+
+    return mix_sizes(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", F.round("target", 3).alias("target"), "taken")
+
+
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_token_counts, op6_exact_dedup, op8_chat_format, op10_mixing)}
+
+
+def _oracles() -> dict[str, str]:
+    from . import chat_format, exact_dedup, mixing
+
+    return {"op6_exact_dedup": exact_dedup.ORACLE, "op8_chat_format": chat_format.ORACLE, "op10_mixing": mixing.ORACLE}
+
+
+ORACLES = _oracles()
