@@ -27,6 +27,12 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard_join import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .chat_format import as_events, digests, messages, render
 
@@ -41,7 +47,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sizes(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", F.round("target", 3).alias("target"), "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_token_counts, op6_exact_dedup, op8_chat_format, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_token_counts, op6_exact_dedup, op7_jaccard_join, op8_chat_format, op10_mixing)}
 
 
 def _oracles() -> dict[str, str]:
