@@ -21,6 +21,12 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import classify
+
+    return classify(table(spark, sf_dir, "documents")).select("doc_id", "quality", "accepted")
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import exact_dedup
 
@@ -41,13 +47,19 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(render(messages(as_events(table(spark, sf_dir, "conversations")).unionByName(extra))))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix_sizes
 
     return mix_sizes(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", F.round("target", 3).alias("target"), "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_token_counts, op6_exact_dedup, op7_jaccard_join, op8_chat_format, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_token_counts, op3_quality, op6_exact_dedup, op7_jaccard_join, op8_chat_format, op9_toxicity, op10_mixing)}
 
 
 def _oracles() -> dict[str, str]:
