@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import dropped, stored
 from .components import components
 
 WORDS = 5
@@ -20,7 +20,7 @@ PERCENT = 80
 #: Counters of shingles; a shingle in a counter far above the mean is taken last when prefixes are chosen.
 COUNTERS = 1 << 18
 #: Bits of a text's signature, parts of a very frequent shingle's rows, rows of a block, rows of a leaf.
-BITS, PARTS, BLOCK, LEAF = 512, 64, 2048, 16
+BITS, PARTS, BLOCK, LEAF = 2048, 64, 2048, 16
 SLICE = 64
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -62,10 +62,10 @@ def prefix(tokens: np.ndarray, rare: np.ndarray, percent: int = PERCENT) -> tupl
     return tokens[order], often[order]
 
 
-def signature(tokens: np.ndarray, bits: int = BITS) -> bytes:
+def signature(tokens: np.ndarray, bits: int = BITS) -> np.ndarray:
     flags = np.zeros(bits, np.uint8)
     flags[((tokens >> np.uint64(20)) % np.uint64(bits)).astype(np.int64)] = 1
-    return np.packbits(flags).tobytes()
+    return np.packbits(flags).view(np.int64)
 
 
 # -- signature trees ---------------------------------------------------------------------------------------------------------
@@ -123,7 +123,7 @@ def dual(x: Tree, y: Tree, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarr
 
 
 def _tree(g: pd.DataFrame, codes: dict) -> Tree:
-    bits = np.frombuffer(b"".join(g["bits"]), np.uint64).reshape(len(g), -1)
+    bits = np.stack(g["bits"].to_list()).view(np.uint64)
     return Tree(g["n"].to_numpy(np.int64), bits, np.array([codes.setdefault(c, len(codes)) for c in g["comp"]], np.int64))
 
 
@@ -151,20 +151,20 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def _profile(docs: DataFrame, n_words: int) -> DataFrame:
-    """doc_id, n, node (digest of the shingle set) of each text, and from each task a row with its shingle counters."""
+    """doc_id, n, node (digest of the shingle set), bits (its signature) of each text, and from each task a row with its shingle counters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(COUNTERS, np.int64)
-        names = ["doc_id", "n", "node", "counts"]
+        names = ["doc_id", "n", "node", "bits", "counts"]
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
                 sets = [shingles(t, n_words) for t in part.column(1).to_pylist()]
                 counts += np.bincount((np.concatenate(sets) & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) for s in sets], pa.binary()), pa.nulls(len(sets), pa.list_(pa.int64()))], names)
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([counts.tolist()], pa.list_(pa.int64()))], names)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) for s in sets], pa.binary()), pa.array([signature(s) for s in sets], pa.list_(pa.int64())), pa.nulls(len(sets), pa.list_(pa.int64()))], names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.list_(pa.int64())), pa.array([counts.tolist()], pa.list_(pa.int64()))], names)
 
-    return _texts(docs).mapInArrow(run, "doc_id long, n long, node binary, counts array<long>")
+    return _texts(docs).mapInArrow(run, "doc_id long, n long, node binary, bits array<long>, counts array<long>")
 
 
 def _rare(profile: DataFrame) -> np.ndarray:
@@ -199,7 +199,7 @@ def _postings(docs: DataFrame, rare: np.ndarray, n_words: int, percent: int) ->
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, n_words: int) -> DataFrame:
-    """node, tokens, bits of the given digests."""
+    """node, tokens of the given digests."""
     # those of other texts are mostly not built: a bitmap of fixed size (2 MB) has the first three bytes of the digests
     spot = F.conv(F.hex(F.substring("node", 1, 3)), 16, 10).cast("long") + 1
     parts = nodes.select(spot.alias("at")).groupBy(F.expr("bitmap_bucket_number(at)").alias("k")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(at))").alias("bits")).collect()
@@ -219,11 +219,21 @@ def _sets(docs: DataFrame, nodes: DataFrame, n_words: int) -> DataFrame:
                     at_bit = int.from_bytes(node[:3], "big")
                     if len(tokens) and node not in seen and known[at_bit >> 3] >> (at_bit & 7) & 1:
                         seen.add(node)
-                        out.append({"node": node, "tokens": tokens.view(np.int64), "bits": signature(tokens)})
+                        out.append({"node": node, "tokens": tokens.view(np.int64)})
                 if out:
-                    yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("node", pa.binary()), ("tokens", pa.list_(pa.int64())), ("bits", pa.binary())]))
+                    yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("node", pa.binary()), ("tokens", pa.list_(pa.int64()))]))
 
-    return _texts(docs).mapInArrow(run, "node binary, tokens array<long>, bits binary").join(nodes, "node", "left_semi").dropDuplicates(["node"])
+    return _texts(docs).mapInArrow(run, "node binary, tokens array<long>").join(nodes, "node", "left_semi").dropDuplicates(["node"])
+
+
+def _bounded(pairs: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
+    """The pairs that sizes and signatures allow to link: as _possible, for leaves."""
+    one = signs.select(F.col("node").alias("a"), F.col("n").alias("p"), F.col("bits").alias("x"))
+    two = signs.select(F.col("node").alias("b"), F.col("n").alias("q"), F.col("bits").alias("y"))
+    ones = lambda bits: F.aggregate(bits, F.lit(0).cast("long"), lambda t, v: t + F.bit_count(v))
+    slack = F.least(F.col("p") - ones(F.col("x")), F.col("q") - ones(F.col("y")))
+    common = ones(F.zip_with("x", "y", lambda u, v: u.bitwiseAND(v))) + slack
+    return pairs.join(one, "a").join(two, "b").where(F.least("p", "q", common) * (100 + percent) >= percent * (F.col("p") + F.col("q"))).select("a", "b")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -263,13 +273,15 @@ def jaccard_components(docs: DataFrame, n_words: int = WORDS, percent: int = PER
     near = [posted.select("node", "n", F.col("prev").alias("mate"), F.col("prev_n").alias("mate_n")), posted.select("node", "n", F.col("head").alias("mate"), F.col("head_n").alias("mate_n")), across.select("node", "n", F.col("prev").alias("mate"), F.col("prev_n").alias("mate_n"))]
     near = near[0].unionByName(near[1]).unionByName(near[2])
     fits = (F.col("node") != F.col("mate")) & (100 * F.least("n", "mate_n") >= percent * F.greatest("n", "mate_n"))
-    pairs = stored(near.where(fits).select(F.least("node", "mate").alias("a"), F.greatest("node", "mate").alias("b")).distinct())
-    sets = stored(_sets(docs, posted.select("node").distinct(), n_words))
+    signs = stored(rows.join(posted.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]).select("node", "n", "bits"))
+    pairs = stored(_bounded(near.where(fits).select(F.least("node", "mate").alias("a"), F.greatest("node", "mate").alias("b")).distinct(), signs, percent))
+    sets = stored(_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), n_words))
     links = stored(_linked(pairs, sets, percent))
     first = components(links)
 
     members = posted.select("token", "node", "n").distinct().join(first.withColumnRenamed("label", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     members = stored(members)
+    dropped(posted)
     mixed = stored(members.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("token"))
     klass = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.01 * 100 / percent))).cast("int")
     members = members.join(mixed, "token").withColumn("klass", klass)
@@ -293,9 +305,13 @@ def jaccard_components(docs: DataFrame, n_words: int = WORDS, percent: int = PER
         cells = cells.unionByName(s)
     cell = Window.partitionBy("token", "k", "i", "j", "up")
     cells = cells.withColumns({"low": F.min("comp").over(cell), "high": F.max("comp").over(cell)}).where("low <> high").drop("low", "high")
-    cells = cells.join(sets.select("node", "bits"), "node")
+    cells = cells.join(signs.select("node", "bits"), "node")
     left = cells.groupBy("token", "k", "i", "j", "up").applyInPandas(lambda g: tree_pairs(g, percent), "a binary, b binary")
-    more = _linked(stored(left.distinct()), sets, percent)
+    left = stored(left.distinct())
+    lacking = stored(left.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(sets, "node", "left_anti"))
+    if not lacking.isEmpty():
+        sets = sets.unionByName(stored(_sets(docs, lacking, n_words)))
+    more = _linked(left, sets, percent)
     final = components(links.unionByName(more))
 
     known = stored(rows.select("doc_id", "n", "node").join(final.withColumnRenamed("label", "comp"), "node", "left").withColumn("comp", F.when(F.col("n") > 0, F.coalesce("comp", "node"))))
