@@ -86,6 +86,17 @@ def exact_dedup(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     )
 
 
+def without_copies(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """The rows of docs, all columns, that exact_dedup() keeps; of repeated rows one."""
+    found = stored(exact_dedup(docs, block))
+    kept = found.where("kept").select(F.col("doc_id").alias("k_id"), F.col("text_sha256").alias("k_sha"))
+    keyed = docs.withColumn("k_text", F.sha2(normalised(text_of(docs)), 256))
+    out = keyed.join(kept, keyed["doc_id"].eqNullSafe(kept["k_id"]) & (keyed["k_text"] == kept["k_sha"]), "left_semi")
+    if not found.where(~F.col("kept") & F.col("doc_id").eqNullSafe(F.col("keep_id"))).isEmpty():
+        out = out.dropDuplicates(["doc_id", "k_text"])
+    return out.drop("k_text")
+
+
 ORACLE = r"""
 WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),
 g AS (SELECT t, min(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)

@@ -27,6 +27,18 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents")).select("doc_id", "quality", "accepted")
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import identify
+
+    return identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
+def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neighbours import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import exact_dedup
 
@@ -59,7 +71,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sizes(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", F.round("target", 3).alias("target"), "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_token_counts, op3_quality, op6_exact_dedup, op7_jaccard_join, op8_chat_format, op9_toxicity, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_token_counts, op3_quality, op4_language, op5_neighbours, op6_exact_dedup, op7_jaccard_join, op8_chat_format, op9_toxicity, op10_mixing)}
 
 
 def _oracles() -> dict[str, str]:
