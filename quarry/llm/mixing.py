@@ -45,7 +45,8 @@ def plan(slim: DataFrame, weights: tuple, share: float, most: float, bins: int)
     before = Window.orderBy(F.col("most") / F.col("weight"), "w_source").rowsBetween(Window.unboundedPreceding, -1)
     rate = (share * F.col("all_size") - F.coalesce(F.sum("most").over(before), F.lit(0.0))) / (F.col("all_weight") - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
     sources = sources.withColumn("rate", rate).withColumn("full", F.col("most") / F.col("weight") <= F.col("rate"))
-    level = F.min(F.when(~F.col("full"), F.col("rate"))).over(everything)
+    # the rate rises while full sources are left out, and falls after: it is right at the first that is not full
+    level = F.max(F.when(~F.col("full"), F.col("rate"))).over(everything)
     sources = sources.withColumn("target", F.when(F.col("full"), F.col("most")).otherwise(F.col("weight") * level))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     sources = sources.withColumn("epochs", epochs).withColumn("rest", F.round(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long"))
@@ -100,7 +101,7 @@ s AS (SELECT source, sum(size)::BIGINT AS source_size, [3.0, 1.0, 2.0][((row_num
 f AS (SELECT *, (1.5 * sum(source_size) OVER () - coalesce(sum(2.0 * source_size) OVER b, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER b, 0)) AS rate
       FROM s WINDOW b AS (ORDER BY 2.0 * source_size / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 t AS (SELECT source, source_size, CASE WHEN 2.0 * source_size / w <= rate THEN 2.0 * source_size
-        ELSE w * min(CASE WHEN 2.0 * source_size / w > rate THEN rate END) OVER () END AS target FROM f),
+        ELSE w * max(CASE WHEN 2.0 * source_size / w > rate THEN rate END) OVER () END AS target FROM f),
 e AS (SELECT *, floor(target / source_size)::BIGINT AS epochs FROM t),
 p AS (SELECT d.*, e.source_size, e.target, e.epochs, round(target - epochs * source_size)::BIGINT AS rest,
         coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
