@@ -256,7 +256,8 @@ def jaccard_components(docs: DataFrame, n_words: int = WORDS, percent: int = PER
     tree neighbours, the rows next to each other by size and the group's first, are compared; groups that this has made one
     component are done. In the others two trees are traversed at once: pairs of nodes go on only if the OR of their signatures
     and their sizes allow a link, and not where both are inside one component. What is left is compared by whole sets.
-    Groups of more than BLOCK rows are blocks of a class of sizes, so no group meets in one task.
+    Groups of one leaf are paired as they are, under the same bound; groups of more than BLOCK rows are blocks of a class of
+    sizes, so no group meets in one task.
     """
     profile = stored(_profile(docs, n_words))
     rare = _rare(profile)
@@ -282,9 +283,16 @@ def jaccard_components(docs: DataFrame, n_words: int = WORDS, percent: int = PER
     members = posted.select("token", "node", "n").distinct().join(first.withColumnRenamed("label", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     members = stored(members)
     dropped(posted)
-    mixed = stored(members.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("token"))
+    loads = members.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("load"))
+    mixed = stored(loads.where("low <> high").select("token", "load"))
+    one, two = (members.join(mixed.where(F.col("load") <= LEAF).select("token"), "token").select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "comp")]) for x in "ab")
+    leaves = one.join(two, "token").where((F.col("node_a") < F.col("node_b")) & (F.col("comp_a") != F.col("comp_b")) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")))
+    leaves = _bounded(leaves.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), signs, percent)
+    trees = members.join(mixed.where((F.col("load") > LEAF) & (F.col("load") <= BLOCK)).select("token"), "token")
+    zero = F.lit(0)
+    trees = trees.select("token", "node", "n", "comp", zero.alias("k"), zero.alias("i"), zero.alias("j"), zero.alias("up"), F.lit(True).alias("own"), zero.alias("side"))
     klass = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.01 * 100 / percent))).cast("int")
-    members = members.join(mixed, "token").withColumn("klass", klass)
+    members = members.join(mixed.where(F.col("load") > BLOCK).select("token"), "token").withColumn("klass", klass)
     loads = stored(members.groupBy("token", "klass").agg(F.count("*").alias("load")).withColumn("blocks", F.ceil(F.col("load") / BLOCK).cast("int")).drop("load"))
     members = members.join(loads, ["token", "klass"]).join(loads.select("token", (F.col("klass") - 1).alias("klass"), F.col("blocks").alias("above")), ["token", "klass"], "left").join(loads.select("token", (F.col("klass") + 1).alias("klass"), F.col("blocks").alias("below")), ["token", "klass"], "left")
     members = members.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
@@ -304,10 +312,10 @@ def jaccard_components(docs: DataFrame, n_words: int = WORDS, percent: int = PER
     for s in sides[1:]:
         cells = cells.unionByName(s)
     cell = Window.partitionBy("token", "k", "i", "j", "up")
-    cells = cells.withColumns({"low": F.min("comp").over(cell), "high": F.max("comp").over(cell)}).where("low <> high").drop("low", "high")
+    cells = cells.withColumns({"low": F.min("comp").over(cell), "high": F.max("comp").over(cell)}).where("low <> high").drop("low", "high").unionByName(trees)
     cells = cells.join(signs.select("node", "bits"), "node")
     left = cells.groupBy("token", "k", "i", "j", "up").applyInPandas(lambda g: tree_pairs(g, percent), "a binary, b binary")
-    left = stored(left.distinct())
+    left = stored(left.unionByName(leaves).distinct())
     lacking = stored(left.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(sets, "node", "left_anti"))
     if not lacking.isEmpty():
         sets = sets.unionByName(stored(_sets(docs, lacking, n_words)))
