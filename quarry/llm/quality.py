@@ -104,10 +104,10 @@ def features(text: str, memo: dict) -> tuple[np.ndarray, np.ndarray]:
     two = (one[:-1] * np.uint64(0x9E3779B1) + one[1:] * np.uint64(0x85EBCA77)) >> np.uint64(7)
     again = sum(map(eq, words, words[1:]))
     spots, shares = np.unique(np.concatenate([one, two]) % np.uint64(WEIGHTS - 2), return_counts=True)
-    return np.append(spots.astype(np.int64), [WEIGHTS - 2]), np.append(shares / len(shapes), again / len(shapes) * 4)
+    return np.append(spots.astype(np.int64), [WEIGHTS - 2]), np.append(shares / len(shapes), again / len(shapes) * 10)
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, rounds: int = 250, rate: float = 0.5, decay: float = 1e-5) -> np.ndarray:
+def fit(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, rounds: int = 500, rate: float = 0.5, decay: float = 1e-5) -> np.ndarray:
     """Weights of a logistic scorer for soft targets, by full-batch AdaGrad; the last weight is the bias."""
     at = np.concatenate([r[0] for r in rows])
     x = np.concatenate([r[1] for r in rows])
