@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Most toxic texts that the model is fitted on (and twice as many others), and the rows of its embedding table.
-SAMPLE, BUCKETS, SIZE = 2_500, 1 << 16, 8
+SAMPLE, BUCKETS, SIZE = 1_600, 1 << 16, 8
 SLICE = 128
 TOKEN = re.compile(r"[^\W_]+")
 
@@ -92,7 +92,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [bag(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0].tolist() for f in found], pa.list_(pa.int32())), pa.array([f[1].tolist() for f in found], pa.list_(pa.float32()))], ["doc_id", "at", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0].astype(np.int32).tobytes() for f in found], pa.binary()), pa.array([f[1].tobytes() for f in found], pa.binary())], ["doc_id", "at", "x"])
 
     picked = [r.asDict() for r in chosen.collect()]  # 3 * sample ids at most
     if not picked:
@@ -100,12 +100,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
     spark = docs.sparkSession
     ids = spark.createDataFrame([(p["doc_id"],) for p in picked], "doc_id long")
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id", "left_semi")
-    rows = {r["doc_id"]: r for r in texts.mapInArrow(bags, "doc_id long, at array<int>, x array<float>").orderBy("doc_id", "at").collect()}
+    rows = {r["doc_id"]: r for r in texts.mapInArrow(bags, "doc_id long, at binary, x binary").orderBy("doc_id", "at").collect()}
     toxic = {p["doc_id"]: p["toxic"] for p in picked}
     order = sorted(d for d in rows if len(rows[d]["at"]))
     if not order:
         return np.zeros(BUCKETS, np.float32), 0.0
-    return fit([(np.array(rows[d]["at"], np.int64), np.array(rows[d]["x"], np.float32)) for d in order], np.array([toxic[d] for d in order]))
+    return fit([(np.frombuffer(rows[d]["at"], np.int32), np.frombuffer(rows[d]["x"], np.float32)) for d in order], np.array([toxic[d] for d in order]))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
