@@ -2,5 +2,335 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from quarry.functions import scalars as X
+from quarry.operators import findings as O
+from quarry.operators import flow, intervals, measures
+from quarry.sources import corpus
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+RULES = [
+    {"id": "txt.credential", "severity": "high", "pattern": r"(?i)(password|passwd|secret|api_?key|token)[ \t]*[:=][ \t]*[^ \t]{6,}", "unless": r"(?i)example", "langs": ["en", "de", "fr", "es"], "cwe": ["CWE-798"], "owasp": ["A07"]},
+    {"id": "txt.email", "severity": "low", "pattern": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "langs": ["en", "de", "fr"], "cwe": ["CWE-200", "CWE-359"], "owasp": ["A01"]},
+    {"id": "txt.ipv4", "severity": "medium", "pattern": r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}", "langs": ["en", "es"], "cwe": ["CWE-200"], "owasp": []},
+    {"id": "txt.licence", "severity": "info", "pattern": r"(?i)(licen[cs]ed? under|all rights reserved|copyright)", "langs": ["en", "de", "fr", "es"], "cwe": [], "owasp": []},
+    {"id": "txt.phone", "severity": "low", "pattern": r"\+?[0-9][0-9() -]{8,}[0-9]", "langs": ["en", "de", "fr", "es"], "cwe": ["CWE-359"], "owasp": ["A01"]},
+    {"id": "txt.shouting", "severity": "critical", "pattern": r"[A-Z]{4,}!!", "langs": ["en", "de"], "cwe": ["CWE-1120"], "owasp": ["A04"]},
+]
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _list(items: list[str]) -> str:
+    return "[" + ", ".join(map(_quoted, items)) + "]::VARCHAR[]"
+
+
+RULE_ROWS = ", ".join(f"({_quoted(r['id'])}, {_quoted(r['severity'])}, {X.SEVERITIES.index(r['severity'])}, {_quoted(r['pattern'])}, {_quoted(r.get('unless', '')) if r.get('unless') else 'NULL'}, {_list(r['langs'])}, {_list(r['cwe'])}, {_list(r['owasp'])})" for r in RULES)
+#: The DuckDB side of the findings that most queries start from.
+FINDINGS = rf"""
+rules(rule_id, severity, severity_rank, pattern, unless, langs, cwe, owasp) AS (VALUES {RULE_ROWS}),
+files AS (SELECT doc_id, source || '/' || lang || '/' || doc_id AS path, lang, source, text, strlen(text) AS size, sha256(text) AS content_hash FROM documents),
+cut AS (SELECT *, string_split_regex(text, '\r?\n') AS p FROM files),
+numbered AS (SELECT doc_id, path, lang, source, unnest(CASE WHEN p[-1] = '' THEN p[:-2] ELSE p END) AS line_text, unnest(range(1, len(CASE WHEN p[-1] = '' THEN p[:-2] ELSE p END) + 1)) AS line FROM cut),
+found AS (SELECT n.*, r.rule_id, r.severity, r.severity_rank, regexp_extract(line_text, r.pattern) AS match,
+  substr(regexp_replace(regexp_replace(line_text, '^\s+', ''), '\s+$', ''), 1, 400) AS snippet
+  FROM numbered n JOIN rules r ON list_contains(r.langs, n.lang) AND regexp_matches(n.line_text, r.pattern)
+  WHERE r.unless IS NULL OR NOT regexp_matches(regexp_extract(line_text, r.pattern), r.unless)),
+findings AS (SELECT doc_id, path, lang, source, rule_id, severity, severity_rank, line, strlen(substr(line_text, 1, instr(line_text, match) - 1)) + 1 AS start_col, match, snippet FROM found),
+printed AS (SELECT *, substr(sha256('finding.v1' || chr(31) || rule_id || chr(31) || path || chr(31) || regexp_replace(snippet, '\s+$', '') || chr(31) || occurrence), 1, 32) AS fingerprint
+  FROM (SELECT *, row_number() OVER (PARTITION BY path, rule_id, snippet ORDER BY line, start_col) - 1 AS occurrence FROM findings))
+"""
+
+
+def query(sql: str | None = None, findings: bool = False):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = ("WITH RECURSIVE " + FINDINGS + ("," if sql.lstrip().startswith("+") else "") + sql.lstrip().removeprefix("+")) if findings else sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return O.line_findings(corpus.documents(spark, sf_dir), RULES)
+
+
+def rule_table(spark: SparkSession) -> DataFrame:
+    rows = [(r["id"], r["severity"], r["langs"], r["cwe"], r["owasp"]) for r in RULES]
+    return spark.createDataFrame(rows, "rule_id string, severity string, langs array<string>, cwe array<string>, owasp array<string>")
+
+
+def long(*names: str) -> list:
+    return [F.col(n).cast("long").alias(n) for n in names]
+
+
+# -- sources, scope, caches ------------------------------------------------------------------------------------------------
+@query("SELECT source, count(*) AS considered, count(*) FILTER (strlen(text) <= 4000) AS scanned, count(*) FILTER (strlen(text) > 4000) AS skipped, sum(strlen(text))::BIGINT AS bytes FROM documents GROUP BY source")
+def file_inventory(spark, sf_dir):
+    d = corpus.documents(spark, sf_dir)
+    small = F.col("size") <= 4000
+    return d.groupBy("source").agg(F.count("*").alias("considered"), F.count_if(small).alias("scanned"), F.count_if(~small).alias("skipped"), F.sum("size").alias("bytes"))
+
+
+@query(r"SELECT page_id, regexp_replace(url, '^[a-z]+://', '') AS path FROM pages WHERE (regexp_matches(regexp_replace(url, '^[a-z]+://', ''), '^.*/en/.*$') OR regexp_matches(regexp_replace(url, '^[a-z]+://', ''), '^m\..*$')) AND NOT regexp_matches(regexp_replace(url, '^[a-z]+://', ''), '^.*\?.*$')")
+def glob_scope(spark, sf_dir):
+    pages = read(spark, sf_dir, "pages").select("page_id", F.regexp_replace("url", "^[a-z]+://", "").alias("path"))
+    return corpus.scoped(pages, include=["*/en/*", "m.*"], exclude=["*[?]*"])
+
+
+@query("SELECT sha256(text) AS content_hash, count(*) AS copies, min(doc_id) AS first_doc FROM documents GROUP BY 1 HAVING count(*) > 1")
+def content_hash_dups(spark, sf_dir):
+    return corpus.documents(spark, sf_dir).groupBy("content_hash").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_doc")).where("copies > 1")
+
+
+@query("SELECT a.doc_id, coalesce(b.hit, false) AS hit FROM (SELECT doc_id, doc_id % 7 = 0 AS edited FROM documents) a LEFT JOIN (SELECT doc_id, true AS hit FROM documents WHERE doc_id % 3 = 0) b ON a.doc_id = b.doc_id AND NOT a.edited")
+def cache_partition(spark, sf_dir):
+    d = corpus.documents(spark, sf_dir)
+    cache = d.where("doc_id % 3 = 0").select("path", F.when(F.col("doc_id") % 7 == 0, F.lit("stale")).otherwise(F.col("content_hash")).alias("content_hash"))
+    return corpus.cache_partition(d, cache).select("doc_id", "hit")
+
+
+@query("SELECT doc_id, source FROM documents WHERE EXISTS (SELECT 1 FROM labels WHERE labels.doc_id = documents.doc_id)")
+def scanned_semi(spark, sf_dir):
+    return corpus.documents(spark, sf_dir).join(read(spark, sf_dir, "labels"), "doc_id", "left_semi").select("doc_id", "source")
+
+
+# -- findings ----------------------------------------------------------------------------------------------------------------
+@query("SELECT doc_id, rule_id, severity, severity_rank::BIGINT AS severity_rank, line::BIGINT AS line, start_col::BIGINT AS start_col, match, snippet FROM findings", findings=True)
+def line_pattern_findings(spark, sf_dir):
+    return found(spark, sf_dir).select("doc_id", "rule_id", "severity", *long("severity_rank", "line", "start_col"), "match", "snippet")
+
+
+@query("SELECT doc_id, 'Credential ' || coalesce(substr(match, 1, 120), '?') || ' in ? of ' || path AS message FROM findings WHERE rule_id = 'txt.credential'", findings=True)
+def secret_rule_filters(spark, sf_dir):
+    hits = found(spark, sf_dir).where("rule_id = 'txt.credential'")
+    return hits.select("doc_id", X.message("Credential ${match} in ${scope} of ${path}", {"match": F.col("match"), "path": F.col("path")}).alias("message"))
+
+
+@query("SELECT path, rule_id, line::BIGINT AS line, occurrence::BIGINT AS occurrence, fingerprint FROM printed", findings=True)
+def occurrence_fingerprint(spark, sf_dir):
+    return O.with_fingerprints(found(spark, sf_dir)).select("path", "rule_id", *long("line", "occurrence"), "fingerprint")
+
+
+@query("SELECT rule_id, snippet, path, line::BIGINT AS line FROM (SELECT *, row_number() OVER (PARTITION BY rule_id, snippet ORDER BY path, line, start_col) AS n FROM findings) WHERE n = 1", findings=True)
+def finding_dedup(spark, sf_dir):
+    return O.one_each(found(spark, sf_dir), ["rule_id", "snippet"], ["path", "line", "start_col"]).select("rule_id", "snippet", "path", *long("line"))
+
+
+@query("SELECT row_number() OVER (ORDER BY severity_rank DESC, path, line, start_col, rule_id) AS place, path, rule_id, line::BIGINT AS line FROM findings QUALIFY place <= 50", findings=True)
+def report_order_top(spark, sf_dir):
+    order = Window.orderBy(F.desc("severity_rank"), "path", "line", "start_col", "rule_id")
+    return O.report_order(found(spark, sf_dir)).limit(50).withColumn("place", F.row_number().over(order)).select(*long("place"), "path", "rule_id", *long("line"))
+
+
+@query("SELECT severity, severity_rank::BIGINT AS severity_rank, count(*) AS n FROM findings GROUP BY ALL", findings=True)
+def severity_counts(spark, sf_dir):
+    return O.severity_counts(found(spark, sf_dir)).select("severity", *long("severity_rank", "n"))
+
+
+@query("SELECT max(severity_rank)::BIGINT AS worst, max(severity_rank) >= 3 AS fails FROM findings", findings=True)
+def threshold_gate(spark, sf_dir):
+    return O.exceeds(found(spark, sf_dir), 3).select(*long("worst"), "fails")
+
+
+@query("SELECT lang, rule_id, count(*) AS n, count(DISTINCT path) AS files, max(severity_rank)::BIGINT AS worst FROM findings GROUP BY ROLLUP (lang, rule_id)", findings=True)
+def findings_rollup(spark, sf_dir):
+    return O.rollup(found(spark, sf_dir)).select("lang", "rule_id", *long("n", "files", "worst"))
+
+
+@query("SELECT rule_id, count(*) AS fresh FROM printed p WHERE NOT EXISTS (SELECT 1 FROM printed b WHERE b.doc_id % 2 = 0 AND b.fingerprint = p.fingerprint) GROUP BY rule_id", findings=True)
+def baseline_suppression(spark, sf_dir):
+    hits = O.with_fingerprints(found(spark, sf_dir))
+    return O.suppress(hits, hits.where("doc_id % 2 = 0").select("fingerprint")).groupBy("rule_id").agg(F.count("*").alias("fresh"))
+
+
+@query("SELECT rule_id, severity, (row_number() OVER (ORDER BY rule_id) - 1)::BIGINT AS rule_index, CASE severity WHEN 'info' THEN 'note' WHEN 'low' THEN 'warning' WHEN 'medium' THEN 'warning' ELSE 'error' END AS level, CASE severity WHEN 'info' THEN '0.0' WHEN 'low' THEN '3.0' WHEN 'medium' THEN '5.5' WHEN 'high' THEN '8.0' ELSE '9.5' END AS score FROM (SELECT DISTINCT rule_id, severity FROM findings)", findings=True)
+def sarif_rule_index(spark, sf_dir):
+    return O.rule_index(found(spark, sf_dir)).select("rule_id", "severity", *long("rule_index"), X.sarif_level(F.col("severity")).alias("level"), X.security_severity(F.col("severity")).alias("score"))
+
+
+@query("SELECT doc_id, count(*) AS n FROM findings f WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = f.doc_id AND l.quality = 1) AND rule_id <> 'txt.phone' GROUP BY doc_id", findings=True)
+def disabled_and_scoped(spark, sf_dir):
+    active = [r for r in RULES if r["id"] != "txt.phone"]
+    good = read(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return O.line_findings(corpus.documents(spark, sf_dir).join(good, "doc_id", "left_semi"), active).groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+# -- measures ----------------------------------------------------------------------------------------------------------------
+@query("+ flat AS (SELECT rule_id, unnest(langs) AS lang, cwe, owasp FROM rules UNION ALL SELECT rule_id, 'all', cwe, owasp FROM rules) SELECT lang, count(DISTINCT rule_id) AS rules, (SELECT count(DISTINCT c) FROM (SELECT unnest(cwe) AS c, f2.lang AS l FROM flat f2) WHERE l = f.lang) AS cwes, (SELECT count(DISTINCT c) FROM (SELECT unnest(owasp) AS c, f2.lang AS l FROM flat f2) WHERE l = f.lang) AS owasps FROM flat f GROUP BY lang", findings=True)
+def coverage_matrix(spark, sf_dir):
+    return measures.coverage(rule_table(spark)).select("lang", *long("rules", "cwes", "owasps"))
+
+
+@query("SELECT item FROM (SELECT 'A' || lpad(i::VARCHAR, 2, '0') AS item FROM range(1, 11) t(i)) WHERE item NOT IN (SELECT unnest(owasp) FROM rules WHERE rule_id IN (SELECT rule_id FROM findings))", findings=True)
+def coverage_missing(spark, sf_dir):
+    hit = rule_table(spark).join(found(spark, sf_dir).select("rule_id").distinct(), "rule_id", "left_semi").select(F.explode("owasp").alias("item"))
+    return spark.range(1, 11).select(F.concat(F.lit("A"), F.lpad(F.col("id").cast("string"), 2, "0")).alias("item")).join(hit, "item", "left_anti")
+
+
+@query("SELECT source, count(*) FILTER (quality = 1) AS positives, count(*) FILTER (quality = 0) AS negatives, CASE WHEN count(*) FILTER (quality = 1) >= 2 AND count(*) FILTER (quality = 0) >= 2 THEN 'high' WHEN count(*) FILTER (quality = 1) >= 1 AND count(*) FILTER (quality = 0) >= 1 THEN 'medium' ELSE 'low' END AS tier FROM documents JOIN labels USING (doc_id) GROUP BY source")
+def precision_tier(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").select("doc_id", "source").join(read(spark, sf_dir, "labels"), "doc_id")
+    out = d.groupBy("source").agg(F.count_if(F.col("quality") == 1).alias("positives"), F.count_if(F.col("quality") == 0).alias("negatives"))
+    return out.withColumn("tier", measures.precision_tier(F.col("positives"), F.col("negatives")))
+
+
+@query("+ e AS (SELECT doc_id, toxic = 1 AS expect FROM labels), n AS (SELECT doc_id, count(*) AS n FROM findings WHERE rule_id IN ('txt.shouting', 'txt.phone') GROUP BY doc_id) SELECT doc_id, CASE WHEN expect IS NULL THEN 'unannotated' WHEN expect AND coalesce(n, 0) > 0 THEN 'positive' WHEN expect THEN 'missed' WHEN coalesce(n, 0) > 0 THEN 'unwanted' ELSE 'negative' END AS outcome FROM e FULL JOIN n USING (doc_id)", findings=True)
+def expectation_outer(spark, sf_dir):
+    n = found(spark, sf_dir).where(F.col("rule_id").isin("txt.shouting", "txt.phone")).groupBy("doc_id").agg(F.count("*").alias("n"))
+    return measures.outcomes(read(spark, sf_dir, "labels").select("doc_id", (F.col("toxic") == 1).alias("expect")), n, ["doc_id"]).select("doc_id", "outcome")
+
+
+@query(r"""WITH t AS (SELECT source, count(*) FILTER (quality = 0 AND bad) AS tp, count(*) FILTER (quality = 1 AND bad) AS fp, count(*) FILTER (quality = 0 AND NOT bad) AS fn, count(*) FILTER (quality = 1 AND NOT bad) AS tn
+  FROM (SELECT source, quality, regexp_matches(text, '[A-Z]{4,}!!') AS bad FROM documents JOIN labels USING (doc_id)) GROUP BY source),
+m AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp::DOUBLE / (tp + fp) ELSE 1.0 END AS p, CASE WHEN tp + fn > 0 THEN tp::DOUBLE / (tp + fn) ELSE 1.0 END AS r, CASE WHEN fp + tn > 0 THEN fp::DOUBLE / (fp + tn) ELSE 0.0 END AS fpr FROM t)
+SELECT source, tp, fp, fn, tn, round(p::DOUBLE, 9) AS "precision", round(r::DOUBLE, 9) AS recall, round(fpr::DOUBLE, 9) AS fpr, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END, 9)::DOUBLE AS f1, round((r - fpr)::DOUBLE, 9) AS youden FROM m""")
+def confusion_metrics(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").select("doc_id", "source", F.col("text").rlike("[A-Z]{4,}!!").alias("bad")).join(read(spark, sf_dir, "labels"), "doc_id")
+    is_bad = F.col("quality") == 0
+    t = d.groupBy("source").agg(F.count_if(is_bad & F.col("bad")).alias("tp"), F.count_if(~is_bad & F.col("bad")).alias("fp"), F.count_if(is_bad & ~F.col("bad")).alias("fn"), F.count_if(~is_bad & ~F.col("bad")).alias("tn"))
+    return measures.metrics(t).select("source", "tp", "fp", "fn", "tn", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "fpr", "f1", "youden")])
+
+
+# -- intervals: each event is the span [event_id, event_id + its value in tens] of its user ------------------------------------
+SPANS = "spans AS (SELECT user_id, event_id AS span_id, event_id AS s, event_id + floor(abs(value) * 10)::BIGINT AS e, event_type FROM events)"
+
+
+def spans(spark, sf_dir):
+    e = read(spark, sf_dir, "events")
+    return e.select("user_id", F.col("event_id").alias("span_id"), F.col("event_id").alias("s"), (F.col("event_id") + F.floor(F.abs("value") * 10).cast("long")).alias("e"), "event_type")
+
+
+@query(f"WITH {SPANS}, pairs AS (SELECT p.user_id, p.span_id AS point_id, o.span_id, o.e - o.s AS width FROM spans p JOIN spans o ON p.user_id = o.user_id AND o.s <= p.s AND p.s <= o.e AND o.span_id <> p.span_id) SELECT user_id, point_id, span_id FROM pairs QUALIFY row_number() OVER (PARTITION BY user_id, point_id ORDER BY width, span_id DESC) = 1")
+def innermost_interval(spark, sf_dir):
+    s = spans(spark, sf_dir)
+    points = s.select("user_id", F.col("span_id").alias("point_id"), F.col("s").alias("ps"), F.col("s").alias("pe"))
+    near = intervals.enclosing(points, s, "user_id", "point_id", "span_id").where("span_id <> point_id")
+    return O.one_each(near, ["user_id", "point_id"], [F.col("e") - F.col("s"), F.desc("span_id")]).select("user_id", "point_id", "span_id")
+
+
+@query(f"WITH {SPANS} SELECT c.user_id, c.span_id, coalesce(max(p.span_id), -1) AS parent_id FROM spans c LEFT JOIN spans p ON p.user_id = c.user_id AND p.s <= c.s AND c.e <= p.e AND p.span_id < c.span_id GROUP BY ALL")
+def interval_parent(spark, sf_dir):
+    return intervals.parents(spans(spark, sf_dir), "user_id", "span_id").select("user_id", "span_id", F.coalesce("parent_id", F.lit(-1)).cast("long").alias("parent_id"))
+
+
+@query(f"WITH RECURSIVE {SPANS}, up AS (SELECT c.span_id AS child, max(p.span_id) AS parent FROM spans c JOIN spans p ON p.user_id = c.user_id AND p.s <= c.s AND c.e <= p.e AND p.span_id < c.span_id GROUP BY c.span_id), chain AS (SELECT child, parent AS ancestor, 1 AS distance FROM up UNION ALL SELECT chain.child, up.parent, distance + 1 FROM chain JOIN up ON up.child = chain.ancestor WHERE distance < 4) SELECT child, ancestor, distance::BIGINT AS distance FROM chain")
+def scope_chain(spark, sf_dir):
+    up = intervals.parents(spans(spark, sf_dir), "user_id", "span_id").where("parent_id IS NOT NULL").select(F.col("span_id").alias("child"), F.col("parent_id").alias("parent"))
+    return intervals.ancestors(up, 4).select("child", "ancestor", *long("distance"))
+
+
+@query(f"WITH {SPANS} SELECT user_id, span_id FROM (SELECT *, max(e) OVER (PARTITION BY user_id ORDER BY s, e DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM spans) WHERE reach IS NULL OR e > reach")
+def interval_prune(spark, sf_dir):
+    return intervals.maximal(spans(spark, sf_dir), "user_id").select("user_id", "span_id")
+
+
+@query("SELECT event_id, user_id FROM events u WHERE event_type = 'purchase' AND EXISTS (SELECT 1 FROM events w WHERE w.user_id = u.user_id AND w.event_type = 'click' AND w.event_id < u.event_id)")
+def statement_order_visibility(spark, sf_dir):
+    e = read(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
+    first = e.where("event_type = 'click'").groupBy("user_id").agg(F.min("event_id").alias("written"))
+    return e.where("event_type = 'purchase'").join(first, "user_id").where("written < event_id").select("event_id", "user_id")
+
+
+# -- paths and links ---------------------------------------------------------------------------------------------------------
+@query("WITH n AS (SELECT DISTINCT source || '.' || lang || '.k' || (doc_id % 3) || '.x.y' AS a FROM documents UNION SELECT DISTINCT source || '.' || lang FROM documents UNION SELECT source FROM documents), d AS (SELECT a, string_split(a, '.') AS p FROM n) SELECT a.a, b.a AS b FROM d a JOIN d b ON a.p[1] = b.p[1] AND a.p[2:least(len(a.p), len(b.p), 4)] = b.p[2:least(len(a.p), len(b.p), 4)] WHERE a.a < b.a")
+def path_overlap(spark, sf_dir):
+    d = read(spark, sf_dir, "documents")
+    names = d.select(F.concat(F.concat_ws(".", "source", "lang"), F.lit(".k"), (F.col("doc_id") % 3).cast("string"), F.lit(".x.y")).alias("a")).unionByName(d.select(F.concat_ws(".", "source", "lang").alias("a"))).unionByName(d.select(F.col("source").alias("a")))
+    h = names.distinct().select("a", X.access_path(F.col("a")).alias("p"))
+    a, b = h.toDF("a", "pa"), h.toDF("b", "pb")
+    return a.join(b, F.col("pa.base") == F.col("pb.base")).where(X.paths_overlap(F.col("pa"), F.col("pb")) & (F.col("a") < F.col("b"))).select("a", "b")
+
+
+@query("SELECT doc_id, array_to_string(list_filter([CASE doc_id % 4 WHEN 0 THEN source || '/' || lang || '/m' || doc_id % 10 WHEN 1 THEN source || '/m' || doc_id % 10 WHEN 2 THEN source || '/shared/m' || doc_id % 10 ELSE 'm' || doc_id % 10 END], lambda x: true), '') AS target FROM documents")
+def normalize_join(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").select("doc_id", "source", "lang")
+    name = F.concat(F.lit("m"), (F.col("doc_id") % 10).cast("string"))
+    k = F.col("doc_id") % 4
+    relative = F.when(k == 0, F.concat(F.lit("./"), name)).when(k == 1, F.concat(F.lit("../"), name)).when(k == 2, F.concat(F.lit(".././shared//"), name)).otherwise(F.concat(F.lit("../../../../"), name))
+    return d.select("doc_id", X.normalize_join(F.concat_ws("/", "source", "lang"), relative).alias("target"))
+
+
+@query("WITH f AS (SELECT DISTINCT 'm' || doc_id % 50 || CASE doc_id % 3 WHEN 0 THEN '.js' WHEN 1 THEN '.ts' ELSE '/index.js' END AS path FROM documents WHERE doc_id % 5 < 3), i AS (SELECT doc_id AS import_id, 'm' || doc_id % 60 AS target FROM documents), c AS (SELECT import_id, target, 0 AS nth, target AS path FROM i UNION ALL SELECT import_id, target, 1, target || '.ts' FROM i UNION ALL SELECT import_id, target, 2, target || '.js' FROM i UNION ALL SELECT import_id, target, 3, target || '/index.js' FROM i) SELECT import_id, path, nth::BIGINT AS nth FROM c JOIN f USING (path) QUALIFY row_number() OVER (PARTITION BY import_id ORDER BY nth) = 1")
+def link_first_hit(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").select("doc_id")
+    end = F.when(F.col("doc_id") % 3 == 0, ".js").when(F.col("doc_id") % 3 == 1, ".ts").otherwise("/index.js")
+    files = d.where("doc_id % 5 < 3").select(F.concat(F.lit("m"), (F.col("doc_id") % 50).cast("string"), end).alias("path"))
+    imports = d.select(F.col("doc_id").alias("import_id"), F.concat(F.lit("m"), (F.col("doc_id") % 60).cast("string")).alias("target"))
+    return flow.first_hit(imports, files, ["ts", "js"], ["index.js"]).select("import_id", "path", *long("nth"))
+
+
+@query("WITH RECURSIVE x AS (SELECT doc_id AS src, 'n' || doc_id % 5 AS name, doc_id + 1 + doc_id % 3 AS dst, 'n' || (doc_id + 1 + doc_id % 3) % 5 AS other FROM documents WHERE doc_id % 4 > 0), h AS (SELECT src AS start, name, dst AS target, other AS wanted, 1 AS hop FROM x UNION ALL SELECT h.start, h.name, x.dst, x.other, hop + 1 FROM h JOIN x ON x.src = h.target AND x.name = h.wanted WHERE hop < 4) SELECT start, name, target, hop::BIGINT AS hop FROM h QUALIFY row_number() OVER (PARTITION BY start, name ORDER BY hop DESC, target) = 1")
+def reexport_hops(spark, sf_dir):
+    d, dst = read(spark, sf_dir, "documents"), F.col("doc_id") + 1 + F.col("doc_id") % 3
+    n = lambda c: F.concat(F.lit("n"), (c % 5).cast("string"))
+    edges = d.where("doc_id % 4 > 0").select(F.col("doc_id").alias("src"), n(F.col("doc_id")).alias("name"), dst.alias("dst"), n(dst).alias("other"))
+    return flow.hops(edges, 4).select("start", "name", "target", *long("hop"))
+
+
+@query("WITH RECURSIVE e AS (SELECT DISTINCT 'p' || l_partkey AS src, 's' || l_suppkey AS dst FROM lineitem WHERE l_quantity > 45 UNION SELECT DISTINCT 's' || l_suppkey, 'p' || l_partkey FROM lineitem WHERE l_quantity < 3), r AS (SELECT 'p1' AS node, 0 AS hop UNION SELECT e.dst, hop + 1 FROM r JOIN e ON e.src = r.node WHERE hop < 3) SELECT node, min(hop)::BIGINT AS hop FROM r GROUP BY node")
+def bounded_reachability(spark, sf_dir):
+    li = read(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_quantity")
+    p, s = F.concat(F.lit("p"), F.col("l_partkey").cast("string")), F.concat(F.lit("s"), F.col("l_suppkey").cast("string"))
+    edges = li.where("l_quantity > 45").select(p.alias("src"), s.alias("dst")).unionByName(li.where("l_quantity < 3").select(s.alias("src"), p.alias("dst"))).distinct()
+    return flow.reach(edges, spark.range(1).select(F.lit("p1").alias("node")), 3).select("node", *long("hop"))
+
+
+@query("SELECT l_partkey, min(l_shipdate) AS l_shipdate, arg_min(l_orderkey, (l_shipdate, l_orderkey, l_linenumber)) AS l_orderkey, arg_min(l_linenumber, (l_shipdate, l_orderkey, l_linenumber))::BIGINT AS l_linenumber FROM lineitem GROUP BY l_partkey")
+def earliest_witness(spark, sf_dir):
+    return flow.earliest(read(spark, sf_dir, "lineitem"), ["l_partkey"], "l_shipdate", ["l_orderkey", "l_linenumber"]).select("l_partkey", "l_shipdate", "l_orderkey", *long("l_linenumber"))
+
+
+@query("SELECT r_name, n_name, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey WHERE o_orderpriority = '1-URGENT' GROUP BY ALL")
+def call_stitch(spark, sf_dir):
+    o = read(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'")
+    c, n, r = read(spark, sf_dir, "customer"), read(spark, sf_dir, "nation"), read(spark, sf_dir, "region")
+    j = o.join(c, o["o_custkey"] == c["c_custkey"]).join(n, c["c_nationkey"] == n["n_nationkey"]).join(r, n["n_regionkey"] == r["r_regionkey"])
+    return j.groupBy("r_name", "n_name").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+@query("SELECT user_id, count(DISTINCT event_type) AS kinds, array_to_string(list_sort(list_distinct(list(event_type))), ',') AS merged, min(event_id) AS first_event FROM events GROUP BY user_id")
+def summary_merge(spark, sf_dir):
+    e = read(spark, sf_dir, "events")
+    return e.groupBy("user_id").agg(F.countDistinct("event_type").alias("kinds"), F.array_join(F.array_sort(F.collect_set("event_type")), ",").alias("merged"), F.min("event_id").alias("first_event"))
+
+
+@query("SELECT source, sha256(string_agg(h, chr(10) ORDER BY h)) AS link_fp, count(*) AS deps FROM (SELECT DISTINCT source, sha256(text) AS h FROM documents) GROUP BY source")
+def link_fingerprint(spark, sf_dir):
+    d = corpus.documents(spark, sf_dir).select("source", "content_hash")
+    return d.groupBy("source").agg(flow.set_hash(F.col("content_hash")).alias("link_fp"), F.countDistinct("content_hash").alias("deps"))
+
+
+@query("SELECT event_id, user_id, event_type FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS b FROM events) WHERE b IS NULL OR b <> event_type")
+def trace_normalise(spark, sf_dir):
+    return flow.without_repeats(read(spark, sf_dir, "events"), "user_id", ["event_id"], ["event_type"]).select("event_id", "user_id", "event_type")
+
+
+@query("SELECT d.doc_id, CASE WHEN l.toxic = 1 THEN 'source reaches sink' WHEN d.doc_id % 3 = 0 AND l.quality = 1 THEN 'caller passes a source' WHEN l.quality = 0 THEN 'parameter without a tainted caller' WHEN d.n_chars > 2000 THEN 'sanitised' ELSE 'nothing reaches it' END AS verdict FROM documents d LEFT JOIN labels l USING (doc_id)")
+def verdict_case(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").select("doc_id", "n_chars").join(read(spark, sf_dir, "labels"), "doc_id", "left")
+    no = F.lit(False)
+    return d.select("doc_id", flow.verdict(F.coalesce(F.col("toxic") == 1, no), F.coalesce((F.col("doc_id") % 3 == 0) & (F.col("quality") == 1), no), F.coalesce(F.col("quality") == 0, no), F.col("n_chars") > 2000).alias("verdict"))
+
+
+@query(r"""WITH s AS (SELECT page_id, regexp_extract(html, '<script>(.*?)</script>', 1, 's') AS body FROM pages), c AS (SELECT page_id, body, regexp_extract(body, '\b(track)\(([^)]*)\)', 2) AS arg, regexp_extract(body, 'var ([A-Za-z_]+)=', 1) AS variable FROM s WHERE regexp_matches(body, '\btrack\('))
+SELECT page_id, variable, arg, 'track(' || substr(arg, 1, 120) || ') beside ' || variable AS message, substr(sha256('finding.v1' || chr(31) || 'js.tracking-call' || chr(31) || 'pages/' || page_id || chr(31) || body || chr(31) || '0'), 1, 32) AS fingerprint FROM c""")
+def inline_script_calls(spark, sf_dir):
+    body = F.regexp_extract("html", r"(?s)<script>(.*?)</script>", 1)
+    s = read(spark, sf_dir, "pages").select("page_id", body.alias("body")).where(F.col("body").rlike(r"\btrack\("))
+    s = s.select("page_id", F.regexp_extract("body", r"var ([A-Za-z_]+)=", 1).alias("variable"), F.regexp_extract("body", r"\b(track)\(([^)]*)\)", 2).alias("arg"), "body")
+    path = F.concat(F.lit("pages/"), F.col("page_id").cast("string"))
+    return s.select("page_id", "variable", "arg", X.message("track(${a}) beside ${v}", {"a": F.col("arg"), "v": F.col("variable")}).alias("message"), X.fingerprint(F.lit("js.tracking-call"), path, F.col("body"), F.lit(0)).alias("fingerprint"))
