@@ -334,3 +334,26 @@ def inline_script_calls(spark, sf_dir):
     s = s.select("page_id", F.regexp_extract("body", r"var ([A-Za-z_]+)=", 1).alias("variable"), F.regexp_extract("body", r"\b(track)\(([^)]*)\)", 2).alias("arg"), "body")
     path = F.concat(F.lit("pages/"), F.col("page_id").cast("string"))
     return s.select("page_id", "variable", "arg", X.message("track(${a}) beside ${v}", {"a": F.col("arg"), "v": F.col("variable")}).alias("message"), X.fingerprint(F.lit("js.tracking-call"), path, F.col("body"), F.lit(0)).alias("fingerprint"))
+
+
+# -- trees -------------------------------------------------------------------------------------------------------------------
+def scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The inline scripts of pages as files."""
+    body = F.regexp_extract("html", r"(?s)<script>(.*?)</script>", 1)
+    return read(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("pages/"), F.col("page_id").cast("string")).alias("path"), body.alias("text"))
+
+
+@query(r"SELECT 'pages/' || page_id AS path, 'js.tracking-call' AS rule_id, 1::BIGINT AS line, (strlen(split_part(regexp_extract(html, '<script>(.*?)</script>', 1, 's'), 'track(', 1)) + 1)::BIGINT AS start_col, 'track(' || regexp_extract(html, 'track\(([0-9]+)\)', 1) || ')' AS message FROM pages WHERE regexp_matches(html, 'track\([0-9]+\);</script>')")
+def pattern_findings_js(spark, sf_dir):
+    from quarry.operators.rules import JS_RULES, pattern_findings
+    from quarry.sources.javascript import nodes
+
+    files = scripts(spark, sf_dir)
+    return pattern_findings(nodes(files), files, JS_RULES).select("path", "rule_id", *long("line", "start_col"), "message")
+
+
+@query("SELECT 'pages/' || page_id AS path, 'string' AS kind, 1 AS n FROM pages UNION ALL SELECT 'pages/' || page_id, 'call_expression', 1 FROM pages UNION ALL SELECT 'pages/' || page_id, 'variable_declarator', 1 FROM pages")
+def script_nodes(spark, sf_dir):
+    from quarry.sources.javascript import nodes
+
+    return nodes(scripts(spark, sf_dir)).where(F.col("kind").isin("string", "call_expression", "variable_declarator")).groupBy("path", "kind").agg(F.count("*").cast("int").alias("n"))
