@@ -19,7 +19,7 @@ WORDS = 5
 PERCENT = 80
 #: Counters of shingles; a shingle in a counter far above the mean is taken last when prefixes are chosen.
 COUNTERS = 1 << 18
-#: Bits of a text's signature, parts of a very frequent shingle's rows, rows of a block, rows of a leaf.
+#: Fewest bits of a text's signature (a tree's have as many), parts of a very frequent shingle's rows, rows of a block, rows of a leaf.
 BITS, PARTS, BLOCK, LEAF = 2048, 64, 2048, 16
 SLICE = 64
 
@@ -62,12 +62,19 @@ def prefix(tokens: np.ndarray, rare: np.ndarray, percent: int = PERCENT) -> tupl
     return tokens[order], often[order]
 
 
-def signature(tokens: np.ndarray, bits: int = BITS) -> np.ndarray:
+def signature(tokens: np.ndarray) -> np.ndarray:
+    """At least BITS bits, and two for each shingle: a power of two, so that a longer signature folds to a shorter one."""
+    bits = max(BITS, 1 << (2 * len(tokens) - 1).bit_length()) if len(tokens) else BITS
     flags = np.zeros(bits, np.uint8)
     flags[((tokens >> np.uint64(20)) % np.uint64(bits)).astype(np.int64)] = 1
     return np.packbits(flags).view(np.int64)
 
 
+def folded(bits: np.ndarray) -> np.ndarray:
+    """A signature of BITS bits."""
+    return np.bitwise_or.reduce(np.asarray(bits, np.int64).reshape(-1, BITS // 64), axis=0)
+
+
 # -- signature trees ---------------------------------------------------------------------------------------------------------
 class Tree:
     """Rows in order, leaves of LEAF rows, inner nodes of LEAF nodes. A node holds the OR of its rows' signatures, their range of
@@ -123,7 +130,7 @@ def dual(x: Tree, y: Tree, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarr
 
 
 def _tree(g: pd.DataFrame, codes: dict) -> Tree:
-    bits = np.stack(g["bits"].to_list()).view(np.uint64)
+    bits = np.stack([folded(b) for b in g["bits"]]).view(np.uint64)
     return Tree(g["n"].to_numpy(np.int64), bits, np.array([codes.setdefault(c, len(codes)) for c in g["comp"]], np.int64))
 
 
@@ -231,9 +238,13 @@ def _bounded(pairs: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
     one = signs.select(F.col("node").alias("a"), F.col("n").alias("p"), F.col("bits").alias("x"))
     two = signs.select(F.col("node").alias("b"), F.col("n").alias("q"), F.col("bits").alias("y"))
     ones = lambda bits: F.aggregate(bits, F.lit(0).cast("long"), lambda t, v: t + F.bit_count(v))
-    slack = F.least(F.col("p") - ones(F.col("x")), F.col("q") - ones(F.col("y")))
-    common = ones(F.zip_with("x", "y", lambda u, v: u.bitwiseAND(v))) + slack
-    return pairs.join(one, "a").join(two, "b").where(F.least("p", "q", common) * (100 + percent) >= percent * (F.col("p") + F.col("q"))).select("a", "b")
+    half = lambda bits: F.zip_with(F.slice(bits, F.lit(1), (F.size(bits) / 2).cast("int")), F.slice(bits, (F.size(bits) / 2).cast("int") + 1, F.size(bits)), lambda u, v: u.bitwiseOR(v))
+    # sizes that may link differ by a quarter at most, so widths by one fold
+    u, v = F.when(F.size("x") > F.size("y"), half(F.col("x"))).otherwise(F.col("x")), F.when(F.size("y") > F.size("x"), half(F.col("y"))).otherwise(F.col("y"))
+    both = pairs.join(one, "a").join(two, "b").where(100 * F.least("p", "q") >= percent * F.greatest("p", "q")).withColumns({"u": u, "v": v})
+    slack = F.least(F.col("p") - ones(F.col("u")), F.col("q") - ones(F.col("v")))
+    common = ones(F.zip_with("u", "v", lambda s, t: s.bitwiseAND(t))) + slack
+    return both.where(F.least("p", "q", common) * (100 + percent) >= percent * (F.col("p") + F.col("q"))).select("a", "b")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -315,7 +326,7 @@ def jaccard_components(docs: DataFrame, n_words: int = WORDS, percent: int = PER
     cells = cells.withColumns({"low": F.min("comp").over(cell), "high": F.max("comp").over(cell)}).where("low <> high").drop("low", "high").unionByName(trees)
     cells = cells.join(signs.select("node", "bits"), "node")
     left = cells.groupBy("token", "k", "i", "j", "up").applyInPandas(lambda g: tree_pairs(g, percent), "a binary, b binary")
-    left = stored(left.unionByName(leaves).distinct())
+    left = stored(_bounded(left.distinct(), signs, percent).unionByName(leaves).distinct())
     lacking = stored(left.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(sets, "node", "left_anti"))
     if not lacking.isEmpty():
         sets = sets.unionByName(stored(_sets(docs, lacking, n_words)))
