@@ -199,7 +199,7 @@ def taint_findings(nodes: DataFrame, files: DataFrame, rules: list[dict]) -> Dat
         flow = Flow(g.astype({"of": "float64"}))
         flow.solve()
         found = flow.report()
-        return pd.DataFrame({"path": [key[0]] * len(found), "rule_id": [key[1]] * len(found), "start_byte": [f[0] for f in found], "end_byte": [f[1] for f in found], "places": [f[2] for f in found]})
+        return pd.DataFrame({"path": pd.Series([key[0]] * len(found), dtype=object), "rule_id": pd.Series([key[1]] * len(found), dtype=object), "start_byte": [f[0] for f in found], "end_byte": [f[1] for f in found], "places": pd.Series([f[2] for f in found], dtype=object)})
 
     hits = together.groupBy("path", "rule_id").applyInPandas(solved, "path string, rule_id string, start_byte int, end_byte int, places array<int>")
     texts = files.select("path", F.col("text").cast("binary").alias("bytes"), "text")

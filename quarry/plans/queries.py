@@ -357,3 +357,25 @@ def script_nodes(spark, sf_dir):
     from quarry.sources.javascript import nodes
 
     return nodes(scripts(spark, sf_dir)).where(F.col("kind").isin("string", "call_expression", "variable_declarator")).groupBy("path", "kind").agg(F.count("*").cast("int").alias("n"))
+
+
+@query("SELECT count(*) AS results, count(DISTINCT rule_id) AS rules, arg_min(rule_id, (-severity_rank, path, line, start_col, rule_id)) AS first_rule FROM findings", findings=True)
+def sarif_document(spark, sf_dir):
+    from quarry.operators.reports import sarif
+
+    doc = sarif(O.with_fingerprints(found(spark, sf_dir)))
+    run = F.from_json("document", "runs array<struct<tool:struct<driver:struct<rules:array<struct<id:string>>>>,results:array<struct<ruleId:string>>>>")["runs"][0]
+    return doc.select(F.size(run["results"]).cast("long").alias("results"), F.size(run["tool"]["driver"]["rules"]).cast("long").alias("rules"), run["results"][0]["ruleId"].alias("first_rule"))
+
+
+@query("SELECT 'site/' || page_id || '.js' AS path, 'js.page-markup' AS rule_id, 3::BIGINT AS line FROM pages WHERE page_id % 2 = 0")
+def taint_scripts(spark, sf_dir):
+    """Each page's script goes on with a handler that writes request data into the page; every other one escapes it first."""
+    from quarry.operators.taint import JS_TAINT_RULES, taint_findings
+    from quarry.sources.javascript import nodes
+
+    body = F.regexp_extract("html", r"(?s)<script>(.*?)</script>", 1)
+    shown = F.when(F.col("page_id") % 2 == 0, "name").otherwise("escapeHtml(name)")
+    handler = F.concat(F.lit("\nfunction show(req, el) { const name = req.query.name;\n  el.innerHTML = "), shown, F.lit("; }\n"))
+    files = read(spark, sf_dir, "pages").select(F.concat(F.lit("site/"), F.col("page_id").cast("string"), F.lit(".js")).alias("path"), F.concat(body, handler).alias("text"))
+    return taint_findings(nodes(files), files, JS_TAINT_RULES).select("path", "rule_id", *long("line"))

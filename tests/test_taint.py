@@ -31,6 +31,6 @@ quiet("ls");
 def test_flows_are_found_where_annotated(spark):
     files = spark.createDataFrame([("a.js", CODE), ("b.js", "exec('x')"), ("c.js", "")], "path string, text string")
     rows = taint_findings(javascript.nodes(files), files, JS_TAINT_RULES).collect()
-    want = {("a.js", n, line.split("expect ")[1].strip()) for n, line in enumerate(CODE.split("\n"), 1) if "// expect" in line}
+    want = {("a.js", n, line.split("expect ")[1].strip()) for n, line in enumerate(CODE.split("\n"), 1) if "expect js" in line}
     assert {(r.path, r.line, r.rule_id) for r in rows} == want
     assert all(r.trace[-1] == r.line and len(r.trace) >= 1 and r.severity_rank >= 3 for r in rows)
