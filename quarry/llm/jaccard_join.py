@@ -294,8 +294,10 @@ def jaccard_components(docs: DataFrame, n_words: int = WORDS, percent: int = PER
     members = posted.select("token", "node", "n").distinct().join(first.withColumnRenamed("label", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     members = stored(members)
     dropped(posted)
-    loads = members.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("load"))
-    mixed = stored(loads.where("low <> high").select("token", "load"))
+    # shingles of one passage have the same texts: of groups with equal members (by 192 bits of digests) one is enough
+    marks = [F.xxhash64("node", F.lit(i)) for i in range(2)]
+    loads = members.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("load"), F.sum(marks[0].cast("decimal(20,0)")).alias("s"), F.bit_xor(marks[0]).alias("x"), F.bit_xor(marks[1]).alias("y"))
+    mixed = stored(loads.where("low <> high").groupBy("load", "s", "x", "y").agg(F.min("token").alias("token")).select("token", "load"))
     one, two = (members.join(mixed.where(F.col("load") <= LEAF).select("token"), "token").select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "comp")]) for x in "ab")
     leaves = one.join(two, "token").where((F.col("node_a") < F.col("node_b")) & (F.col("comp_a") != F.col("comp_b")) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")))
     leaves = _bounded(leaves.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), signs, percent)
