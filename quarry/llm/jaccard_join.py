@@ -183,7 +183,7 @@ def _rare(profile: DataFrame) -> np.ndarray:
 
 
 def _postings(docs: DataFrame, rare: np.ndarray, n_words: int, percent: int) -> DataFrame:
-    """token, part, node, n: the prefix of each distinct set (once a task). Rows of frequent shingles are split in parts."""
+    """token, part, node, n: the prefix of each distinct set (once a task). Rows of frequent shingles are split in parts from 1."""
     packed = np.packbits(rare).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,7 +199,7 @@ def _postings(docs: DataFrame, rare: np.ndarray, n_words: int, percent: int) ->
                 if found:
                     sizes = np.array([len(f[2]) for f in found])
                     nodes = pa.array([f[0] for f in found], pa.binary()).take(pa.array(np.repeat(np.arange(len(found)), sizes)))
-                    split = np.repeat(np.array([f[0][0] % PARTS for f in found], np.int32), sizes) * np.concatenate([f[3] for f in found])
+                    split = np.repeat(np.array([1 + f[0][0] % PARTS for f in found], np.int32), sizes) * np.concatenate([f[3] for f in found])
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[2] for f in found]).view(np.int64)), pa.array(split.astype(np.int32)), nodes, pa.array(np.repeat(np.array([f[1] for f in found], np.int64), sizes))], ["token", "part", "node", "n"])
 
     return _texts(docs).mapInArrow(run, "token long, part int, node binary, n long")
