@@ -13,9 +13,8 @@ WEIGHTS = (3, 1, 2)
 
 
 def quality(text: Column) -> Column:
-    """Weight of a document, 0.1 to 1: the share of its first half thousand characters that are letters or spaces."""
-    head = F.substring(text, 1, 500)
-    share = F.length(F.regexp_replace(head, r"[^\p{L} ]", "")) / F.greatest(F.lit(1), F.length(head))
+    """Weight of a document, 0.1 to 1: the share of its characters that are letters or spaces."""
+    share = F.length(F.regexp_replace(text, r"[^\p{L} ]", "")) / F.greatest(F.lit(1), F.length(text))
     return F.greatest(F.lit(0.1), share)
 
 

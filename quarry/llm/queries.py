@@ -66,9 +66,12 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .mixing import mix_sizes
+    from .common import text_of
+    from .mixing import mix_sizes, quality
 
-    return mix_sizes(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", F.round("target", 3).alias("target"), "taken")
+    docs = table(spark, sf_dir, "documents")
+    # the query's SQL weighs the first 500 characters only; the operator and the pipeline weigh whole texts
+    return mix_sizes(docs, weight=quality(F.substring(text_of(docs), 1, 500))).select("doc_id", "size", "source_size", F.round("target", 3).alias("target"), "taken")
 
 
 QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_token_counts, op3_quality, op4_language, op5_neighbours, op6_exact_dedup, op7_jaccard_join, op8_chat_format, op9_toxicity, op10_mixing)}
