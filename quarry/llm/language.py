@@ -24,9 +24,16 @@ DECLARED = re.compile(r"""<html\b[^>]*?\slang\s*=\s*["']?\s*([A-Za-z]{2,3})""",
 HOST = re.compile(r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)")
 
 
+def parts(html: str) -> tuple[str, str]:
+    """What the first <html lang> of a page declares, wherever it is but in comments and scripts (else ""), and its visible text."""
+    shown = HIDDEN.sub(" ", html)
+    said = DECLARED.search(shown)
+    return said[1].lower() if said else "", entities.unescape(TAG.sub(" ", shown))
+
+
 def visible(html: str) -> str:
     """Text of a page without scripts, styles, navigation and tags."""
-    return entities.unescape(TAG.sub(" ", HIDDEN.sub(" ", html)))
+    return parts(html)[1]
 
 
 def grams(text: str) -> np.ndarray:
@@ -86,12 +93,12 @@ def identify(pages: DataFrame, docs: DataFrame, sample: int = SAMPLE) -> DataFra
             for lo in range(0, batch.num_rows, SLICE):
                 part, out = batch.slice(lo, SLICE), []
                 for page, url, html in zip(*(part.column(i).to_pylist() for i in range(3))):
-                    html, host, said = html or "", HOST.match(url or ""), DECLARED.search((html or "")[:4096])
+                    host, (said, text) = HOST.match(url or ""), parts(html or "")
                     host = host[1].lower().strip(".") if host else ""
                     labels = host.split(".")
-                    ll = table[:, grams(visible(html))].sum(axis=1) * TEMPER
+                    ll = table[:, grams(text)].sum(axis=1) * TEMPER
                     p = np.exp(ll - ll.max())
-                    out.append({"page_id": page, "host": host, "domain": ".".join(labels[-2:]), "suffix": labels[-1], "declared": said[1].lower() if said else "", "ll": (ll - ll.max()).tolist(), "p": (p / p.sum()).tolist()})
+                    out.append({"page_id": page, "host": host, "domain": ".".join(labels[-2:]), "suffix": labels[-1], "declared": said, "ll": (ll - ll.max()).tolist(), "p": (p / p.sum()).tolist()})
                 yield pa.RecordBatch.from_pylist(out, schema=shape)
 
     shape = pa.schema([("page_id", pa.int64()), ("host", pa.string()), ("domain", pa.string()), ("suffix", pa.string()), ("declared", pa.string()), ("ll", pa.list_(pa.float64())), ("p", pa.list_(pa.float64()))])
