@@ -11,30 +11,31 @@ from pyspark.sql import functions as F
 
 from quarry.llm import exact_dedup
 from quarry.llm.common import DOCUMENT_COLUMNS, stored, table
-from quarry.llm.jaccard_join import jaccard_components
+from quarry.llm.jaccard_join import one_of_each
 from quarry.llm.mixing import mix
 from quarry.llm.quality import classify
 from quarry.llm.sentencepiece_codec import encode
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts."""
+    """Documents that the quality classifier accepts. Null, empty and wordless texts go; repeated rows and null ids stay as they are."""
     return classify(docs).where("accepted").select(*DOCUMENT_COLUMNS)
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts: the smallest doc_id."""
+    """One document of each group of equal texts: the smallest doc_id, null ids last; one row where rows repeat. Null counts as empty."""
     return exact_dedup.without_copies(docs).select(*DOCUMENT_COLUMNS)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near-duplicates: the smallest doc_id. Documents without an id stay."""
-    gone = jaccard_components(docs).where("component_id <> doc_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*DOCUMENT_COLUMNS)
+    """One document of each component of near-duplicates: the smallest doc_id, null ids last. Rows are known by id and text, so a
+    text that shares its id with a near copy stays. Texts without words stay."""
+    return one_of_each(docs.select(*DOCUMENT_COLUMNS))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: a row for each time a document is taken whole, and a row with the words that are taken of one taken in part."""
+    """The mix: a row for each time a document is taken whole, and a row with the words that are taken of one taken in part.
+    Wordless texts are in no mix; rows of equal id and key share a cut evenly."""
     rows = mix(docs)
     times = F.floor(F.col("taken") / F.greatest(F.lit(1), F.col("size"))).cast("int")
     part = F.col("taken") - times * F.col("size")
@@ -45,7 +46,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, piece_ids, n_pieces of each row of the mix."""
+    """doc_id, piece_ids, n_pieces of each row of the mix, repeated rows and null ids included; a null or empty text has no pieces."""
     return encode(docs).select("doc_id", "piece_ids", F.size("piece_ids").cast("long").alias("n_pieces"))
 
 

@@ -6,7 +6,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
@@ -17,10 +16,12 @@ from .components import components
 
 WORDS = 5
 PERCENT = 80
-#: Counters of shingles; a shingle in a counter far above the mean is taken last when prefixes are chosen.
+#: Counters of shingles; one that is far above the mean holds a frequent shingle, which prefixes take last.
 COUNTERS = 1 << 18
-#: Fewest bits of a text's signature (a tree's have as many), parts of a very frequent shingle's rows, rows of a block, rows of a leaf.
-BITS, PARTS, BLOCK, LEAF = 2048, 64, 2048, 16
+#: Fewest and most bits of a text's signature, least parts of a frequent shingle's rows, rows of a part that are aimed at.
+BITS, MOST_BITS, PARTS, PART_ROWS = 2048, 1 << 16, 64, 50_000
+#: Rows of a block of a large group (a text of more than ROW_SHINGLES counts as several), children of a node, rows in one traversal.
+BLOCK, ROW_SHINGLES, LEAF, CHUNK = 256, 1024, 16, 8192
 SLICE = 64
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -45,8 +46,9 @@ def shingles(text: str | None, n: int = WORDS) -> np.ndarray:
     return np.unique(h)
 
 
-def digest(tokens: np.ndarray) -> bytes:
-    return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
+def digest(tokens: np.ndarray) -> int:
+    """Name of a shingle set: 64 bits, as shingles have themselves."""
+    return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
 def least(n: int, percent: int = PERCENT) -> int:
@@ -62,127 +64,188 @@ def prefix(tokens: np.ndarray, rare: np.ndarray, percent: int = PERCENT) -> tupl
     return tokens[order], often[order]
 
 
+def width(n: np.ndarray) -> np.ndarray:
+    """Bits of the signature of a set of n: at least two a shingle, a power of two from BITS to MOST_BITS."""
+    return np.clip(1 << np.ceil(np.log2(np.maximum(2 * np.asarray(n), 1))).astype(np.int64), BITS, MOST_BITS)
+
+
 def signature(tokens: np.ndarray) -> np.ndarray:
-    """At least BITS bits, and two for each shingle: a power of two, so that a longer signature folds to a shorter one."""
-    bits = max(BITS, 1 << (2 * len(tokens) - 1).bit_length()) if len(tokens) else BITS
+    """A longer signature folds to a shorter one by the OR of its halves."""
+    bits = int(width(len(tokens)))
     flags = np.zeros(bits, np.uint8)
     flags[((tokens >> np.uint64(20)) % np.uint64(bits)).astype(np.int64)] = 1
     return np.packbits(flags).view(np.int64)
 
 
-def folded(bits: np.ndarray) -> np.ndarray:
-    """A signature of BITS bits."""
-    return np.bitwise_or.reduce(np.asarray(bits, np.int64).reshape(-1, BITS // 64), axis=0)
-
-
 # -- signature trees ---------------------------------------------------------------------------------------------------------
-class Tree:
-    """Rows in order, leaves of LEAF rows, inner nodes of LEAF nodes. A node holds the OR of its rows' signatures, their range of
-    sizes, the most by which a row's size exceeds the bits of its signature, and its component if all rows have the same."""
+class Forest:
+    """A tree over each run of rows with one key: leaves of LEAF rows, inner nodes of LEAF nodes, up to one root. A node holds the
+    OR of its rows' signatures, their range of sizes, the most by which a row's size exceeds the bits of its signature, and its
+    component if all rows have the same. levels[0] is rows; below[d][v] is the first child of node v of level d."""
 
-    def __init__(self, sizes: np.ndarray, bits: np.ndarray, comps: np.ndarray):
+    def __init__(self, keys: np.ndarray, sizes: np.ndarray, bits: np.ndarray, comps: np.ndarray):
         slack = sizes - np.bitwise_count(bits).sum(axis=1).astype(np.int64)
-        self.levels = [(bits, sizes, sizes, slack, comps)]
-        while len(self.levels[-1][1]) > 1:
+        self.levels, self.below, owner = [(bits, sizes, sizes, slack, comps)], [None], np.asarray(keys)
+        while True:
+            change = np.append(True, owner[1:] != owner[:-1])
+            first = np.flatnonzero(change)
+            if len(first) == len(owner):
+                break
+            place = np.arange(len(owner)) - np.repeat(first, np.diff(np.append(first, len(owner))))
+            at = np.flatnonzero(place % LEAF == 0)
             b, lo, hi, s, c = self.levels[-1]
-            at = np.arange(0, len(lo), LEAF)
             same = np.minimum.reduceat(c, at)
             same = np.where(same == np.maximum.reduceat(c, at), same, -1)
-            same = np.where(np.minimum.reduceat(np.where(c < 0, 0, 1), at) == 0, -1, same)
             self.levels.append((np.bitwise_or.reduceat(b, at, axis=0), np.minimum.reduceat(lo, at), np.maximum.reduceat(hi, at), np.maximum.reduceat(s, at), same))
+            self.below.append(np.append(at, len(owner)))
+            owner = owner[at]
+        self.keys = owner
+
+    def roots(self, keys: np.ndarray) -> np.ndarray:
+        """Place of each key's root, -1 where it has none; a root is on the top level."""
+        at = np.searchsorted(self.keys, keys)
+        return np.where((at < len(self.keys)) & (self.keys[np.minimum(at, len(self.keys) - 1)] == keys), at, -1)
 
 
 def _possible(x: tuple, i: np.ndarray, y: tuple, j: np.ndarray, percent: int) -> np.ndarray:
     """Which node pairs may hold a linked pair of rows of different components. Rows that share k shingles share at least
     k - slack bits; sets of sizes p and q link only with percent / (100 + percent) * (p + q) shared."""
+    ok = (100 * x[2][i] >= percent * y[1][j]) & (100 * y[2][j] >= percent * x[1][i]) & ~((x[4][i] >= 0) & (x[4][i] == y[4][j]))
+    at = np.flatnonzero(ok)
+    i, j = i[at], j[at]
     common = np.bitwise_count(x[0][i] & y[0][j]).sum(axis=1).astype(np.int64) + np.minimum(x[3][i], y[3][j])
     small = np.minimum(np.minimum(x[2][i], y[2][j]), common)
-    ok = small * (100 + percent) >= percent * (x[1][i] + y[1][j])
-    ok &= (100 * x[2][i] >= percent * y[1][j]) & (100 * y[2][j] >= percent * x[1][i])
-    return ok & ~((x[4][i] >= 0) & (x[4][i] == y[4][j]))
-
-
-def dual(x: Tree, y: Tree, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
-    """Row pairs that a traversal of both trees leaves; for a tree with itself each pair once."""
-    self_join = x is y
-    while len(x.levels) != len(y.levels):  # a root over the lower tree's root
-        low = x if len(x.levels) < len(y.levels) else y
-        low.levels.append(low.levels[-1])
-    i = j = none = np.array([0])
-    for depth in range(len(x.levels) - 1, -1, -1):
-        a, b, left, right = x.levels[depth], y.levels[depth], [none[:0]], [none[:0]]
-        for at in range(0, len(i), 100_000):
-            p, q = i[at : at + 100_000], j[at : at + 100_000]
+    ok[at] = small * (100 + percent) >= percent * (x[1][i] + y[1][j])
+    return ok
+
+
+def _children(forest: Forest, depth: int, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First child of each node and how many it has; nodes above a lower forest's top are their own child."""
+    if depth >= len(forest.levels):
+        return nodes, np.ones(len(nodes), np.int64)
+    return forest.below[depth][nodes], forest.below[depth][nodes + 1] - forest.below[depth][nodes]
+
+
+def dual(x: Forest, i: np.ndarray, y: Forest, j: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+    """Row pairs that a traversal down from the root pairs (i, j) leaves; for a forest with itself each pair once."""
+    depth = max(len(x.levels), len(y.levels)) - 1
+    while True:
+        a, b, left, right = x.levels[min(depth, len(x.levels) - 1)], y.levels[min(depth, len(y.levels) - 1)], [i[:0]], [j[:0]]
+        for at in range(0, len(i), 50_000):
+            p, q = i[at : at + 50_000], j[at : at + 50_000]
             ok = _possible(a, p, b, q, percent)
+            if depth:
+                p, q = p[ok], q[ok]
+                (p, n), (q, m) = _children(x, depth, p), _children(y, depth, q)
+                nth = np.arange((n * m).sum()) - np.repeat(np.cumsum(n * m) - n * m, n * m)
+                wide = np.repeat(m, n * m)
+                p, q = np.repeat(p, n * m) + nth // wide, np.repeat(q, n * m) + nth % wide
+                ok = p <= q if x is y else np.full(len(p), True)
             left.append(p[ok])
             right.append(q[ok])
         i, j = np.concatenate(left), np.concatenate(right)
-        if depth:
-            below_x, below_y = len(x.levels[depth - 1][1]), len(y.levels[depth - 1][1])
-            step_x, step_y = (1 if below_x == len(a[1]) else LEAF), (1 if below_y == len(b[1]) else LEAF)
-            grid_x, grid_y = np.repeat(np.arange(step_x), step_y), np.tile(np.arange(step_y), step_x)
-            i, j = (i[:, None] * step_x + grid_x).ravel(), (j[:, None] * step_y + grid_y).ravel()
-            ok = (i < below_x) & (j < below_y)
-            if self_join:
-                ok &= i <= j
-            i, j = i[ok], j[ok]
-    return (i[i < j], j[i < j]) if self_join else (i, j)
-
-
-def _tree(g: pd.DataFrame, codes: dict) -> Tree:
-    bits = np.stack([folded(b) for b in g["bits"]]).view(np.uint64)
-    return Tree(g["n"].to_numpy(np.int64), bits, np.array([codes.setdefault(c, len(codes)) for c in g["comp"]], np.int64))
-
-
-def tree_pairs(g: pd.DataFrame, percent: int = PERCENT) -> pd.DataFrame:
-    """Candidate pairs of one group: rows of side 0 among themselves or, where there is a side 1, with those."""
-    codes: dict = {}
-    g = g.sort_values(["n", "comp", "node"])
-    x = g[g["side"] == 0]
-    y = g[g["side"] == 1]
-    if not len(x) or (g["own"].iloc[0] is not np.True_ and not g["own"].iloc[0] and not len(y)):
-        return pd.DataFrame({"a": [], "b": []})
-    tree = _tree(x, codes)
-    if g["own"].iloc[0]:
-        i, j = dual(tree, tree, percent)
-        a, b = x["node"].to_numpy()[i], x["node"].to_numpy()[j]
-    else:
-        i, j = dual(tree, _tree(y, codes), percent)
-        a, b = x["node"].to_numpy()[i], y["node"].to_numpy()[j]
-    return pd.DataFrame({"a": np.where(a < b, a, b) if len(a) else a, "b": np.where(a < b, b, a) if len(a) else b})
+        if depth == 0:
+            return (i[i < j], j[i < j]) if x is y else (i, j)
+        depth -= 1
+
+
+def tree_pairs(cell: np.ndarray, side: np.ndarray, node: np.ndarray, n: np.ndarray, comp: np.ndarray, bits: list, percent: int = PERCENT) -> tuple[np.ndarray, ...]:
+    """Candidate pairs (a, b) of whole cells, with their cell and the most that they can share of both: of each cell's rows of
+    side -1 (a group that is whole) among themselves, or of its side 0 with its side 1. Trees are of rows with signatures of one
+    width; each is traversed with itself and with the next width's, folded, as sizes that may link differ by less than a width."""
+    comp = np.unique(comp, return_inverse=True)[1]
+    order = np.lexsort((node, comp, n, side, cell))
+    cell, side, node, n, comp, bits = cell[order], side[order], node[order], n[order], comp[order], [bits[k] for k in order]
+    name = np.append(0, np.cumsum((cell[1:] != cell[:-1]) | (side[1:] != side[:-1])))  # of a cell's side
+    first = np.flatnonzero(np.append(True, name[1:] != name[:-1]))
+    whole = name[first[side[first] == -1]]
+    two = np.flatnonzero((cell[first][1:] == cell[first][:-1]) & (side[first][:-1] == 0))
+    words = np.array([len(b) for b in bits])
+    found = [(node[:0], node[:0], cell[:0], np.array([]))]
+
+    def grown(rows: np.ndarray, w: int) -> Forest:
+        return Forest(name[rows], n[rows], np.stack([np.bitwise_or.reduce(np.asarray(bits[k], np.int64).reshape(-1, w), axis=0) for k in rows]).view(np.uint64), comp[rows])
+
+    def add(x: Forest, x_rows: np.ndarray, x_names: np.ndarray, y: Forest, y_rows: np.ndarray, y_names: np.ndarray) -> None:
+        i, j = x.roots(x_names), y.roots(y_names)
+        i, j = dual(x, i[(i >= 0) & (j >= 0)], y, j[(i >= 0) & (j >= 0)], percent)
+        p, q = x.levels[0], y.levels[0]
+        common = np.concatenate([np.bitwise_count(p[0][i[k : k + 50_000]] & q[0][j[k : k + 50_000]]).sum(axis=1) for k in range(0, len(i), 50_000)] or [i])
+        share = (common + np.minimum(p[3][i], q[3][j])) / (p[1][i] + q[1][j])
+        u, v = node[x_rows[i]], node[y_rows[j]]
+        found.append((np.minimum(u, v), np.maximum(u, v), cell[x_rows[i]], share))
+
+    for w in np.unique(words):
+        own, wider = np.flatnonzero(words == w), np.flatnonzero(words == 2 * w)
+        x = grown(own, w)
+        add(x, own, whole, x, own, whole)
+        # sides differ, so no pair comes twice; a forest with another is never "with itself"
+        if len(two):
+            sides = [np.flatnonzero((words == w) & np.isin(name, k)) for k in (two, two + 1)]
+            if len(sides[0]) and len(sides[1]):
+                add(grown(sides[0], w), sides[0], two, grown(sides[1], w), sides[1], two + 1)
+        if len(wider):
+            y = grown(wider, w)
+            add(x, own, whole, y, wider, whole)
+            add(x, own, two, y, wider, two + 1)
+            add(y, wider, two, x, own, two + 1)
+    return tuple(np.concatenate(c) for c in zip(*found))
+
+
+def spanning(a: np.ndarray, b: np.ndarray, cell: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs of a spanning forest of the graph of all pairs, most similar pairs first, and the cells of the pairs left out."""
+    if not len(a):
+        return a, b, cell
+    order = np.lexsort((cell, b, a, -share))
+    a, b, cell = a[order], b[order], cell[order]
+    again = np.append(False, (a[1:] == a[:-1]) & (b[1:] == b[:-1]))
+    a, b, cell = a[~again], b[~again], cell[~again]
+    ends, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    up, keep = list(range(len(ends))), np.zeros(len(a), bool)
+    for k, (i, j) in enumerate(zip(at[: len(a)].tolist(), at[len(a) :].tolist())):
+        while up[i] != i:
+            up[i] = i = up[up[i]]
+        while up[j] != j:
+            up[j] = j = up[up[j]]
+        if i != j:
+            up[j] = i
+            keep[k] = True
+    return a[keep], b[keep], np.unique(cell[~keep])
 
 
 # -- passes over the texts ---------------------------------------------------------------------------------------------------
 def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"))
+    """doc_id, text, mark: a row is told from another with its id by the mark of its text."""
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"), F.xxhash64(F.coalesce(docs["text"], F.lit(""))).alias("mark"))
 
 
 def _profile(docs: DataFrame, n_words: int) -> DataFrame:
-    """doc_id, n, node (digest of the shingle set), bits (its signature) of each text, and from each task a row with its shingle counters."""
+    """doc_id, mark, n, node (digest of the shingle set), bits (its signature) of each text, and from each task a row with its shingle counters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(COUNTERS, np.int64)
-        names = ["doc_id", "n", "node", "bits", "counts"]
+        names = ["doc_id", "mark", "n", "node", "bits", "counts"]
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
                 sets = [shingles(t, n_words) for t in part.column(1).to_pylist()]
                 counts += np.bincount((np.concatenate(sets) & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) for s in sets], pa.binary()), pa.array([signature(s) for s in sets], pa.list_(pa.int64())), pa.nulls(len(sets), pa.list_(pa.int64()))], names)
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.list_(pa.int64())), pa.array([counts.tolist()], pa.list_(pa.int64()))], names)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) for s in sets], pa.int64()), pa.array([signature(s) for s in sets], pa.list_(pa.int64())), pa.nulls(len(sets), pa.list_(pa.int64()))], names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.int64())), pa.array([counts.tolist()], pa.list_(pa.int64()))], names)
 
-    return _texts(docs).mapInArrow(run, "doc_id long, n long, node binary, bits array<long>, counts array<long>")
+    return _texts(docs).mapInArrow(run, "doc_id long, mark long, n long, node long, bits array<long>, counts array<long>")
 
 
 def _rare(profile: DataFrame) -> np.ndarray:
-    """Which counters hold no very frequent shingle; COUNTERS rows at most come to the driver."""
+    """Which counters hold no frequent shingle: those not six deviations of chance (and 16) above the mean. COUNTERS rows at most
+    come to the driver."""
     rows = profile.where("counts IS NOT NULL").select(F.posexplode("counts").alias("at", "n")).where("n > 0").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(COUNTERS, np.int64)
     counts[rows["at"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
-    return counts < 16 + 4 * counts.mean()
+    return counts <= counts.mean() + 6 * np.sqrt(counts.mean()) + 16
 
 
-def _postings(docs: DataFrame, rare: np.ndarray, n_words: int, percent: int) -> DataFrame:
+def _postings(docs: DataFrame, rare: np.ndarray, n_words: int, percent: int, parts: int) -> DataFrame:
     """token, part, node, n: the prefix of each distinct set (once a task). Rows of frequent shingles are split in parts from 1."""
     packed = np.packbits(rare).tobytes()
 
@@ -198,53 +261,101 @@ def _postings(docs: DataFrame, rare: np.ndarray, n_words: int, percent: int) ->
                         found.append((node, len(tokens), *prefix(tokens, mask, percent)))
                 if found:
                     sizes = np.array([len(f[2]) for f in found])
-                    nodes = pa.array([f[0] for f in found], pa.binary()).take(pa.array(np.repeat(np.arange(len(found)), sizes)))
-                    split = np.repeat(np.array([1 + f[0][0] % PARTS for f in found], np.int32), sizes) * np.concatenate([f[3] for f in found])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[2] for f in found]).view(np.int64)), pa.array(split.astype(np.int32)), nodes, pa.array(np.repeat(np.array([f[1] for f in found], np.int64), sizes))], ["token", "part", "node", "n"])
+                    wide = lambda x, kind: np.repeat(np.array(x, kind), sizes)
+                    split = wide([1 + f[0] % parts for f in found], np.int32) * np.concatenate([f[3] for f in found])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[2] for f in found]).view(np.int64)), pa.array(split.astype(np.int32)), pa.array(wide([f[0] for f in found], np.int64)), pa.array(wide([f[1] for f in found], np.int32))], ["token", "part", "node", "n"])
+
+    return _texts(docs).mapInArrow(run, "token long, part int, node long, n int")
+
+
+def _mixed_up(x: np.ndarray) -> np.ndarray:
+    x = (x.view(np.uint64) ^ (x.view(np.uint64) >> np.uint64(29))) * MIX[0]
+    return (x ^ (x >> np.uint64(32))) * MIX[1]
+
+
+def grouped(token: np.ndarray, part: np.ndarray, node: np.ndarray, n: np.ndarray, percent: int) -> tuple[np.ndarray, ...]:
+    """group, part, node, n of the rows of whole (token, part) runs that have company. Rows that sizes keep apart are apart. A group
+    is named by its members, so the shingles of one passage make one group; a frequent shingle's is named by the shingle, and keeps all rows."""
+    if not len(token):
+        return token, part, node, n
+    order = np.lexsort((node, n, part, token))
+    token, part, node, n = token[order], part[order], node[order], n[order]
+    run = np.append(True, (token[1:] != token[:-1]) | (part[1:] != part[:-1]))
+    keep = run | np.append(True, node[1:] != node[:-1])
+    token, part, node, n, run = token[keep], part[keep], node[keep], n[keep].astype(np.int64), run[keep]
+    first = np.flatnonzero(run | ((part == 0) & np.append(False, 100 * n[:-1] < percent * n[1:])))
+    count = np.diff(np.append(first, len(token)))
+    if not len(first):
+        return token, part, node, n
+    with np.errstate(over="ignore"):
+        name = (np.add.reduceat(_mixed_up(node), first) + count.astype(np.uint64) * MIX[2]).view(np.int64)
+    name = np.where(part[first] > 0, token[first], name)
+    once = np.zeros(len(first), bool)
+    once[np.unique(name, return_index=True)[1]] = True
+    kept = np.repeat((part[first] > 0) | (once & (count > 1)), count)
+    return np.repeat(name, count)[kept], part[kept], node[kept], n[kept]
+
+
+def _groups(postings: DataFrame, percent: int) -> DataFrame:
+    """The rows of postings that have company, by group; a run of rows that a batch ends in waits for the next batch."""
+    names = ["group", "part", "node", "n"]
 
-    return _texts(docs).mapInArrow(run, "token long, part int, node binary, n long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list = []
 
+        def out(columns: list) -> Iterator[pa.RecordBatch]:
+            found = grouped(*columns, percent)
+            if len(found[0]):
+                yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1].astype(np.int32)), pa.array(found[2]), pa.array(found[3].astype(np.int32))], names)
 
-def _sets(docs: DataFrame, nodes: DataFrame, n_words: int) -> DataFrame:
-    """node, tokens of the given digests."""
-    # those of other texts are mostly not built: a bitmap of fixed size (2 MB) has the first three bytes of the digests
-    spot = F.conv(F.hex(F.substring("node", 1, 3)), 16, 10).cast("long") + 1
-    parts = nodes.select(spot.alias("at")).groupBy(F.expr("bitmap_bucket_number(at)").alias("k")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(at))").alias("bits")).collect()
-    bitmap = bytearray(1 << 21)
-    for r in parts:
-        bitmap[(r["k"] - 1) * 4096 : r["k"] * 4096] = bytes(r["bits"])
+        rows = 0
+        for batch in batches:
+            waiting.append([batch.column(k).to_numpy() for k in range(4)])
+            rows += batch.num_rows
+            token, part = waiting[-1][0], waiting[-1][1]
+            if rows < 200_000 or not len(token) or (token[0] == token[-1] and part[0] == part[-1]):
+                continue
+            columns = [np.concatenate(c) for c in zip(*waiting)]
+            end = int(np.flatnonzero((columns[0] != token[-1]) | (columns[1] != part[-1]))[-1]) + 1
+            yield from out([c[:end] for c in columns])
+            waiting, rows = [[c[end:] for c in columns]], len(columns[0]) - end
+        if waiting:
+            yield from out([np.concatenate(c) for c in zip(*waiting)])
+
+    # a run must be whole in one task, in order
+    return postings.repartition("token", "part").sortWithinPartitions("token", "part").mapInArrow(run, "group long, part int, node long, n int")
+
+
+def _sets(docs: DataFrame, profile: DataFrame, nodes: DataFrame, n_words: int) -> DataFrame:
+    """node, tokens of the given nodes, from the texts of one document of each."""
+    ids = profile.join(nodes, "node", "left_semi").groupBy("node").agg(F.max("doc_id").alias("doc_id"))
+    wanted = stored(ids.select("node", F.xxhash64("doc_id").alias("id")))
+    # other texts are mostly left out before they reach Python, by a bitmap of their ids: 16 bits each, 16 MB at most
+    count = wanted.count()
+    if not count:
+        return docs.sparkSession.createDataFrame([], "node long, tokens array<long>")
+    size = 1 << min(27, max(15, (16 * count).bit_length()))
+    found = wanted.groupBy(F.expr(f"pmod(id, {size}) div 32768").alias("k")).agg(F.expr(f"bitmap_construct_agg(pmod(id, {size}) % 32768)").alias("bits")).collect()
+    bitmap = bytearray(size >> 3)
+    for r in found:
+        bitmap[r["k"] * 4096 : (r["k"] + 1) * 4096] = bytes(r["bits"])
     known = bytes(bitmap)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set = set()
+        mask = np.frombuffer(known, np.uint8)
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                out = []
-                for text in batch.column(1).slice(at, SLICE).to_pylist():
-                    tokens = shingles(text, n_words)
-                    node = digest(tokens)
-                    at_bit = int.from_bytes(node[:3], "big")
-                    if len(tokens) and node not in seen and known[at_bit >> 3] >> (at_bit & 7) & 1:
-                        seen.add(node)
-                        out.append({"node": node, "tokens": tokens.view(np.int64)})
-                if out:
-                    yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("node", pa.binary()), ("tokens", pa.list_(pa.int64()))]))
+            at = batch.column(0).to_numpy()
+            pick = np.flatnonzero(mask[at >> 3] >> (at & 7).astype(np.uint8) & 1)
+            for lo in range(0, len(pick), SLICE):
+                sets = [shingles(t, n_words) for t in batch.column(1).take(pa.array(pick[lo : lo + SLICE])).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array([digest(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["node", "tokens"])
 
-    return _texts(docs).mapInArrow(run, "node binary, tokens array<long>").join(nodes, "node", "left_semi").dropDuplicates(["node"])
+    texts = _texts(docs).select(spot_of("doc_id", size).alias("at"), "text")
+    return texts.mapInArrow(run, "node long, tokens array<long>").join(wanted, "node", "left_semi").dropDuplicates(["node"])
 
 
-def _bounded(pairs: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
-    """The pairs that sizes and signatures allow to link: as _possible, for leaves."""
-    one = signs.select(F.col("node").alias("a"), F.col("n").alias("p"), F.col("bits").alias("x"))
-    two = signs.select(F.col("node").alias("b"), F.col("n").alias("q"), F.col("bits").alias("y"))
-    ones = lambda bits: F.aggregate(bits, F.lit(0).cast("long"), lambda t, v: t + F.bit_count(v))
-    half = lambda bits: F.zip_with(F.slice(bits, F.lit(1), (F.size(bits) / 2).cast("int")), F.slice(bits, (F.size(bits) / 2).cast("int") + 1, F.size(bits)), lambda u, v: u.bitwiseOR(v))
-    # sizes that may link differ by a quarter at most, so widths by one fold
-    u, v = F.when(F.size("x") > F.size("y"), half(F.col("x"))).otherwise(F.col("x")), F.when(F.size("y") > F.size("x"), half(F.col("y"))).otherwise(F.col("y"))
-    both = pairs.join(one, "a").join(two, "b").where(100 * F.least("p", "q") >= percent * F.greatest("p", "q")).withColumns({"u": u, "v": v})
-    slack = F.least(F.col("p") - ones(F.col("u")), F.col("q") - ones(F.col("v")))
-    common = ones(F.zip_with("u", "v", lambda s, t: s.bitwiseAND(t))) + slack
-    return both.where(F.least("p", "q", common) * (100 + percent) >= percent * (F.col("p") + F.col("q"))).select("a", "b")
+def spot_of(doc_id: str, size: int):
+    return F.pmod(F.xxhash64(doc_id), F.lit(size)).cast("long")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -263,81 +374,134 @@ def jaccard_components(docs: DataFrame, n_words: int = WORDS, percent: int = PER
     Equal sets are one node, however many rows have them. Repeated rows link. Null ids count for nothing in a component's
     smallest id. An empty table gives no rows; other columns are not read.
 
-    Rows of texts that share a prefix shingle (linked sets share one) are the groups in which signature trees are built. First
-    tree neighbours, the rows next to each other by size and the group's first, are compared; groups that this has made one
-    component are done. In the others two trees are traversed at once: pairs of nodes go on only if the OR of their signatures
-    and their sizes allow a link, and not where both are inside one component. What is left is compared by whole sets.
-    Groups of one leaf are paired as they are, under the same bound; groups of more than BLOCK rows are blocks of a class of
-    sizes, so no group meets in one task.
+    Rows of texts that share a prefix shingle (linked sets share one) are the groups over which signature trees are built; groups
+    with the same members are one. Trees are traversed in pairs: pairs of nodes go on only if the OR of their signatures and their
+    sizes allow a link. Of the pairs that are left, a spanning forest is compared first, by whole sets; where others are left
+    out, trees are traversed again, not where both nodes are inside one component, and all pairs are compared. Groups of more
+    than BLOCK rows are blocks of classes of sizes, so no group meets in one task.
     """
+    known = _labelled(docs, n_words, percent)
+    smallest = stored(known.where("comp IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("rows")).where("rows > 1").drop("rows"))
+    return known.join(smallest, "comp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, n_words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """docs with one row of each component of links: that of the smallest doc_id, a null one counting as the largest, then of the
+    smallest text mark. A row is known by its id and text, so other texts of the same id stay; of rows that repeat both, one
+    stays where the text has shingles. Texts without shingles all stay. Columns are those of docs; an empty table gives no rows."""
+    known = _labelled(docs, n_words, percent).where("comp IS NOT NULL")
+    row = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark")
+    groups = stored(known.groupBy("comp").agg(F.min(row).alias("kept"), F.count("*").alias("rows")).where("rows > 1").select("comp", "kept"))
+    members = known.join(groups, "comp").select(row.alias("row"), "kept")
+    gone = stored(members.where("row <> kept").select("row.doc_id", "row.mark").distinct())
+    again = stored(members.where("row = kept").groupBy("row").count().where("count > 1").select("row.doc_id", "row.mark"))
+    mark = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    same = lambda some: docs["doc_id"].cast("long").eqNullSafe(some["doc_id"]) & (mark == some["mark"])
+    single = docs.join(gone, same(gone), "left_anti").join(again, same(again), "left_anti")
+    return single.unionByName(docs.join(again, same(again), "left_semi").dropDuplicates(["doc_id", "text"]))
+
+
+def _labelled(docs: DataFrame, n_words: int, percent: int) -> DataFrame:
+    """doc_id, mark, n, node, comp of each row of docs: rows of linked texts have the same comp, those without shingles none."""
     profile = stored(_profile(docs, n_words))
     rare = _rare(profile)
     rows = profile.where("n IS NOT NULL")
-    group = Window.partitionBy("token", "part")
-    by_size = group.orderBy("n", "node")
-    posted = _postings(docs, rare, n_words, percent)
-    posted = posted.withColumns({"prev": F.lag("node").over(by_size), "head": F.first("node").over(by_size), "prev_n": F.lag("n").over(by_size), "head_n": F.first("n").over(by_size), "low": F.min("node").over(group), "high": F.max("node").over(group)})
-    # frequent shingles keep all rows: their group goes on in other parts
-    posted = stored(posted.where((F.col("low") != F.col("high")) | (F.col("part") > 0)).select("token", "part", "node", "n", "prev", "prev_n", "head", "head_n"))
-    heads = posted.where("node = head AND prev IS NULL").select("token", "part", "node", "n")
-    over = Window.partitionBy("token").orderBy("part")
-    across = heads.withColumns({"prev": F.lag("node").over(over), "prev_n": F.lag("n").over(over)})
-    near = [posted.select("node", "n", F.col("prev").alias("mate"), F.col("prev_n").alias("mate_n")), posted.select("node", "n", F.col("head").alias("mate"), F.col("head_n").alias("mate_n")), across.select("node", "n", F.col("prev").alias("mate"), F.col("prev_n").alias("mate_n"))]
-    near = near[0].unionByName(near[1]).unionByName(near[2])
-    fits = (F.col("node") != F.col("mate")) & (100 * F.least("n", "mate_n") >= percent * F.greatest("n", "mate_n"))
-    signs = stored(rows.join(posted.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]).select("node", "n", "bits"))
-    pairs = stored(_bounded(near.where(fits).select(F.least("node", "mate").alias("a"), F.greatest("node", "mate").alias("b")).distinct(), signs, percent))
-    sets = stored(_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), n_words))
+    parts = max(PARTS, -(-rows.count() // PART_ROWS))
+    # equal groups have met in different tasks: a row is kept once
+    groups = stored(_groups(_postings(docs, rare, n_words, percent, parts), percent).repartition("group", "part").dropDuplicates(["group", "part", "node"]))
+    signs = stored(rows.select("node", "n", "bits").join(groups.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]))
+    cells = stored(_cells(groups, percent))
+    ends = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    # first a spanning forest of the candidates
+    first = stored(_traversed(cells.withColumn("comp", F.col("node")).join(signs, "node"), percent, forest=True))
+    pairs = stored(first.where("cell IS NULL").select("a", "b").distinct())
+    sets = stored(_sets(docs, rows, ends(pairs), n_words))
     links = stored(_linked(pairs, sets, percent))
-    first = components(links)
-
-    members = posted.select("token", "node", "n").distinct().join(first.withColumnRenamed("label", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    members = stored(members)
-    dropped(posted)
-    # shingles of one passage have the same texts: of groups with equal members (by 192 bits of digests) one is enough
-    marks = [F.xxhash64("node", F.lit(i)) for i in range(2)]
-    loads = members.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("load"), F.sum(marks[0].cast("decimal(20,0)")).alias("s"), F.bit_xor(marks[0]).alias("x"), F.bit_xor(marks[1]).alias("y"))
-    mixed = stored(loads.where("low <> high").groupBy("load", "s", "x", "y").agg(F.min("token").alias("token")).select("token", "load"))
-    one, two = (members.join(mixed.where(F.col("load") <= LEAF).select("token"), "token").select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "comp")]) for x in "ab")
-    leaves = one.join(two, "token").where((F.col("node_a") < F.col("node_b")) & (F.col("comp_a") != F.col("comp_b")) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")))
-    leaves = _bounded(leaves.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), signs, percent)
-    trees = members.join(mixed.where((F.col("load") > LEAF) & (F.col("load") <= BLOCK)).select("token"), "token")
+    # then all that is left between components, in the cells where something was left out
+    labels = components(links).withColumnRenamed("label", "comp")
+    rest = cells.join(first.where("cell IS NOT NULL").select("cell").distinct(), "cell").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    cell = Window.partitionBy("cell")
+    rest = rest.withColumns({"low": F.min("comp").over(cell), "high": F.max("comp").over(cell)}).where("low <> high").drop("low", "high")
+    left = stored(_traversed(rest.join(signs, "node"), percent).select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"))
+    lacking = ends(left).join(sets, "node", "left_anti")
+    more = _linked(left, sets.unionByName(stored(_sets(docs, rows, lacking, n_words))), percent)
+    links = stored(links.unionByName(more))
+    for done in (groups, signs, cells, first, pairs, sets, left):
+        dropped(done)
+    final = components(links)
+
+    known = stored(rows.select("doc_id", "mark", "n", "node").join(final.withColumnRenamed("label", "comp"), "node", "left").withColumn("comp", F.when(F.col("n") > 0, F.coalesce("comp", "node"))))
+    dropped(profile)
+    return known
+
+
+def _cells(groups: DataFrame, percent: int) -> DataFrame:
+    """cell, side, node: what trees are built of. A group of up to BLOCK rows is a cell (side -1). A larger one is cut in classes of
+    sizes and these in blocks: each block is a cell, and so are two blocks (sides 0 and 1) of one class or of neighbouring ones."""
+    # groups of frequent shingles are named by them: of those with equal members (by 128 bits) one is enough
+    weight = F.ceil(F.greatest(F.lit(1), F.least(F.col("n"), F.lit(MOST_BITS)) / ROW_SHINGLES))
+    marks = [F.sum(F.xxhash64("node", F.lit(i)).cast("decimal(20,0)")).alias(f"s{i}") for i in range(2)]
+    loads = groups.groupBy("group").agg(F.sum(weight).alias("load"), F.count("*").alias("count"), *marks).where("count > 1")
+    loads = stored(loads.groupBy("load", "count", "s0", "s1").agg(F.min("group").alias("group")).select("group", "load"))
     zero = F.lit(0)
-    trees = trees.select("token", "node", "n", "comp", zero.alias("k"), zero.alias("i"), zero.alias("j"), zero.alias("up"), F.lit(True).alias("own"), zero.alias("side"))
+    cells = groups.join(loads.where(F.col("load") <= BLOCK).select("group"), "group").select(F.col("group").alias("cell"), F.lit(-1).alias("side"), "node")
+    large = loads.where(F.col("load") > BLOCK).select("group")
+    if large.isEmpty():
+        return cells
     klass = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.01 * 100 / percent))).cast("int")
-    members = members.join(mixed.where(F.col("load") > BLOCK).select("token"), "token").withColumn("klass", klass)
-    loads = stored(members.groupBy("token", "klass").agg(F.count("*").alias("load")).withColumn("blocks", F.ceil(F.col("load") / BLOCK).cast("int")).drop("load"))
-    members = members.join(loads, ["token", "klass"]).join(loads.select("token", (F.col("klass") - 1).alias("klass"), F.col("blocks").alias("above")), ["token", "klass"], "left").join(loads.select("token", (F.col("klass") + 1).alias("klass"), F.col("blocks").alias("below")), ["token", "klass"], "left")
-    members = members.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-
-    def spread(of: str, k, make) -> DataFrame:
-        """The groups of the members' blocks with each block of a class; empty where the class has none."""
-        return members.where(F.col(of).isNotNull()).select("*", F.explode(F.sequence(F.lit(0), F.col(of) - 1)).alias("other")).select("token", "node", "n", "comp", k.alias("k"), *make)
-
-    same, mine, other = F.lit(False), F.col("block"), F.col("other")
-    sides = [
-        members.select("token", "node", "n", "comp", F.col("klass").alias("k"), mine.alias("i"), mine.alias("j"), F.lit(0).alias("up"), F.lit(True).alias("own"), F.lit(0).alias("side")),
-        spread("blocks", F.col("klass"), [F.least(mine, other).alias("i"), F.greatest(mine, other).alias("j"), F.lit(0).alias("up"), same.alias("own"), (mine > other).cast("int").alias("side")]).where("i < j"),
-        spread("above", F.col("klass"), [mine.alias("i"), other.alias("j"), F.lit(1).alias("up"), same.alias("own"), F.lit(0).alias("side")]),
-        spread("below", F.col("klass") - 1, [other.alias("i"), mine.alias("j"), F.lit(1).alias("up"), same.alias("own"), F.lit(1).alias("side")]),
-    ]
-    cells = sides[0]
-    for s in sides[1:]:
-        cells = cells.unionByName(s)
-    cell = Window.partitionBy("token", "k", "i", "j", "up")
-    cells = cells.withColumns({"low": F.min("comp").over(cell), "high": F.max("comp").over(cell)}).where("low <> high").drop("low", "high").unionByName(trees)
-    cells = cells.join(signs.select("node", "bits"), "node")
-    left = cells.groupBy("token", "k", "i", "j", "up").applyInPandas(lambda g: tree_pairs(g, percent), "a binary, b binary")
-    left = stored(_bounded(left.distinct(), signs, percent).unionByName(leaves).distinct())
-    lacking = stored(left.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(sets, "node", "left_anti"))
-    if not lacking.isEmpty():
-        sets = sets.unionByName(stored(_sets(docs, lacking, n_words)))
-    more = _linked(left, sets, percent)
-    final = components(links.unionByName(more))
-
-    known = stored(rows.select("doc_id", "n", "node").join(final.withColumnRenamed("label", "comp"), "node", "left").withColumn("comp", F.when(F.col("n") > 0, F.coalesce("comp", "node"))))
-    smallest = stored(known.where("comp IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("rows")).where("rows > 1").drop("rows"))
-    return known.join(smallest, "comp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    large = stored(groups.join(large, "group").withColumn("klass", klass))
+    loads = stored(large.groupBy("group", "klass").agg(F.ceil(F.sum(weight) / BLOCK).cast("int").alias("blocks")))
+    large = large.join(loads, ["group", "klass"]).join(loads.select("group", (F.col("klass") - 1).alias("klass"), F.col("blocks").alias("above")), ["group", "klass"], "left").join(loads.select("group", (F.col("klass") + 1).alias("klass"), F.col("blocks").alias("below")), ["group", "klass"], "left")
+    large = large.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    mine, other = F.col("block"), F.col("other")
+
+    def spread(of: str, i, j, k, side) -> DataFrame:
+        """The cells in which a row's block meets each block of a class; none where there is no such class."""
+        met = large.where(F.col(of).isNotNull()).select("*", F.explode(F.sequence(F.lit(0), F.col(of) - 1)).alias("other")).where((mine != other) | F.lit(of != "blocks"))
+        return met.select(F.xxhash64("group", k, i, j, F.lit(of == "blocks")).alias("cell"), side.cast("int").alias("side"), "node")
+
+    cells = cells.unionByName(large.select(F.xxhash64("group", "klass", "block").alias("cell"), F.lit(-1).alias("side"), "node"))
+    cells = cells.unionByName(spread("blocks", F.least(mine, other), F.greatest(mine, other), F.col("klass"), mine > other))
+    return cells.unionByName(spread("above", mine, other, F.col("klass"), zero)).unionByName(spread("below", other, mine, F.col("klass") - 1, F.lit(1)))
+
+
+def _traversed(cells: DataFrame, percent: int, forest: bool = False) -> DataFrame:
+    """a, b, cell: the candidate pairs of all cells, cell null; with forest a spanning forest of those that one traversal finds, and
+    rows with just a cell, for each from which a pair was left out. A task takes its cells in order, as many at once as make
+    CHUNK rows or 8 MB of signatures."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, weight = [], 0
+        schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("cell", pa.int64())])
+
+        def out(columns: list, bits: list) -> Iterator[pa.RecordBatch]:
+            if not bits:
+                return
+            a, b, cell, share = tree_pairs(*columns, bits, percent)
+            a, b, cut = spanning(a, b, cell, share) if forest else (*np.unique(np.stack([a, b]), axis=1), cell[:0])
+            for at in range(0, len(a), 10_000):
+                part = a[at : at + 10_000]
+                yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(b[at : at + 10_000]), pa.nulls(len(part), pa.int64())], schema=schema)
+            if len(cut):
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(cut), pa.int64()), pa.nulls(len(cut), pa.int64()), pa.array(cut)], schema=schema)
+
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                batch = whole.slice(at, 1000)
+                offsets, flat = batch.column(5).offsets.to_numpy(), batch.column(5).values.to_numpy()
+                waiting.append(([batch.column(k).to_numpy() for k in range(5)], [flat[i:j] for i, j in zip(offsets[:-1], offsets[1:])]))
+                weight += max(batch.num_rows, (offsets[-1] - offsets[0]) * 8 * CHUNK >> 23)
+                last = waiting[-1][0][0]
+                if weight >= CHUNK and last[0] != last[-1]:
+                    columns, bits = [np.concatenate(c) for c in zip(*(w[0] for w in waiting))], [b for w in waiting for b in w[1]]
+                    end = int(np.flatnonzero(columns[0] != last[-1])[-1]) + 1
+                    yield from out([c[:end] for c in columns], bits[:end])
+                    waiting, weight = [([c[end:] for c in columns], bits[end:])], 0
+        if waiting:
+            yield from out([np.concatenate(c) for c in zip(*(w[0] for w in waiting))], [b for w in waiting for b in w[1]])
+
+    ordered = cells.select("cell", "side", "node", F.col("n").cast("long").alias("n"), "comp", "bits").repartition("cell").sortWithinPartitions("cell")
+    return ordered.mapInArrow(run, "a long, b long, cell long")
 
 
 def brute_force(texts: list[tuple], n_words: int = WORDS, percent: int = PERCENT) -> dict:

@@ -56,9 +56,14 @@ def test_dual_traversal_loses_no_link():
     r = np.random.default_rng(4)
     sets = [np.unique(r.integers(0, 2**63, 80, dtype=np.uint64)) for _ in range(6)]
     sets = [np.unique(np.concatenate([s[r.random(len(s)) > 0.05], r.integers(0, 2**63, 3, dtype=np.uint64)])) for s in sets for _ in range(12)]
-    sets.sort(key=len)
-    tree = jaccard_join.Tree(np.array([len(s) for s in sets]), np.stack([jaccard_join.folded(jaccard_join.signature(s)) for s in sets]).view(np.uint64), np.arange(len(sets)))
-    found = set(zip(*map(list, jaccard_join.dual(tree, tree))))
+    sets += [np.unique(r.integers(0, 2**63, k, dtype=np.uint64)) for k in (250, 260, 600, 5000, 5000, 5100)]
+    sets += [np.append(s, np.uint64(7)) for s in sets[-6:]]
+    n = np.array([len(s) for s in sets])
+    bits, every = [jaccard_join.signature(s) for s in sets], np.arange(len(sets))
+    sides = [np.full(len(sets), -1), every % 2]
+    whole, halves = (set(zip(*map(list, jaccard_join.tree_pairs(np.zeros(len(sets), np.int64), side, every, n, every, bits)[:2]))) for side in sides)
+    assert halves == {(i, j) for i, j in whole if i % 2 != j % 2}
+    found = whole
     links = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))}
     assert links and links <= found and len(found) < len(sets) * (len(sets) - 1) / 4
 
