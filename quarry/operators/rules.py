@@ -1,57 +1,18 @@
-"""Pattern rules over trees: declarative rows in, findings out."""
+"""Rules that are tree patterns: declarative rows in, findings out."""
 
 from __future__ import annotations
 
-import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.scalars import SEVERITIES, message, severity_rank, snippet
+from quarry.functions.scalars import message, severity_rank, snippet
 from quarry.plans import treequery
 from quarry.sources.store import materialised
 
 from .findings import one_each
 
-JS = ("javascript", "typescript", "tsx")
-#: Pattern rules for JavaScript. filters: capture with pattern, equals or any_of, and negate.
-JS_RULES = [
-    {"id": "js.debugger-left", "severity": "low", "category": "quality", "cwe": ["CWE-489"], "message": "A debugger statement was left in.", "query": "(debugger_statement) @finding"},
-    {"id": "js.swallowed-error", "severity": "low", "category": "quality", "cwe": ["CWE-390"], "message": "This catch block does nothing.", "query": "(catch_clause body: (statement_block .) @body) @finding"},
-    {"id": "js.console-output", "severity": "info", "category": "quality", "cwe": [], "message": "Output through console.${how}.", "query": '(call_expression function: (member_expression object: (identifier) @who property: (property_identifier) @how) (#eq? @who "console")) @finding'},
-    {"id": "js.dynamic-code", "severity": "high", "category": "security", "cwe": ["CWE-95"], "message": "Code is built from a value: ${arg}.", "query": '(call_expression function: (identifier) @fn arguments: (arguments . (_) @arg) (#any-of? @fn "eval" "Function" "setTimeout")) @finding', "filters": [{"capture": "arg", "pattern": "^([\"'`][^$]*$|function|\\(|[A-Za-z_$][\\w$]*\\s*=>)", "negate": True}]},
-    {"id": "js.weak-digest", "severity": "medium", "category": "security", "cwe": ["CWE-327", "CWE-328"], "message": "${name} is no longer safe.", "query": '(call_expression function: (member_expression property: (property_identifier) @m) arguments: (arguments . (string (string_fragment) @name)) (#eq? @m "createHash") (#match? @name "^(?i)(md4|md5|sha-?1)$")) @finding'},
-    {"id": "js.secret-in-code", "severity": "high", "category": "security", "cwe": ["CWE-798"], "message": "${name} is set to a literal.", "query": "(variable_declarator name: (identifier) @name value: (string (string_fragment) @value)) @finding (assignment_expression left: [(identifier) (member_expression)] @name right: (string (string_fragment) @value)) @finding (pair key: (property_identifier) @name value: (string (string_fragment) @value)) @finding", "filters": [{"capture": "name", "pattern": "(?i)(passw(or)?d|secret|api_?key|token)$"}, {"capture": "value", "pattern": "^.{6,}$"}, {"capture": "value", "pattern": "(?i)(example|changeme|placeholder)", "negate": True}]},
-    {"id": "js.tracking-call", "severity": "info", "category": "quality", "cwe": [], "message": "track(${n})", "query": '(call_expression function: (identifier) @fn arguments: (arguments . (number) @n .) (#eq? @fn "track")) @finding'},
-]
-
-
-def validate(rule: dict) -> None:
-    """Raises ValueError for a rule that can't run."""
-    if not rule.get("id") or rule.get("severity", "medium") not in SEVERITIES or not rule.get("query"):
-        raise ValueError(f"rule {rule.get('id')!r} lacks an id, a known severity or a query")
-    treequery.parse(rule["query"])
-    for f in rule.get("filters", ()):
-        if not f.get("capture") or not {"pattern", "equals", "any_of"} & set(f):
-            raise ValueError(f"rule {rule['id']}: a filter needs a capture and a test")
-        re.compile(f.get("pattern", "").replace("(?i)", ""))
-
-
-def compiled(rules: list[dict]) -> tuple[list[dict], list[str]]:
-    """The rules that can run, later ones replacing those of the same id, and a warning for each other."""
-    good, warnings = {}, []
-    for r in rules:
-        try:
-            validate(r)
-        except (ValueError, re.error) as e:
-            warnings.append(f"{r.get('id')}: {e}")
-            continue
-        if r["id"] in good:
-            warnings.append(f"{r['id']}: replaced by a later rule")
-        good[r["id"]] = r
-    return list(good.values()), list(dict.fromkeys(warnings))
-
 
 def filter_column(f: dict, text: Column) -> Column:
     """All tests of a filter hold, or with negate do not; a missing capture passes only a negated filter."""
@@ -81,4 +42,5 @@ def pattern_findings(nodes: DataFrame, files: DataFrame, rules: list[dict]) -> D
         parts.append(hits)
     found = one_each(reduce(lambda a, b: a.unionByName(b), parts), ["path", "rule_id", "start_byte", "end_byte"], ["message"])
     line = F.element_at(F.split("text", "\r?\n"), F.col("start_line"))
-    return found.join(files.select("path", "text"), "path").withColumns({"severity_rank": severity_rank(F.col("severity")), "snippet": snippet(line)}).drop("text").withColumnRenamed("start_line", "line")
+    texts = files.select("path", "text").join(found.select("path").distinct(), "path", "left_semi")
+    return found.join(texts, "path").withColumns({"severity_rank": severity_rank(F.col("severity")), "snippet": snippet(line)}).drop("text").withColumnRenamed("start_line", "line")

@@ -118,6 +118,10 @@ def prepared(nodes: DataFrame) -> DataFrame:
     return out.withColumn("places", F.count_if(real).over(w))
 
 
+def _captures(p: Pattern) -> bool:
+    return bool(p.captures) or any(_captures(c) for c in [*p.children, *p.choices])
+
+
 def _match(p: Pattern, nodes: DataFrame, kinds: dict) -> DataFrame:
     """path, _id, _parent, _field, _ix, _place, _places and a struct for each capture."""
     if p.choices:
@@ -131,26 +135,50 @@ def _match(p: Pattern, nodes: DataFrame, kinds: dict) -> DataFrame:
         base = nodes if p.kind == "_" else nodes.where(F.col("kind") == p.kind)
         own = F.struct(*CAPTURE)
         df = base.select("path", F.col("id").alias("_id"), F.col("parent_id").alias("_parent"), F.col("field").alias("_field"), F.col("sibling_ix").alias("_ix"), F.col("place").alias("_place"), F.col("places").alias("_places"), *[own.alias(f"c_{c}") for c in p.captures])
-    before, number = None, 0
-    kids = [c for c in p.children if c.repeat not in ("*",) or c.captures]
-    for n, c in enumerate(kids):
+    before, number, gap = None, 0, None
+
+    def between(left: str | None, right: Column, touch_left: bool, touch_right: bool) -> Column:
+        """Whether what stands between two places is as the repeated child before the right one asks."""
+        places, repeat = gap
+        low = F.lit(-1) if left is None else F.col(f"{left}_place")
+        inside = F.filter(places, lambda x: (x > low) & (x < right))
+        if touch_left and touch_right:
+            return (F.size(inside) == right - low - 1) & (F.lit(repeat == "*") | (F.size(inside) > 0))
+        if repeat == "*":
+            return F.lit(True)
+        near = (F.lit(not touch_left) | F.array_contains(inside, low + 1)) & (F.lit(not touch_right) | F.array_contains(inside, right - 1))
+        return near & (F.size(inside) > 0)
+
+    for c in p.children:
         number += 1
+        k = f"_k{number}"
+        if c.repeat in ("*", "+") and not _captures(c):
+            kept = _match(c, nodes, kinds)
+            kept = (kept.where(F.col("_field") == c.field) if c.field else kept).groupBy(F.col("path").alias(f"{k}_path"), F.col("_parent").alias(f"{k}_parent")).agg(F.collect_set("_place").alias(f"{k}_all"))
+            df = df.join(kept, (F.col("path") == F.col(f"{k}_path")) & (F.col("_id") == F.col(f"{k}_parent")), "left")
+            gap, touch = (F.coalesce(f"{k}_all", F.array().cast("array<long>")), c.repeat), c.anchored
+            continue
         child = _match(c, nodes, kinds)
         if c.field:
             child = child.where(F.col("_field") == c.field)
-        k = f"_k{number}"
         child = child.select(F.col("path").alias(f"{k}_path"), F.col("_parent").alias(f"{k}_parent"), F.col("_ix").alias(f"{k}_ix"), F.col("_place").alias(f"{k}_place"), F.col("_places").alias(f"{k}_places"), *[x for x in child.columns if x.startswith("c_")])
         on = (F.col("path") == F.col(f"{k}_path")) & (F.col("_id") == F.col(f"{k}_parent"))
-        if before is None:
-            if c.anchored:
-                on &= F.col(f"{k}_place") == 0
-        else:
-            on &= F.col(f"{k}_place") == F.col(f"{before}_place") + 1 if c.anchored else F.coalesce(F.col(f"{k}_ix") > F.col(f"{before}_ix"), F.lit(True))
-        if p.last and n == len(kids) - 1:
-            on &= F.col(f"{k}_place") == F.col(f"{k}_places") - 1
+        here = F.col(f"{k}_place")
+        if before is not None:
+            on &= F.coalesce(F.col(f"{k}_ix") > F.col(f"{before}_ix"), F.lit(True))
+        if gap is not None:
+            on &= between(before, here, touch, c.anchored)
+        elif c.anchored:
+            on &= here == (F.lit(0) if before is None else F.col(f"{before}_place") + 1)
+        if p.last and c is p.children[-1]:
+            on &= here == F.col(f"{k}_places") - 1
         df = df.join(child, on, "left" if c.repeat in ("?", "*") else "inner")
-        before = k
-    if p.last and not kids:
+        before, gap = k, None
+    if gap is not None:
+        n = nodes.where("kind <> 'comment'").groupBy(F.col("path").alias("_k_path"), F.col("parent_id").alias("_k_parent")).agg(F.count("*").alias("_k_n"))
+        df = df.join(n, (F.col("path") == F.col("_k_path")) & (F.col("_id") == F.col("_k_parent")), "left")
+        df = df.where(between(before, F.coalesce("_k_n", F.lit(0)), touch, p.last))
+    if p.last and not p.children:
         have = nodes.where("kind <> 'comment'").select("path", F.col("parent_id").alias("_id")).distinct()
         df = df.join(have, ["path", "_id"], "left_anti")
     for pred in p.predicates:

@@ -44,7 +44,7 @@ def read_folder(spark: SparkSession, root: str, overrides: dict[str, str] | None
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     base = root.rstrip("/")
     relative = F.regexp_replace(F.regexp_replace(F.col("path"), "^[a-z]+:/*", "/"), "^.*?" + _quoted(base.split("://")[-1].lstrip("/")) + "/", "")
-    files = raw.select(relative.alias("path"), F.col("length").alias("size"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"), content_hash(F.col("content")).alias("content_hash"))
+    files = raw.select(relative.alias("path"), F.col("length").alias("size"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"), content_hash(F.col("content")).alias("content_hash"), F.when(F.col("content").isNull(), F.lit("no content")).alias("read_error"))
     return with_language(files.where(~F.col("path").rlike(r"(^|/)\.")), overrides)
 
 

@@ -13,6 +13,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import tree
+from .tree import Bad, Node
+
 SPACE = re.compile(r"[\s﻿]+")
 COMMENT = re.compile(r"//[^\n]*|/\*.*?(?:\*/|\Z)", re.S)
 NAME = re.compile(r"#?[^\W\d][\w$]*|[$][\w$]*", re.U)
@@ -22,19 +25,6 @@ MARK = re.compile(r">>>=|\.\.\.|===|!==|\*\*=|<<=|>>=|>>>|&&=|\|\|=|\?\?=|=>|==|
 ASSIGN = {"+=", "-=", "*=", "/=", "%=", "**=", "<<=", ">>=", ">>>=", "&=", "|=", "^=", "&&=", "||=", "??="}
 BINARY = {"??": 1, "||": 2, "&&": 3, "|": 4, "^": 5, "&": 6, "==": 7, "!=": 7, "===": 7, "!==": 7, "<": 8, ">": 8, "<=": 8, ">=": 8, "instanceof": 8, "in": 8, "<<": 9, ">>": 9, ">>>": 9, "+": 10, "-": 10, "*": 11, "/": 11, "%": 11, "**": 12}
 BEFORE_REGEX = {"return", "typeof", "case", "in", "of", "delete", "void", "throw", "new", "else", "do", "await", "yield", "instanceof"}
-#: Statements nested deeper than this become ERROR nodes.
-DEEPEST = 150
-
-
-class Node:
-    __slots__ = ("kind", "start", "end", "children")
-
-    def __init__(self, kind: str, start: int, end: int, children: list | None = None):
-        self.kind, self.start, self.end, self.children = kind, start, end, children or []
-
-
-class Bad(Exception):
-    pass
 
 
 def tokens(text: str, at: int, stop: int) -> tuple[list[tuple], list[Node]]:
@@ -94,10 +84,10 @@ def _template_end(text: str, at: int, stop: int) -> int:
 
 
 class Parser:
-    def __init__(self, text: str, at: int = 0, stop: int | None = None, depth: int = 0):
-        self.text, self.stop, self.depth = text, len(text) if stop is None else stop, depth
+    def __init__(self, text: str, at: int = 0, stop: int | None = None):
+        self.text, self.stop = text, len(text) if stop is None else stop
         self.toks, self.comments = tokens(text, at, self.stop)
-        self.i = 0
+        self.i, self.closers = 0, None
 
     # -- tokens ------------------------------------------------------------------------------------------------------
     def val(self, k: int = 0) -> str:
@@ -147,10 +137,7 @@ class Parser:
         out = []
         while self.i < len(self.toks) and (not closer or self.val() != closer):
             at, here = self.i, self.start
-            self.depth += 1
             try:
-                if self.depth > DEEPEST:
-                    raise Bad
                 s = self.statement()
             except (Bad, RecursionError):
                 self.i = max(self.i, at + 1)
@@ -161,7 +148,6 @@ class Parser:
                 if self.val() == "}" and not closer or self.val() == ";":
                     self.i += 1
                 s = Node("ERROR", here, self.last)
-            self.depth -= 1
             if s is not None:
                 out.append(s)
             if self.i == at:
@@ -531,39 +517,35 @@ class Parser:
         return self.done("arrow_function", here, [p, ("body", body)])
 
     def _closes_before_arrow(self) -> bool:
-        level = 0
-        for j in range(self.i, len(self.toks)):
-            v = self.toks[j][1] if self.toks[j][0] == "mark" else ""
-            level += (v in ("(", "[", "{")) - (v in (")", "]", "}"))
-            if level == 0:
-                after = self.toks[j + 1][1] if j + 1 < len(self.toks) else ""
-                return after == "=>"
-        return False
+        if self.closers is None:
+            self.closers, open_ = {}, []
+            for j, t in enumerate(self.toks):
+                v = t[1] if t[0] == "mark" else ""
+                if v in ("(", "[", "{"):
+                    open_.append(j)
+                elif v in (")", "]", "}") and open_:
+                    self.closers[open_.pop()] = j
+        j = self.closers.get(self.i)
+        return j is not None and j + 1 < len(self.toks) and self.toks[j + 1][1] == "=>"
 
     def expression(self, no_in: bool = False) -> Node:
-        self.depth += 1
-        try:
-            if self.depth > DEEPEST:
-                raise Bad
-            here = self.start
-            if (self.kind() == "name" or self.val() == "(") and (a := self.arrow()):
-                return a
-            left = self.binary(0, no_in)
-            v = self.val()
-            if v == "?":
-                self.i += 1
-                yes = self.expression()
-                self.need(":")
-                return self.done("ternary_expression", here, [("condition", left), ("consequence", yes), ("alternative", self.expression(no_in))])
-            if v == "=":
-                self.i += 1
-                return self.done("assignment_expression", here, [("left", left), ("right", self.expression(no_in))])
-            if v in ASSIGN:
-                self.i += 1
-                return self.done("augmented_assignment_expression", here, [("left", left), ("right", self.expression(no_in))])
-            return left
-        finally:
-            self.depth -= 1
+        here = self.start
+        if (self.kind() == "name" or self.val() == "(") and (a := self.arrow()):
+            return a
+        left = self.binary(0, no_in)
+        v = self.val()
+        if v == "?":
+            self.i += 1
+            yes = self.expression()
+            self.need(":")
+            return self.done("ternary_expression", here, [("condition", left), ("consequence", yes), ("alternative", self.expression(no_in))])
+        if v == "=":
+            self.i += 1
+            return self.done("assignment_expression", here, [("left", left), ("right", self.expression(no_in))])
+        if v in ASSIGN:
+            self.i += 1
+            return self.done("augmented_assignment_expression", here, [("left", left), ("right", self.expression(no_in))])
+        return left
 
     def binary(self, least: int, no_in: bool) -> Node:
         here, left = self.start, self.unary()
@@ -654,7 +636,7 @@ class Parser:
                     at += 2
                 elif self.text.startswith("${", at):
                     end = self._closing(at + 2, b)
-                    inner = Parser(self.text, at + 2, end, self.depth + 1)
+                    inner = Parser(self.text, at + 2, end)
                     try:
                         e = inner.sequence() if inner.toks else None
                     except (Bad, RecursionError):
@@ -743,7 +725,7 @@ def _place(root: Node, c: Node) -> None:
 
 
 def parse(text: str) -> Node:
-    return Parser(text).program()
+    return tree.deeply(lambda t: Parser(t).program(), text)
 
 
 COLUMNS = "path string, id int, parent_id int, field string, kind string, sibling_ix int, siblings int, pre int, post int, depth int, start_byte int, end_byte int, start_line int, start_col int, end_line int, end_col int, text string"
@@ -751,36 +733,7 @@ SCHEMA = pa.schema([(c.split()[0], pa.int32() if c.split()[1] == "int" else pa.s
 
 
 def rows(path: str, text: str) -> Iterator[dict]:
-    """The tree's rows in preorder. Offsets are bytes of UTF-8; lines and columns count from 1, columns in bytes."""
-    raw = text.encode("utf-8", "surrogatepass")
-    ascii_only = len(raw) == len(text)
-    byte_at = None if ascii_only else [0]
-    if byte_at is not None:
-        for c in text:
-            byte_at.append(byte_at[-1] + len(c.encode("utf-8", "surrogatepass")))
-    line_starts = [0] + [m.end() for m in re.finditer(b"\n", raw)]
-    from bisect import bisect_right
-
-    def spot(at: int) -> tuple[int, int, int]:
-        b = at if byte_at is None else byte_at[at]
-        line = bisect_right(line_starts, b)
-        return b, line, b - line_starts[line - 1] + 1
-
-    out, post = [], 0
-    todo = [(parse(text), None, None, 0, 1, 0, False)]
-    while todo:
-        node, parent, field, sibling, siblings, depth, closing = todo.pop()
-        if closing:
-            out[sibling]["post"] = post
-            post += 1
-            continue
-        i, (sb, sl, sc), (eb, el, ec) = len(out), spot(node.start), spot(node.end)
-        out.append({"path": path, "id": i, "parent_id": parent, "field": field, "kind": node.kind, "sibling_ix": sibling, "siblings": siblings, "pre": i, "depth": depth, "start_byte": sb, "end_byte": eb, "start_line": sl, "start_col": sc, "end_line": el, "end_col": ec, "text": text[node.start : node.end] if node.kind != "program" else ""})
-        todo.append((node, None, None, i, 0, 0, True))
-        for k in range(len(node.children) - 1, -1, -1):
-            f, c = node.children[k]
-            todo.append((c, i, f, k, len(node.children), depth + 1, False))
-    return iter(out)
+    return tree.rows(path, text, parse)
 
 
 def nodes(files: DataFrame) -> DataFrame:

@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a temporary folder only where it is unset, as in local tests."""
+    """spark.checkpoint.dir; a temporary folder only where it is unset and there is one machine, as in tests."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = f"file://{os.path.join(tempfile.gettempdir(), f'quarry-{spark.sparkContext.applicationId}')}"
         spark.conf.set("spark.checkpoint.dir", where)
     return where
