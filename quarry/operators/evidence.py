@@ -35,3 +35,19 @@ def verify(files: DataFrame, findings: DataFrame) -> DataFrame:
 def recorded(verified: DataFrame) -> DataFrame:
     """What may be written down as evidence: rules without a failure."""
     return verified.where(F.size("failures") == 0).select("rule_id", "positives", "negatives").orderBy("rule_id")
+
+
+def write(path: str, rows: list) -> None:
+    """Evidence as YAML: positives and negatives of each rule without a failure, by id. A row a rule."""
+    lines = ["# Written by `rules verify`; measured, not edited."]
+    lines += [f"{r['rule_id']}: {{positives: {r['positives']}, negatives: {r['negatives']}}}" for r in sorted(rows, key=lambda r: r["rule_id"])]
+    with open(path, "w", encoding="utf-8") as f:
+        f.write("\n".join(lines) + "\n")
+
+
+def read(path: str) -> dict:
+    """rule to (positives, negatives)."""
+    import yaml
+
+    with open(path, encoding="utf-8") as f:
+        return {k: (v["positives"], v["negatives"]) for k, v in (yaml.safe_load(f) or {}).items()}

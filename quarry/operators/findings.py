@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.scalars import fingerprint, severity_rank, snippet
@@ -16,22 +16,27 @@ def lines(files: DataFrame) -> DataFrame:
 
 
 def line_findings(files: DataFrame, rules: list[dict]) -> DataFrame:
-    """The first match of each line rule in each line of files of its languages. rules: id, severity, pattern, and maybe langs
-    (all), unless (a pattern that the match must not have). The rules become one array per line, so lines are read once."""
+    """All matches of each line rule in each line of files of its languages. rules: id, severity, pattern, and maybe langs
+    (all), unless (a pattern that a match must not have). The rules become one array per line, so lines are read once; a rule's
+    pattern is tried only where its languages fit."""
+    none = F.array().cast("array<string>")
     hits = []
     for r in rules:
-        found = F.regexp_extract("line_text", r["pattern"], 0)
-        ok = F.col("line_text").rlike(r["pattern"])
-        if r.get("unless"):
-            ok &= ~found.rlike(r["unless"])
-        if r.get("langs"):
-            ok &= F.col("lang").isin(*r["langs"])
-        hits.append(F.when(ok, F.struct(F.lit(r["id"]).alias("rule_id"), F.lit(r["severity"]).alias("severity"), found.alias("match"))))
-    out = lines(files).withColumn("hit", F.explode(F.filter(F.array(*hits), lambda h: h.isNotNull())))
-    before = F.substring("line_text", F.lit(1), F.instr(F.col("line_text"), F.col("match")) - 1)
+        fits = F.col("lang").isin(*r["langs"]) if r.get("langs") else F.lit(True)
+        found = F.when(fits & F.col("line_text").rlike(r["pattern"]), F.regexp_extract_all("line_text", F.lit(r["pattern"]), F.lit(0))).otherwise(none)
+        hits.append(_hits(r, found))
+    out = lines(files).withColumn("all", F.flatten(F.array(*hits))).where(F.size("all") > 0).withColumn("hit", F.explode("all")).drop("all")
+    # where a match starts: after the pieces and the matches before it
+    pieces = F.split("line_text", F.col("pattern"))
+    before = F.concat(F.array_join(F.slice(pieces, F.lit(1), F.col("nth") + 1), ""), F.array_join(F.slice("earlier", F.lit(1), F.col("nth")), ""))
     return out.select(
         *[c for c in out.columns if c not in ("hit", "line_text")], "hit.*", "line_text"
-    ).withColumns({"start_col": F.octet_length(before) + 1, "severity_rank": severity_rank(F.col("severity")), "snippet": snippet(F.col("line_text"))}).drop("line_text")
+    ).withColumns({"start_col": F.octet_length(before) + 1, "severity_rank": severity_rank(F.col("severity")), "snippet": snippet(F.col("line_text"))}).drop("line_text", "pattern", "earlier", "nth")
+
+
+def _hits(r: dict, found: Column) -> Column:
+    hit = F.transform(found, lambda m, i: F.struct(F.lit(r["id"]).alias("rule_id"), F.lit(r["severity"]).alias("severity"), m.alias("match"), i.alias("nth"), F.lit(r["pattern"]).alias("pattern"), found.alias("earlier")))
+    return F.filter(hit, lambda h: ~h["match"].rlike(r["unless"])) if r.get("unless") else hit
 
 
 def with_fingerprints(findings: DataFrame) -> DataFrame:

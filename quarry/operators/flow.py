@@ -45,9 +45,55 @@ def hops(exports: DataFrame, depth: int = 4) -> DataFrame:
     return one_each(out, ["start", "name"], [F.desc("hop"), "target"]).select("start", "name", "target", "hop")
 
 
-def set_hash(values: Column) -> Column:
-    """A digest of the sorted distinct values of a group."""
-    return F.sha2(F.array_join(F.array_sort(F.collect_set(values)), "\n"), 256)
+def set_hash(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """key, digest, count of the distinct values (hex digits) of each key: values are sorted and digested by their first two
+    digits, then the digests in order, so that a key with very many values is no single task."""
+    part = F.substring(value, 1, 2)
+    parts = rows.select(key, value).distinct().groupBy(key, part.alias("part")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(value)), "\n"), 256).alias("digest"), F.count("*").alias("n"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "digest"))), lambda p: p["digest"]), "\n")
+    return parts.groupBy(key).agg(F.sha2(whole, 256).alias("digest"), F.sum("n").alias("count"))
+
+
+def visible(uses: DataFrame, writes: DataFrame, ancestors: DataFrame) -> DataFrame:
+    """uses (use_id, scope, base, at) joined to the writes (scope, base, written, origin) that they see: those before them in their
+    own scope, all in scopes around it (ancestors: child, ancestor); the earliest write of each origin."""
+    own = uses.join(writes, ["scope", "base"]).where("written < at").select("use_id", "origin", "written")
+    up = uses.join(ancestors, uses["scope"] == ancestors["child"]).select("use_id", F.col("ancestor").alias("scope"), "base")
+    return own.unionByName(up.join(writes, ["scope", "base"]).select("use_id", "origin", "written")).groupBy("use_id", "origin").agg(F.min("written").alias("written"))
+
+
+def stitch(sinks: DataFrame, calls: DataFrame, levels: int = 3) -> DataFrame:
+    """sink_id, level, call_id: sinks (sink_id, func, param) that a parameter reaches, followed to the callers (call_id, func, arg,
+    source, caller, caller_param) that pass a source, or a parameter of their own, up to `levels` callers; the nearest, then the
+    first call. A parameter that was followed before isn't again."""
+    front = sinks.select("sink_id", "func", F.col("param").alias("arg"))
+    seen, found = front, None
+    for level in range(1, levels + 1):
+        met = front.join(calls, ["func", "arg"])
+        hit = met.where("source").select("sink_id", F.lit(level).alias("level"), "call_id")
+        found = hit if found is None else found.unionByName(hit)
+        front = met.where("NOT source AND caller_param IS NOT NULL").select("sink_id", F.col("caller").alias("func"), F.col("caller_param").alias("arg")).distinct().join(seen, ["sink_id", "func", "arg"], "left_anti")
+        seen = seen.unionByName(front)
+    best = found.groupBy("sink_id").agg(F.min(F.struct("level", "call_id")).alias("b"))
+    return best.select("sink_id", "b.level", "b.call_id")
+
+
+def merge_summaries(facts: DataFrame) -> DataFrame:
+    """What functions of one name in one file return and do, from facts (file, rule_id, func, origin, param, place): the first source,
+    the parameters that are returned, the parameters that reach sinks (origin: source, returned, sink), sorted."""
+    of = lambda kind, c: F.when(F.col("origin") == kind, F.col(c))
+    return facts.groupBy("file", "rule_id", "func").agg(F.min(of("source", "place")).alias("source"), F.array_sort(F.collect_set(of("returned", "param"))).alias("params"), F.array_sort(F.collect_set(of("sink", "param"))).alias("sinks"))
+
+
+def minted(calls: DataFrame) -> DataFrame:
+    """calls of linked functions (path, rule_id, start) with a number for each as an origin from outside, in their order."""
+    return calls.withColumn("external", F.row_number().over(Window.partitionBy("path", "rule_id").orderBy("start")) - 1)
+
+
+def alias_hop(locals_: DataFrame) -> DataFrame:
+    """locals (path, local, target, name) where a target is itself a local of the file: what that one is, one step on."""
+    other = locals_.select("path", F.col("local").alias("target"), F.col("target").alias("other"), F.col("name").alias("other_name"))
+    return locals_.join(other, ["path", "target"], "left").select("path", "local", F.coalesce("other", "target").alias("target"), F.coalesce("other_name", "name").alias("name"))
 
 
 def without_repeats(steps: DataFrame, key: str, order: list[str], same: list[str]) -> DataFrame:

@@ -1,28 +1,48 @@
-"""Interval joins and windows. Every join has an equality (file, or another scope of the intervals) as its key."""
+"""Interval joins and windows. A span is cut into the few dyadic cells that make it up exactly, so that what holds a point is found by
+equality: the work follows the pairs that there are, not the square of a key's rows."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .findings import one_each
+
+def cells(spans: DataFrame, s: str = "s", e: str = "e", levels: int = 40) -> DataFrame:
+    """spans with level and cell: a row for each of the dyadic cells (cell << level wide) that make up the closed span; at most two
+    a level. An empty span has none."""
+    grid = f"""filter(flatten(transform(sequence(0, {levels - 1}), l -> transform(
+        filter(array(
+            named_struct('level', l, 'cell', shiftright({s} + shiftleft(1L, l) - 1, l), 'on', shiftright({s} + shiftleft(1L, l) - 1, l) % 2 != 0),
+            named_struct('level', l, 'cell', shiftright({e} + 1, l) - 1, 'on', shiftright({e} + 1, l) % 2 != 0)
+        ), c -> c.on AND shiftright({s} + shiftleft(1L, l) - 1, l) < shiftright({e} + 1, l)), c -> struct(c.level, c.cell)))), c -> c IS NOT NULL)"""
+    return spans.withColumn("_c", F.explode(F.expr(grid))).withColumns({"level": F.col("_c.level"), "cell": F.col("_c.cell")}).drop("_c")
+
+
+def height(spans: DataFrame) -> int:
+    """Levels that the widest span needs: one small aggregate."""
+    widest = spans.agg(F.max(F.col("e") - F.col("s") + 1)).first()[0] or 1
+    return max(1, int(widest).bit_length() + 1)
 
 
 def enclosing(points: DataFrame, spans: DataFrame, key: str, point_id: str, span_id: str) -> DataFrame:
-    """Pairs of point_id and span_id of one key where the span (s, e) holds the point's (ps, pe)."""
-    return points.join(spans, key).where((F.col("s") <= F.col("ps")) & (F.col("pe") <= F.col("e")))
+    """Pairs of point_id and span_id of one key where the span (s, e) holds the point's (ps, pe). Ends are integers."""
+    levels = height(spans)
+    at = points.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels - 1)))).withColumn("cell", F.expr("shiftright(cast(ps AS bigint), level)"))
+    held = cells(spans.withColumns({"s": F.col("s").cast("long"), "e": F.col("e").cast("long")}), levels=levels)
+    return at.join(held, [key, "level", "cell"]).where(F.col("pe") <= F.col("e")).drop("level", "cell")
 
 
 def innermost(points: DataFrame, spans: DataFrame, key: str, point_id: str, span_id: str) -> DataFrame:
-    """The smallest span around each point; of equally long ones the later."""
-    return one_each(enclosing(points, spans, key, point_id, span_id), [key, point_id], [F.col("e") - F.col("s"), F.desc(span_id)])
+    """The smallest span around each point, ties to the later: key, point_id, span_id, s, e. Combined before the shuffle."""
+    best = enclosing(points, spans, key, point_id, span_id).groupBy(key, point_id).agg(F.min(F.struct((F.col("e") - F.col("s")).alias("w"), (-F.col(span_id)).alias("o"), "s", "e")).alias("b"))
+    return best.select(key, point_id, (-F.col("b.o")).alias(span_id), F.col("b.s").alias("s"), F.col("b.e").alias("e"))
 
 
 def parents(spans: DataFrame, key: str, span_id: str) -> DataFrame:
     """Each span with the nearest span before it that contains it, null at the top."""
-    up = spans.select(key, F.col(span_id).alias("parent_id"), F.col("s").alias("up_s"), F.col("e").alias("up_e"))
-    inside = (F.col("up_s") <= F.col("s")) & (F.col("e") <= F.col("up_e")) & (F.col("parent_id") < F.col(span_id))
-    best = one_each(spans.join(up, key).where(inside), [key, span_id], [F.desc("parent_id")]).select(key, span_id, "parent_id")
+    points = spans.select(key, F.col(span_id).alias("child_id"), F.col("s").alias("ps"), F.col("e").alias("pe"))
+    up = enclosing(points, spans.select(key, span_id, "s", "e"), key, "child_id", span_id).where(F.col(span_id) < F.col("child_id"))
+    best = up.groupBy(key, F.col("child_id")).agg(F.max(span_id).alias("parent_id")).withColumnRenamed("child_id", span_id)
     return spans.join(best, [key, span_id], "left")
 
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import json
+import os
+import re
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.scalars import SEVERITIES, sarif_level, security_severity, truncate
@@ -12,6 +15,7 @@ from quarry.functions.scalars import SEVERITIES, sarif_level, security_severity,
 from .findings import report_order, rule_index
 
 VERSION = "0.1.0"
+SCHEMA = "quarry.findings/1"
 FORMATS = ("human", "text", "json", "sarif")
 
 
@@ -28,39 +32,135 @@ def as_json(findings: DataFrame) -> DataFrame:
     return report_order(findings).select("path", F.to_json(F.struct(*cols)).alias("finding"))
 
 
-def sarif(findings: DataFrame, tags: DataFrame | None = None) -> DataFrame:
-    """One row, `document`: a SARIF run. Rules that fired are listed by id; a result names its rule's place. tags: rule_id, tags.
-    The document is one value by its format; findings() before it stays distributed."""
-    rules = rule_index(findings)
-    if tags is not None:
-        rules = rules.join(tags, "rule_id", "left")
-    else:
-        rules = rules.withColumn("tags", F.array().cast("array<string>"))
-    level = sarif_level(F.col("severity"))
-    described = F.struct(F.col("rule_id").alias("id"), F.struct(level.alias("level")).alias("defaultConfiguration"), F.struct(F.coalesce("tags", F.array().cast("array<string>")).alias("tags"), security_severity(F.col("severity")).alias("security-severity"), F.lit("low").alias("precision")).alias("properties"))
-    driver = rules.agg(F.transform(F.array_sort(F.collect_list(F.struct("rule_index", described.alias("d")))), lambda x: x["d"]).alias("rules"))
+def with_frames(findings: DataFrame, files: DataFrame) -> DataFrame:
+    """findings with frame: the lines (number, text, whether the finding is in it) from two above its first to the end of its
+    span, at most four below the first; texts are cut at FRAME characters."""
+    first, last = F.greatest(F.lit(1), F.col("line") - 2), F.least(F.col("line") + 4, F.greatest("line", "end_line"))
+    lines = F.slice(F.split("text", "\r?\n"), first, last - first + 1)
+    frame = F.transform(lines, lambda t, i: F.struct((first + i).cast("int").alias("number"), F.substring(t, 1, FRAME).alias("text"), (first + i >= F.col("line")).alias("inside")))
+    return findings.join(files.select("path", "text"), "path", "left").withColumn("frame", frame).drop("text")
+
+
+def caret(text: str, col: int, width: int) -> str:
+    """A line of carets below a line's part; columns count bytes."""
+    shown = text.encode("utf-8")[: col - 1].decode("utf-8", "replace")
+    return re.sub(r"\S", " ", shown) + "^" * max(1, min(CARETS, width, max(1, len(text) - len(shown))))
+
+
+#: Characters of a frame's line, carets at most, characters of a flow's line.
+FRAME, CARETS, STEP_TEXT = 160, 120, 90
+COLOURS = {"critical": "1;31", "high": "31", "medium": "33", "low": "36", "info": "2"}
+
+
+def wants_colour(choice: str, out) -> bool:
+    """auto: on a terminal and unless NO_COLOR is set."""
+    return choice == "always" or choice == "auto" and hasattr(out, "isatty") and out.isatty() and not os.environ.get("NO_COLOR")
+
+
+def paint(text: str, severity: str, on: bool) -> str:
+    return f"\x1b[{COLOURS[severity]}m{text}\x1b[0m" if on and severity in COLOURS else text
+
+
+def human(findings: DataFrame, colour: bool = False) -> Iterator[str]:
+    """Lines for a terminal: files in order, worst findings first, each with its frame, flow, tags and fix where it has them, then a
+    count per severity. Rows stream to the driver."""
     has = findings.columns
-    text = F.col("message") if "message" in has else F.col("rule_id")
-    region = F.struct(F.col("line").alias("startLine"), F.col("start_col").alias("startColumn"), F.struct(F.col("snippet").alias("text")).alias("snippet"))
-    place = F.array(F.struct(F.struct(F.struct(F.col("path").alias("uri"), F.lit("%SRCROOT%").alias("uriBaseId")).alias("artifactLocation"), region.alias("region")).alias("physicalLocation")))
-    prints = F.struct((F.col("fingerprint") if "fingerprint" in has else F.lit(None).cast("string")).alias("finding/v1")).alias("partialFingerprints")
-    result = F.struct(F.col("rule_id").alias("ruleId"), F.col("rule_index").alias("ruleIndex"), level.alias("level"), F.struct(text.alias("text")).alias("message"), place.alias("locations"), prints)
-    order = F.struct((-F.col("severity_rank")).alias("r"), "path", "line", "start_col", "rule_id")
-    found = findings.join(F.broadcast(rules.select("rule_id", "rule_index")), "rule_id").agg(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), result.alias("x")))), lambda x: x["x"]).alias("results"))
-    run = F.struct(F.struct(F.struct(F.lit("quarry").alias("name"), F.lit(VERSION).alias("version"), F.col("rules")).alias("driver")).alias("tool"), F.col("results"))
-    return driver.crossJoin(found).select(F.to_json(F.struct(F.lit("2.1.0").alias("version"), F.array(run).alias("runs"))).alias("document"))
-
-
-def human(findings: DataFrame) -> Iterator[str]:
-    """Lines for a terminal: files in order, worst findings first, then a count per severity. Rows stream to the driver."""
-    shown = findings.select("path", "line", "start_col", "severity", "severity_rank", "rule_id", truncate(F.col("snippet"), 160).alias("snippet"))
+    some = [c for c in ("frame", "trace", "message", "fix", "cwe", "owasp", "end_line", "start", "end") if c in has]
+    shown = findings.select("path", "line", "start_col", "severity", "severity_rank", "rule_id", truncate(F.col("snippet"), 160).alias("snippet"), *some)
     counts, last = dict.fromkeys(SEVERITIES, 0), None
     for r in shown.orderBy("path", F.desc("severity_rank"), "line", "start_col", "rule_id").toLocalIterator():
         if r.path != last:
             yield r.path
             last = r.path
         counts[r.severity] += 1
-        yield f"  {r.line}:{r.start_col}  {r.severity:<8}  {r.rule_id}"
-        yield f"      {r.snippet}"
+        yield f"  {r.line}:{r.start_col}  {paint(f'{r.severity:<8}', r.severity, colour)}  {r.rule_id}" + (f"  {r.message}" if "message" in some and r.message else "")
+        if "frame" in some and r.frame:
+            for k in r.frame:
+                yield f"      {k.number:>5} | {k.text}"
+                if k.number == r.line:
+                    width = r["end"] - r["start"] if "start" in some and r.end_line == r.line else 1 << 30
+                    yield "            | " + caret(k.text, r.start_col, width)
+        else:
+            yield f"      {r.snippet}"
+        for k, step in enumerate(r.trace if "trace" in some and r.trace else [], 1):
+            text = step.snippet or ""
+            yield f"      {k}. {step.file + ':' if step.file else ''}{step.line}  {step.label}  {text if len(text) <= STEP_TEXT else text[:STEP_TEXT] + '…'}"
+        tags = [*(r.cwe if "cwe" in some and r.cwe else []), *(r.owasp if "owasp" in some and r.owasp else [])]
+        if tags:
+            yield "      " + ", ".join(tags)
+        if "fix" in some and r.fix:
+            yield f"      fix: {r.fix}"
     total = ", ".join(f"{counts[s]} {s}" for s in reversed(SEVERITIES) if counts[s])
     yield f"{sum(counts.values())} findings" + (f" ({total})" if total else "")
+
+
+def json_lines(findings: DataFrame, stats: dict, errors: DataFrame | None = None) -> Iterator[str]:
+    """The lines of one JSON document: schema, version, findings, stats, errors. Findings stream to the driver, which holds one."""
+    yield "{" + f'"schema": "{SCHEMA}", "version": "{VERSION}", "findings": ['
+    before = None
+    for r in as_json(findings).toLocalIterator():
+        if before is not None:
+            yield before + ","
+        before = r.finding
+    if before is not None:
+        yield before
+    wrong = [r.asDict() for r in errors.toLocalIterator()] if errors is not None else []
+    yield f'], "stats": {json.dumps(stats)}, "errors": {json.dumps(wrong)}' + "}"
+
+
+def sarif_tags(cwe: Column, owasp: Column, nist: Column, tags: Column) -> Column:
+    """external/cwe/..., owasp/..., nist/..., and a rule's own tags."""
+    empty = F.array().cast("array<string>")
+    named = lambda c, prefix: F.transform(F.coalesce(c, empty), lambda x: F.concat(F.lit(prefix), x))
+    return F.concat(F.transform(F.coalesce(cwe, empty), lambda x: F.concat(F.lit("external/cwe/"), F.lower(x))), named(owasp, "owasp/"), named(nist, "nist/"), F.coalesce(tags, empty))
+
+
+def help_text(description: Column, fix: Column, message: Column) -> Column:
+    """What a rule is about and what to do; its message where it says neither."""
+    both = F.concat_ws("\n\n", description, fix)
+    return F.when(both == "", message).otherwise(both)
+
+
+def sarif_lines(findings: DataFrame, rules: DataFrame) -> Iterator[str]:
+    """The lines of a SARIF document: rules that fired, by id, then a result a line, with a code flow where there is a trace.
+    Results are made and sorted by executors and stream to the driver, which writes them down as they come."""
+    fired = findings.select("rule_id").distinct()
+    known = fired.join(rules, "rule_id", "left").withColumn("severity", F.coalesce("severity", F.lit("medium")))
+    properties = F.struct(sarif_tags(F.col("cwe"), F.col("owasp"), F.col("nist"), F.col("tags")).alias("tags"), security_severity(F.col("severity")).alias("security-severity"), F.coalesce("precision", F.lit("low")).alias("precision"))
+    said = F.struct(help_text(F.col("description"), F.col("fix"), F.coalesce("message", "rule_id")).alias("text"))
+    rule = F.struct(F.col("rule_id").alias("id"), F.coalesce("name", "rule_id").alias("name"), F.struct(F.coalesce("message", "rule_id").alias("text")).alias("shortDescription"), said.alias("help"), F.struct(sarif_level(F.col("severity")).alias("level")).alias("defaultConfiguration"), properties.alias("properties"))
+    described = known.orderBy("rule_id").select("rule_id", F.to_json(rule).alias("rule")).collect()  # a row a rule
+    yield '{"version": "2.1.0", "$schema": "https://json.schemastore.org/sarif-2.1.0.json", "runs": [{"tool": {"driver": {"name": "quarry", "version": "' + VERSION + '", "rules": [' + ", ".join(r.rule for r in described) + "]}},"
+    yield '"columnKind": "utf16CodeUnits", "results": ['
+    before = None
+    for r in report_order(sarif_results(findings, rule_index(findings))).toLocalIterator():
+        if before is not None:
+            yield before + ","
+        before = r.result
+    if before is not None:
+        yield before
+    yield "]}]}"
+
+
+def sarif_results(findings: DataFrame, index: DataFrame) -> DataFrame:
+    """result, and what a report is ordered by: each finding as a JSON object, with its rule's place (index: rule_id, rule_index, some hundred rows), its place in the
+    file, its fingerprint and, where it has a trace, a code flow. Null parts are left out."""
+    has = findings.columns
+    place = lambda path, line, col, text: F.struct(F.struct(path.alias("uri"), F.lit("%SRCROOT%").alias("uriBaseId")).alias("artifactLocation"), F.struct(line.alias("startLine"), col.alias("startColumn"), F.struct(text.alias("text")).alias("snippet")).alias("region"))
+    step = lambda s: F.struct(F.struct(place(F.coalesce(s["file"], F.col("path")), s["line"], s["col"], s["snippet"]).alias("physicalLocation"), F.struct(s["label"].alias("text")).alias("message")).alias("location"))
+    flows = [F.when(F.size("trace") > 0, F.array(F.struct(F.array(F.struct(F.transform("trace", step).alias("locations"))).alias("threadFlows")))).alias("codeFlows")] if "trace" in has else []
+    said = F.col("message") if "message" in has else F.col("rule_id")
+    own = F.array(F.struct(place(F.col("path"), F.col("line"), F.col("start_col"), F.col("snippet")).alias("physicalLocation")))
+    result = F.struct(F.col("rule_id").alias("ruleId"), F.col("rule_index").alias("ruleIndex"), sarif_level(F.coalesce("severity", F.lit("medium"))).alias("level"), F.struct(said.alias("text")).alias("message"), own.alias("locations"), F.struct(F.col("fingerprint").alias("finding/v1")).alias("partialFingerprints"), *flows)
+    return findings.join(F.broadcast(index.select("rule_id", "rule_index")), "rule_id", "left").select("severity_rank", "path", "line", "start_col", "rule_id", F.to_json(result).alias("result"))
+
+
+def write(lines: Iterator[str], out: str | None) -> None:
+    """To a file, or to the terminal."""
+    if out is None:
+        for line in lines:
+            print(line)
+        return
+    with open(out, "w", encoding="utf-8") as f:
+        for line in lines:
+            f.write(line + "\n")

@@ -3,7 +3,7 @@ import json
 import pytest
 
 from quarry.functions.scalars import glob_regex
-from quarry.operators import evidence, reports
+from quarry.operators import evidence, reports, rulebook
 from quarry.operators.findings import line_findings, suppress, with_fingerprints
 from quarry.sources import corpus
 
@@ -26,12 +26,16 @@ def test_findings_and_fingerprints(found):
     assert suppress(found, found.select("fingerprint")).count() == 0
 
 
-def test_sarif_json_and_text(found):
-    doc = json.loads(reports.sarif(found).first().document)
+def test_sarif_json_and_text(spark, found):
+    rules = [{"id": r["id"], "severity": r["severity"], "category": "quality", "kind": "pattern", "languages": [], "message": "m", "cwe": ["CWE-1"], "owasp": [], "nist": [], "tags": ["t"]} for r in RULES]
+    doc = json.loads("".join(reports.sarif_lines(found, rulebook.table(spark, rules))))
     run = doc["runs"][0]
     ids = [r["id"] for r in run["tool"]["driver"]["rules"]]
     assert doc["version"] == "2.1.0" and ids == ["t.fix", "t.todo"] and len(run["results"]) == 5
     assert run["results"][0]["ruleId"] == "t.fix" and all(ids[r["ruleIndex"]] == r["ruleId"] for r in run["results"])
+    assert run["tool"]["driver"]["rules"][0]["properties"]["tags"] == ["external/cwe/cwe-1", "t"] and run["results"][0]["locations"][0]["physicalLocation"]["region"]["startLine"] == 1
+    unknown = json.loads("".join(reports.sarif_lines(found, rulebook.table(spark, rules[:1]))))["runs"][0]
+    assert len(unknown["results"]) == 5 and unknown["tool"]["driver"]["rules"][0]["shortDescription"]["text"] == "t.fix"
     assert [json.loads(r.finding)["rule_id"] for r in reports.as_json(found).collect()][0] == "t.fix"
     text = list(reports.human(found))
     assert text[0] == "a.js" and text[-1] == "5 findings (1 critical, 4 low)"
