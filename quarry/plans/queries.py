@@ -40,11 +40,11 @@ rules(rule_id, severity, severity_rank, pattern, unless, langs, cwe, owasp) AS (
 files AS (SELECT doc_id, source || '/' || lang || '/' || doc_id AS path, lang, source, text, strlen(text) AS size, sha256(text) AS content_hash FROM documents),
 cut AS (SELECT *, string_split_regex(text, '\r?\n') AS p FROM files),
 numbered AS (SELECT doc_id, path, lang, source, unnest(CASE WHEN p[-1] = '' THEN p[:-2] ELSE p END) AS line_text, unnest(range(1, len(CASE WHEN p[-1] = '' THEN p[:-2] ELSE p END) + 1)) AS line FROM cut),
-found AS (SELECT n.*, r.rule_id, r.severity, r.severity_rank, regexp_extract(line_text, r.pattern) AS match,
-  substr(regexp_replace(regexp_replace(line_text, '^\s+', ''), '\s+$', ''), 1, 400) AS snippet
-  FROM numbered n JOIN rules r ON list_contains(r.langs, n.lang) AND regexp_matches(n.line_text, r.pattern)
-  WHERE r.unless IS NULL OR NOT regexp_matches(regexp_extract(line_text, r.pattern), r.unless)),
-findings AS (SELECT doc_id, path, lang, source, rule_id, severity, severity_rank, line, strlen(substr(line_text, 1, instr(line_text, match) - 1)) + 1 AS start_col, match, snippet FROM found),
+met AS (SELECT n.*, r.*, regexp_extract_all(line_text, r.pattern) AS m, string_split_regex(line_text, r.pattern) AS pieces
+  FROM numbered n JOIN rules r ON list_contains(r.langs, n.lang) AND regexp_matches(n.line_text, r.pattern)),
+found AS (SELECT *, unnest(m) AS match, unnest(range(1, len(m) + 1)) AS nth FROM met),
+findings AS (SELECT doc_id, path, lang, source, rule_id, severity, severity_rank, line, strlen(array_to_string(pieces[1:nth], '')) + strlen(array_to_string(m[1:nth - 1], '')) + 1 AS start_col, match,
+  substr(regexp_replace(regexp_replace(line_text, '^\s+', ''), '\s+$', ''), 1, 400) AS snippet FROM found WHERE unless IS NULL OR NOT regexp_matches(match, unless)),
 printed AS (SELECT *, substr(sha256('finding.v1' || chr(31) || rule_id || chr(31) || path || chr(31) || regexp_replace(snippet, '\s+$', '') || chr(31) || occurrence), 1, 32) AS fingerprint
   FROM (SELECT *, row_number() OVER (PARTITION BY path, rule_id, snippet ORDER BY line, start_col) - 1 AS occurrence FROM findings))
 """
@@ -214,12 +214,11 @@ def spans(spark, sf_dir):
     return e.select("user_id", F.col("event_id").alias("span_id"), F.col("event_id").alias("s"), (F.col("event_id") + F.floor(F.abs("value") * 10).cast("long")).alias("e"), "event_type")
 
 
-@query(f"WITH {SPANS}, pairs AS (SELECT p.user_id, p.span_id AS point_id, o.span_id, o.e - o.s AS width FROM spans p JOIN spans o ON p.user_id = o.user_id AND o.s <= p.s AND p.s <= o.e AND o.span_id <> p.span_id) SELECT user_id, point_id, span_id FROM pairs QUALIFY row_number() OVER (PARTITION BY user_id, point_id ORDER BY width, span_id DESC) = 1")
+@query(f"WITH {SPANS}, pairs AS (SELECT p.user_id, p.span_id AS point_id, o.span_id, o.e - o.s AS width FROM spans p JOIN spans o ON p.user_id = o.user_id AND o.s <= p.s AND p.s <= o.e AND o.span_id % 3 > 0) SELECT user_id, point_id, span_id FROM pairs QUALIFY row_number() OVER (PARTITION BY user_id, point_id ORDER BY width, span_id DESC) = 1")
 def innermost_interval(spark, sf_dir):
     s = spans(spark, sf_dir)
     points = s.select("user_id", F.col("span_id").alias("point_id"), F.col("s").alias("ps"), F.col("s").alias("pe"))
-    near = intervals.enclosing(points, s, "user_id", "point_id", "span_id").where("span_id <> point_id")
-    return O.one_each(near, ["user_id", "point_id"], [F.col("e") - F.col("s"), F.desc("span_id")]).select("user_id", "point_id", "span_id")
+    return intervals.innermost(points, s.where("span_id % 3 > 0"), "user_id", "point_id", "span_id").select("user_id", "point_id", "span_id")
 
 
 @query(f"WITH {SPANS} SELECT c.user_id, c.span_id, coalesce(max(p.span_id), -1) AS parent_id FROM spans c LEFT JOIN spans p ON p.user_id = c.user_id AND p.s <= c.s AND c.e <= p.e AND p.span_id < c.span_id GROUP BY ALL")
@@ -238,11 +237,19 @@ def interval_prune(spark, sf_dir):
     return intervals.maximal(spans(spark, sf_dir), "user_id").select("user_id", "span_id")
 
 
-@query("SELECT event_id, user_id FROM events u WHERE event_type = 'purchase' AND EXISTS (SELECT 1 FROM events w WHERE w.user_id = u.user_id AND w.event_type = 'click' AND w.event_id < u.event_id)")
+@query(f"""WITH {SPANS}, w AS (SELECT span_id, event_id, e.user_id, event_type, floor(value)::BIGINT % 3 AS base FROM events e JOIN (SELECT span_id FROM spans) ON span_id = event_id),
+up AS (SELECT c.span_id AS child, max(p.span_id) AS parent FROM spans c JOIN spans p ON p.user_id = c.user_id AND p.s <= c.s AND c.e <= p.e AND p.span_id < c.span_id GROUP BY c.span_id),
+anc AS (SELECT child, parent AS ancestor FROM up UNION SELECT a.child, b.parent FROM up a JOIN up b ON b.child = a.parent),
+uses AS (SELECT event_id AS use_id, event_id // 4 AS scope, base, event_id AS at FROM w WHERE event_type = 'purchase'), writes AS (SELECT event_id // 4 AS scope, base, event_id AS written, event_type AS origin FROM w WHERE event_type <> 'purchase')
+SELECT use_id, origin, min(written) AS written FROM (SELECT u.use_id, w.origin, w.written FROM uses u JOIN writes w USING (scope, base) WHERE w.written < u.at UNION ALL SELECT u.use_id, w.origin, w.written FROM uses u JOIN anc ON child = u.scope JOIN writes w ON w.scope = anc.ancestor AND w.base = u.base) GROUP BY ALL""")
 def statement_order_visibility(spark, sf_dir):
-    e = read(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
-    first = e.where("event_type = 'click'").groupBy("user_id").agg(F.min("event_id").alias("written"))
-    return e.where("event_type = 'purchase'").join(first, "user_id").where("written < event_id").select("event_id", "user_id")
+    """Scopes are runs of four events; those of a chain of enclosing spans (by number) are around each other."""
+    e = read(spark, sf_dir, "events").withColumns({"base": F.floor("value").cast("long") % 3, "scope": F.floor(F.col("event_id") / 4)})
+    up = intervals.parents(spans(spark, sf_dir), "user_id", "span_id").where("parent_id IS NOT NULL").select(F.col("span_id").alias("child"), F.col("parent_id").alias("parent"))
+    around = intervals.ancestors(up, 2).select("child", "ancestor").distinct()
+    uses = e.where("event_type = 'purchase'").select(F.col("event_id").alias("use_id"), "scope", "base", F.col("event_id").alias("at"))
+    writes = e.where("event_type <> 'purchase'").select("scope", "base", F.col("event_id").alias("written"), F.col("event_type").alias("origin"))
+    return flow.visible(uses, writes, around).select("use_id", "origin", *long("written"))
 
 
 # -- paths and links ---------------------------------------------------------------------------------------------------------
@@ -294,24 +301,32 @@ def earliest_witness(spark, sf_dir):
     return flow.earliest(read(spark, sf_dir, "lineitem"), ["l_partkey"], "l_shipdate", ["l_orderkey", "l_linenumber"]).select("l_partkey", "l_shipdate", "l_orderkey", *long("l_linenumber"))
 
 
-@query("SELECT r_name, n_name, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey WHERE o_orderpriority = '1-URGENT' GROUP BY ALL")
+@query("""WITH RECURSIVE c AS (SELECT o_orderkey AS call_id, 'f' || o_custkey % 97 AS func, (o_orderkey % 2)::INT AS arg, o_totalprice > 300000 AS source, 'f' || o_orderkey % 89 AS caller, CASE WHEN o_orderkey % 3 > 0 THEN (o_orderkey % 2)::INT END AS caller_param FROM orders),
+k AS (SELECT c_custkey AS sink_id, 'f' || c_custkey % 101 AS func, (c_custkey % 2)::INT AS arg FROM customer WHERE c_custkey % 5 = 0),
+p AS (SELECT sink_id, func, arg, 1 AS level FROM k UNION SELECT p.sink_id, c.caller, c.caller_param, level + 1 FROM p JOIN c USING (func, arg) WHERE NOT source AND caller_param IS NOT NULL AND level < 3),
+h AS (SELECT p.sink_id, level, call_id FROM p JOIN c USING (func, arg) WHERE source)
+SELECT sink_id, level::BIGINT AS level, call_id FROM h QUALIFY row_number() OVER (PARTITION BY sink_id ORDER BY level, call_id) = 1""")
 def call_stitch(spark, sf_dir):
-    o = read(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'")
-    c, n, r = read(spark, sf_dir, "customer"), read(spark, sf_dir, "nation"), read(spark, sf_dir, "region")
-    j = o.join(c, o["o_custkey"] == c["c_custkey"]).join(n, c["c_nationkey"] == n["n_nationkey"]).join(r, n["n_regionkey"] == r["r_regionkey"])
-    return j.groupBy("r_name", "n_name").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+    """Orders as calls, customers as sinks: each sink's nearest caller that passes a source, through up to three callers."""
+    f = lambda c, n: F.concat(F.lit("f"), (F.col(c) % n).cast("string"))
+    two = lambda c: (F.col(c) % 2).cast("int")
+    calls = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("call_id"), f("o_custkey", 97).alias("func"), two("o_orderkey").alias("arg"), (F.col("o_totalprice") > 300000).alias("source"), f("o_orderkey", 89).alias("caller"), F.when(F.col("o_orderkey") % 3 > 0, two("o_orderkey")).alias("caller_param"))
+    sinks = read(spark, sf_dir, "customer").where("c_custkey % 5 = 0").select(F.col("c_custkey").alias("sink_id"), f("c_custkey", 101).alias("func"), two("c_custkey").alias("param"))
+    return flow.stitch(sinks, calls).select("sink_id", *long("level"), "call_id")
 
 
-@query("SELECT user_id, count(DISTINCT event_type) AS kinds, array_to_string(list_sort(list_distinct(list(event_type))), ',') AS merged, min(event_id) AS first_event FROM events GROUP BY user_id")
+@query("SELECT user_id % 50 AS file, 'r' || user_id % 3 AS rule_id, event_type AS func, min(event_id) FILTER (event_id % 4 = 0) AS source, coalesce(array_to_string(list_sort(list(DISTINCT event_id % 6) FILTER (event_id % 4 = 1)), ','), '') AS params, coalesce(array_to_string(list_sort(list(DISTINCT event_id % 6) FILTER (event_id % 4 = 2)), ','), '') AS sinks FROM events GROUP BY ALL")
 def summary_merge(spark, sf_dir):
-    e = read(spark, sf_dir, "events")
-    return e.groupBy("user_id").agg(F.countDistinct("event_type").alias("kinds"), F.array_join(F.array_sort(F.collect_set("event_type")), ",").alias("merged"), F.min("event_id").alias("first_event"))
+    kind = F.when(F.col("event_id") % 4 == 0, "source").when(F.col("event_id") % 4 == 1, "returned").when(F.col("event_id") % 4 == 2, "sink")
+    facts = read(spark, sf_dir, "events").select((F.col("user_id") % 50).alias("file"), F.concat(F.lit("r"), (F.col("user_id") % 3).cast("string")).alias("rule_id"), F.col("event_type").alias("func"), kind.alias("origin"), (F.col("event_id") % 6).alias("param"), F.col("event_id").alias("place"))
+    text = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
+    return flow.merge_summaries(facts).select("file", "rule_id", "func", "source", text("params"), text("sinks"))
 
 
-@query("SELECT source, sha256(string_agg(h, chr(10) ORDER BY h)) AS link_fp, count(*) AS deps FROM (SELECT DISTINCT source, sha256(text) AS h FROM documents) GROUP BY source")
+@query("WITH d AS (SELECT DISTINCT source, sha256(text) AS h FROM documents), p AS (SELECT source, substr(h, 1, 2) AS part, sha256(string_agg(h, chr(10) ORDER BY h)) AS digest, count(*) AS n FROM d GROUP BY ALL) SELECT source, sha256(string_agg(digest, chr(10) ORDER BY part)) AS link_fp, sum(n)::BIGINT AS deps FROM p GROUP BY source")
 def link_fingerprint(spark, sf_dir):
     d = corpus.documents(spark, sf_dir).select("source", "content_hash")
-    return d.groupBy("source").agg(flow.set_hash(F.col("content_hash")).alias("link_fp"), F.countDistinct("content_hash").alias("deps"))
+    return flow.set_hash(d, "source", "content_hash").select("source", F.col("digest").alias("link_fp"), F.col("count").alias("deps"))
 
 
 @query("SELECT event_id, user_id, event_type FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS b FROM events) WHERE b IS NULL OR b <> event_type")
@@ -326,56 +341,247 @@ def verdict_case(spark, sf_dir):
     return d.select("doc_id", flow.verdict(F.coalesce(F.col("toxic") == 1, no), F.coalesce((F.col("doc_id") % 3 == 0) & (F.col("quality") == 1), no), F.coalesce(F.col("quality") == 0, no), F.col("n_chars") > 2000).alias("verdict"))
 
 
-@query(r"""WITH s AS (SELECT page_id, regexp_extract(html, '<script>(.*?)</script>', 1, 's') AS body FROM pages), c AS (SELECT page_id, body, regexp_extract(body, '\b(track)\(([^)]*)\)', 2) AS arg, regexp_extract(body, 'var ([A-Za-z_]+)=', 1) AS variable FROM s WHERE regexp_matches(body, '\btrack\('))
-SELECT page_id, variable, arg, 'track(' || substr(arg, 1, 120) || ') beside ' || variable AS message, substr(sha256('finding.v1' || chr(31) || 'js.tracking-call' || chr(31) || 'pages/' || page_id || chr(31) || body || chr(31) || '0'), 1, 32) AS fingerprint FROM c""")
-def inline_script_calls(spark, sf_dir):
-    body = F.regexp_extract("html", r"(?s)<script>(.*?)</script>", 1)
-    s = read(spark, sf_dir, "pages").select("page_id", body.alias("body")).where(F.col("body").rlike(r"\btrack\("))
-    s = s.select("page_id", F.regexp_extract("body", r"var ([A-Za-z_]+)=", 1).alias("variable"), F.regexp_extract("body", r"\b(track)\(([^)]*)\)", 2).alias("arg"), "body")
-    path = F.concat(F.lit("pages/"), F.col("page_id").cast("string"))
-    return s.select("page_id", "variable", "arg", X.message("track(${a}) beside ${v}", {"a": F.col("arg"), "v": F.col("variable")}).alias("message"), X.fingerprint(F.lit("js.tracking-call"), path, F.col("body"), F.lit(0)).alias("fingerprint"))
+#: The inline scripts of pages, every one, whatever its tag says.
+SCRIPT = r"(?is)<script\b[^>]*>(.*?)</script\s*>"
+SCRIPTS = rf"scripts AS (SELECT page_id, 'pages/' || page_id || '/' || nth AS path, nth, body FROM (SELECT page_id, unnest(m) AS body, unnest(range(1, len(m) + 1)) AS nth FROM (SELECT page_id, regexp_extract_all(html, '{SCRIPT}', 1) AS m FROM pages)))"
 
 
-# -- trees -------------------------------------------------------------------------------------------------------------------
 def scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The inline scripts of pages as files."""
-    body = F.regexp_extract("html", r"(?s)<script>(.*?)</script>", 1)
-    return read(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("pages/"), F.col("page_id").cast("string")).alias("path"), body.alias("text"))
+    """page_id, path, nth, body of the inline scripts of pages."""
+    found = read(spark, sf_dir, "pages").select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(SCRIPT), F.lit(1))).alias("at", "body"))
+    return found.select("page_id", F.concat_ws("/", F.lit("pages"), F.col("page_id").cast("string"), (F.col("at") + 1).cast("string")).alias("path"), (F.col("at") + 1).alias("nth"), "body")
+
 
+@query(rf"""WITH {SCRIPTS}, c AS (SELECT page_id, path, body, regexp_extract(body, 'var ([A-Za-z_]+)=', 1) AS variable, unnest(m) AS arg, unnest(range(0, len(m))) AS k FROM (SELECT *, regexp_extract_all(body, '\btrack\(([^)]*)\)', 1) AS m FROM scripts))
+SELECT page_id, path, variable, arg, 'track(' || substr(arg, 1, 120) || ') beside ' || variable AS message, substr(sha256('finding.v1' || chr(31) || 'js.tracking-call' || chr(31) || path || chr(31) || body || chr(31) || k), 1, 32) AS fingerprint FROM c""")
+def inline_script_calls(spark, sf_dir):
+    s = scripts(spark, sf_dir).select("page_id", "path", "body", F.regexp_extract("body", r"var ([A-Za-z_]+)=", 1).alias("variable"), F.posexplode(F.regexp_extract_all("body", F.lit(r"\btrack\(([^)]*)\)"), F.lit(1))).alias("k", "arg"))
+    return s.select("page_id", "path", "variable", "arg", X.message("track(${a}) beside ${v}", {"a": F.col("arg"), "v": F.col("variable")}).alias("message"), X.fingerprint(F.lit("js.tracking-call"), F.col("path"), F.col("body"), F.col("k")).alias("fingerprint"))
+
+
+# -- trees and flows ---------------------------------------------------------------------------------------------------------
+TREE_RULES = [
+    {"id": "page.tracking-call", "severity": "info", "category": "quality", "message": "track(${n})", "query": '(call_expression function: (identifier) @fn arguments: (arguments . (number) @n .) (#eq? @fn "track")) @finding'},
+    {"id": "page.text-variable", "severity": "low", "category": "quality", "message": "${name}", "query": "(variable_declarator name: (identifier) @name value: (string)) @finding"},
+]
 
-@query(r"SELECT 'pages/' || page_id AS path, 'js.tracking-call' AS rule_id, 1::BIGINT AS line, (strlen(split_part(regexp_extract(html, '<script>(.*?)</script>', 1, 's'), 'track(', 1)) + 1)::BIGINT AS start_col, 'track(' || regexp_extract(html, 'track\(([0-9]+)\)', 1) || ')' AS message FROM pages WHERE regexp_matches(html, 'track\([0-9]+\);</script>')")
+
+@query(rf"WITH {SCRIPTS} SELECT path, 'page.tracking-call' AS rule_id, 1::BIGINT AS line, (strlen(split_part(body, 'track(', 1)) + 1)::BIGINT AS start_col, 'track(' || regexp_extract(body, 'track\(([0-9]+)\)', 1) || ')' AS message FROM scripts WHERE regexp_matches(body, 'track\([0-9]+\);$') UNION ALL SELECT path, 'page.text-variable', 1, strlen(split_part(body, 't=', 1)) + 1, 't' FROM scripts WHERE regexp_matches(body, 'var t=\"')")
 def pattern_findings_js(spark, sf_dir):
-    from quarry.operators.rules import JS_RULES, pattern_findings
+    from quarry.operators.rules import pattern_findings
     from quarry.sources.javascript import nodes
 
-    files = scripts(spark, sf_dir)
-    return pattern_findings(nodes(files), files, JS_RULES).select("path", "rule_id", *long("line", "start_col"), "message")
+    files = scripts(spark, sf_dir).select("path", F.col("body").alias("text"))
+    return pattern_findings(nodes(files), files, TREE_RULES).select("path", "rule_id", *long("line", "start_col"), "message")
 
 
-@query("SELECT 'pages/' || page_id AS path, 'string' AS kind, 1 AS n FROM pages UNION ALL SELECT 'pages/' || page_id, 'call_expression', 1 FROM pages UNION ALL SELECT 'pages/' || page_id, 'variable_declarator', 1 FROM pages")
+@query(rf"WITH {SCRIPTS} SELECT path, 'string' AS kind, len(regexp_extract_all(body, '\"[^\"]*\"')) AS n FROM scripts UNION ALL SELECT path, 'call_expression', len(regexp_extract_all(body, '[a-z]+\(')) FROM scripts UNION ALL SELECT path, 'variable_declarator', len(regexp_extract_all(body, '\bvar ')) FROM scripts")
 def script_nodes(spark, sf_dir):
     from quarry.sources.javascript import nodes
 
-    return nodes(scripts(spark, sf_dir)).where(F.col("kind").isin("string", "call_expression", "variable_declarator")).groupBy("path", "kind").agg(F.count("*").cast("int").alias("n"))
+    files = scripts(spark, sf_dir).select("path", F.col("body").alias("text"))
+    return nodes(files).where(F.col("kind").isin("string", "call_expression", "variable_declarator")).groupBy("path", "kind").agg(F.count("*").alias("n"))
 
 
-@query("SELECT count(*) AS results, count(DISTINCT rule_id) AS rules, arg_min(rule_id, (-severity_rank, path, line, start_col, rule_id)) AS first_rule FROM findings", findings=True)
+@query("+ r AS (SELECT rule_id, (row_number() OVER (ORDER BY rule_id) - 1)::BIGINT AS rule_index FROM (SELECT DISTINCT rule_id FROM findings)) SELECT rule_id, rule_index, CASE severity WHEN 'info' THEN 'note' WHEN 'low' THEN 'warning' WHEN 'medium' THEN 'warning' ELSE 'error' END AS level, path, line::BIGINT AS line, start_col::BIGINT AS start_col, snippet, fingerprint FROM printed JOIN r USING (rule_id)", findings=True)
 def sarif_document(spark, sf_dir):
-    from quarry.operators.reports import sarif
+    """Each finding as it stands in the document, read back from its JSON."""
+    from quarry.operators.reports import sarif_results
 
-    doc = sarif(O.with_fingerprints(found(spark, sf_dir)))
-    run = F.from_json("document", "runs array<struct<tool:struct<driver:struct<rules:array<struct<id:string>>>>,results:array<struct<ruleId:string>>>>")["runs"][0]
-    return doc.select(F.size(run["results"]).cast("long").alias("results"), F.size(run["tool"]["driver"]["rules"]).cast("long").alias("rules"), run["results"][0]["ruleId"].alias("first_rule"))
+    out = sarif_results(O.with_fingerprints(found(spark, sf_dir)), O.rule_index(found(spark, sf_dir)))
+    region = "region:struct<startLine:bigint,startColumn:bigint,snippet:struct<text:string>>"
+    r = F.from_json("result", f"ruleId string, ruleIndex bigint, level string, locations array<struct<physicalLocation:struct<artifactLocation:struct<uri:string>,{region}>>>, partialFingerprints map<string,string>")
+    place = F.col("r.locations")[0]["physicalLocation"]
+    return out.select(r.alias("r")).select(F.col("r.ruleId").alias("rule_id"), F.col("r.ruleIndex").alias("rule_index"), "r.level", place["artifactLocation"]["uri"].alias("path"), place["region"]["startLine"].alias("line"), place["region"]["startColumn"].alias("start_col"), place["region"]["snippet"]["text"].alias("snippet"), F.col("r.partialFingerprints")["finding/v1"].alias("fingerprint"))
 
 
-@query("SELECT 'site/' || page_id || '.js' AS path, 'js.page-markup' AS rule_id, 3::BIGINT AS line FROM pages WHERE page_id % 2 = 0")
-def taint_scripts(spark, sf_dir):
-    """Each page's script goes on with a handler that writes request data into the page; every other one escapes it first."""
-    from quarry.operators.taint import JS_TAINT_RULES, taint_findings
-    from quarry.sources.javascript import nodes
+#: A module and a page that uses it, made of each script: whether the module reads the request goes by the script's number, whether
+#: the page escapes goes by its own length.
+MODULE = "export function name(req) {{ return {0}; }}\nexport function show(el, v) {{ el.innerHTML = v; }}\n"
+
+
+def sites(spark: SparkSession, sf_dir: str, parts: str = "both") -> DataFrame:
+    """path, lang, text of two files for each script."""
+    s = scripts(spark, sf_dir).withColumn("k", F.concat_ws("-", F.col("page_id").cast("string"), F.col("nth").cast("string")))
+    number = F.regexp_extract("body", r"track\((\d+)\)", 1).cast("int")
+    value = F.when(number % 2 == 0, "req.query.name").otherwise("'fixed'")
+    module = s.select(F.concat(F.lit("lib/"), "k", F.lit(".js")).alias("path"), F.concat(F.lit("export function name(req) { return "), value, F.lit("; }\nexport function show(el, v) { el.innerHTML = v; }\n")).alias("text"))
+    shown = F.when(F.length("body") % 2 == 0, "name(req)").otherwise("encode(other)")
+    page = F.concat(F.col("body"), F.lit("\nimport { name, show as put } from '../lib/"), "k", F.lit("';\nfunction view(req, el) {\n  el.innerHTML = "), shown, F.lit(";\n  put(el, req.body.text);\n}\n"))
+    pages = s.select(F.concat(F.lit("site/"), "k", F.lit(".js")).alias("path"), page.alias("text"))
+    return module.unionByName(pages).select("path", F.lit("javascript").alias("lang"), "text")
+
+
+@query(rf"WITH {SCRIPTS}, s AS (SELECT 'site/' || page_id || '-' || nth || '.js' AS path, body, len(string_split(body, chr(10))) AS n, regexp_extract(body, 'track\((\d+)\)', 1)::INT AS number FROM scripts) SELECT path, 'js.xss.dom' AS rule_id, (n + 3)::BIGINT AS line, 'source: request' AS first_step FROM s WHERE length(body) % 2 = 0 AND number % 2 = 0 UNION ALL SELECT path, 'js.xss.dom', n + 4, 'source: request' FROM s")
+def cross_file_flows(spark, sf_dir):
+    """Findings between files: a source that a module returns reaches a sink here, an argument reaches a sink there."""
+    from quarry.operators import dataflow, rulebook
+    from quarry.sources import facts
+    from quarry.sources.store import materialised
+
+    rules = [r for r in rulebook.load()[0] if r["id"] == "js.xss.dom"]
+    filed = materialised(facts.with_facts(sites(spark, sf_dir)))
+    first = materialised(dataflow.solved(filed, rules))
+    linked = filed.join(dataflow.links(filed, dataflow.flat_summaries(first)), "path").select("path", "lang", "facts", "links")
+    out = dataflow.solved(linked, rules).select("path", F.explode("found").alias("f"))
+    return out.select("path", "f.rule_id", F.col("f.line").cast("long").alias("line"), F.col("f.trace")[0]["label"].alias("first_step"))
+
+
+@query(rf"WITH {SCRIPTS}, s AS (SELECT page_id || '-' || nth AS k, regexp_extract(body, 'track\((\d+)\)', 1)::INT AS number FROM scripts) SELECT 'lib/' || k || '.js' AS file, 'name' AS function, number % 2 = 0 AS returns_source, '' AS sinks FROM s WHERE number % 2 = 0 UNION ALL SELECT 'lib/' || k || '.js', 'show', false, '1' FROM s")
+def portable_summaries(spark, sf_dir):
+    """What functions of modules return and do, for those who import them."""
+    from quarry.operators import dataflow, rulebook
+    from quarry.sources import facts
+
+    rules = [r for r in rulebook.load()[0] if r["id"] == "js.xss.dom"]
+    done = dataflow.flat_summaries(dataflow.solved(facts.with_facts(sites(spark, sf_dir).where("path LIKE 'lib/%'")), rules))
+    return done.select("file", "function", F.col("source").isNotNull().alias("returns_source"), F.array_join(F.transform("sinks", lambda s: s["param"].cast("string")), ",").alias("sinks"))
+
+
+@query(rf"WITH {SCRIPTS}, s AS (SELECT 'site/' || page_id || '-' || nth || '.js' AS path, body FROM scripts) SELECT path, 'js.xss.dom' AS rule_id, CASE WHEN length(body) % 2 = 0 THEN 'parameter without a tainted caller' ELSE 'nothing reaches it' END AS verdict, count(*) AS n FROM s GROUP BY ALL")
+def explain_fixture(spark, sf_dir):
+    """Verdicts on the sinks of single files, without what other files say."""
+    from quarry.operators import dataflow, rulebook
+    from quarry.sources import facts
+
+    rules = [r for r in rulebook.load()[0] if r["id"] == "js.xss.dom"]
+    done = dataflow.solved(facts.with_facts(sites(spark, sf_dir).where("path LIKE 'site/%'")), rules)
+    return done.select("path", F.explode("verdicts").alias("v")).groupBy("path", "v.rule_id", "v.verdict").agg(F.count("*").alias("n"))
+
+
+@query(rf"WITH {SCRIPTS}, s AS (SELECT 'site/' || page_id || '-' || nth || '.js' AS path, body FROM scripts) SELECT path, 'call' AS fact, 'track' AS name, len(regexp_extract_all(body, '\btrack\(')) AS n FROM s UNION ALL SELECT path, 'assign', 't', len(regexp_extract_all(body, '\bvar t=')) FROM s UNION ALL SELECT path, 'import', 'name', 1 FROM s UNION ALL SELECT path, 'import', 'put', 1 FROM s UNION ALL SELECT path, 'function', 'view', 1 FROM s UNION ALL SELECT path, 'call', 'put', 1 FROM s UNION ALL SELECT path, 'call', CASE WHEN length(body) % 2 = 0 THEN 'name' ELSE 'encode' END, 1 FROM s UNION ALL SELECT path, 'param', 'req', 1 FROM s UNION ALL SELECT path, 'param', 'el', 1 FROM s UNION ALL SELECT path, 'assign', 'innerHTML', 1 FROM s")
+def script_facts(spark, sf_dir):
+    from quarry.sources import facts
+
+    flat = facts.facts(facts.with_facts(sites(spark, sf_dir).where("path LIKE 'site/%'"))).where("fact IN ('call', 'assign', 'import', 'function', 'param')")
+    return flat.groupBy("path", "fact", "name").agg(F.count("*").alias("n"))
+
+
+# -- names -------------------------------------------------------------------------------------------------------------------
+#: Calls, imports and functions made of documents: a file is a source and language.
+NAMES = """c AS (SELECT doc_id AS start, source || '/' || lang AS path, 'f' || doc_id % 7 AS name, CASE doc_id % 3 WHEN 0 THEN 'f' || doc_id % 7 WHEN 1 THEN 'm' || doc_id % 5 || '.f' || doc_id % 7 ELSE 'x.y.f' || doc_id % 7 END AS target FROM documents),
+i AS (SELECT path, local, min((module, name)) AS b FROM (SELECT DISTINCT source || '/' || lang AS path, CASE WHEN doc_id % 2 = 0 THEN 'f' || doc_id % 4 ELSE 'm' || doc_id % 3 END AS local, 'mod' || doc_id % 3 AS module, CASE WHEN doc_id % 2 = 0 THEN 'g' || doc_id % 4 ELSE '*' END AS name FROM documents WHERE doc_id % 11 < 4) GROUP BY ALL),
+f AS (SELECT DISTINCT source || '/' || lang AS path, 'f' || doc_id % 7 AS name FROM documents WHERE doc_id % 13 < 3),
+r AS (SELECT c.path, c.start, c.target, CASE WHEN contains(target, '.') THEN c.name WHEN i.b[2] <> '*' THEN i.b[2] ELSE c.name END AS symbol, CASE WHEN contains(target, '.') OR i.b[2] <> '*' THEN i.b[1] END AS module,
+  CASE WHEN contains(target, '.') THEN CASE WHEN i.b IS NULL THEN 'member' ELSE 'external' END WHEN i.b[2] <> '*' THEN 'external' WHEN f.name IS NOT NULL THEN 'local' ELSE 'unresolved' END AS resolution
+  FROM c LEFT JOIN i ON i.path = c.path AND i.local = split_part(c.target, '.', 1) LEFT JOIN f ON f.path = c.path AND f.name = c.target)""".replace("b[1]", "b.module").replace("b[2]", "b.name").replace("min((module, name))", "arg_min(struct_pack(module := module, name := name), (module, name))")
+
+
+def named(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Calls, imports, functions."""
+    d = read(spark, sf_dir, "documents").select("doc_id", F.concat_ws("/", "source", "lang").alias("path"))
+    n = lambda letter, k: F.concat(F.lit(letter), (F.col("doc_id") % k).cast("string"))
+    f7, even = n("f", 7), F.col("doc_id") % 2 == 0
+    target = F.when(F.col("doc_id") % 3 == 0, f7).when(F.col("doc_id") % 3 == 1, F.concat(n("m", 5), F.lit("."), f7)).otherwise(F.concat(F.lit("x.y."), f7))
+    calls = d.select("path", F.col("doc_id").alias("start"), f7.alias("name"), target.alias("target"))
+    imports = d.where("doc_id % 11 < 4").select("path", F.when(even, n("f", 4)).otherwise(n("m", 3)).alias("local"), n("mod", 3).alias("module"), F.when(even, n("g", 4)).otherwise(F.lit("*")).alias("name")).distinct()
+    return calls, imports, d.where("doc_id % 13 < 3").select("path", f7.alias("name")).distinct()
+
 
-    body = F.regexp_extract("html", r"(?s)<script>(.*?)</script>", 1)
-    shown = F.when(F.col("page_id") % 2 == 0, "name").otherwise("escapeHtml(name)")
-    handler = F.concat(F.lit("\nfunction show(req, el) { const name = req.query.name;\n  el.innerHTML = "), shown, F.lit("; }\n"))
-    files = read(spark, sf_dir, "pages").select(F.concat(F.lit("site/"), F.col("page_id").cast("string"), F.lit(".js")).alias("path"), F.concat(body, handler).alias("text"))
-    return taint_findings(nodes(files), files, JS_TAINT_RULES).select("path", "rule_id", *long("line"))
+@query(f"WITH {NAMES} SELECT * FROM r")
+def call_resolution(spark, sf_dir):
+    from quarry.operators import binder
+
+    return binder.resolved_calls(*named(spark, sf_dir)).select("path", "start", "target", "symbol", "module", "resolution")
+
+
+@query(f"WITH {NAMES} SELECT c.path, c.start, split_part(c.target, '.', 1) AS base, array_to_string(string_split(c.target, '.')[2:4], '.') AS fields, i.b.module AS module FROM c LEFT JOIN i ON i.path = c.path AND i.local = split_part(c.target, '.', 1)")
+def read_resolution(spark, sf_dir):
+    from quarry.operators import binder
+
+    calls, imports, _ = named(spark, sf_dir)
+    return binder.resolved_reads(calls, imports).select("path", "start", "base", F.array_join("fields", ".").alias("fields"), "module")
+
+
+@query(rf"WITH {NAMES}, m(matcher_id, name, module, unresolved) AS (VALUES (1, 'g1', 'mod1', false), (2, 'f1', 'mod0', false), (3, 'f2', NULL, false), (4, 'f5', NULL, true), (5, 'f3', 'x.y', false)) SELECT matcher_id::BIGINT AS matcher_id, path, start, target FROM r JOIN m ON m.name = r.symbol WHERE CASE WHEN m.module IS NOT NULL THEN coalesce(r.module, regexp_extract(target, '^(.*)\.[^.]*$', 1)) = m.module ELSE unresolved OR resolution <> 'unresolved' END")
+def identity_matches(spark, sf_dir):
+    from quarry.operators import binder
+
+    matchers = spark.createDataFrame([(1, "g1", "mod1", False), (2, "f1", "mod0", False), (3, "f2", None, False), (4, "f5", None, True), (5, "f3", "x.y", False)], "matcher_id long, name string, module string, unresolved boolean")
+    return binder.identity_hits(binder.resolved_calls(*named(spark, sf_dir)), matchers)
+
+
+@query(f"WITH {NAMES}, q AS (SELECT c.path, c.start, c.target, split_part(c.target, '.', 1) AS base, string_split(c.target, '.')[2:4] AS fields, i.b.module AS module FROM c LEFT JOIN i ON i.path = c.path AND i.local = split_part(c.target, '.', 1)), m(matcher_id, module, member_of, fields) AS (VALUES (1, 'mod1', NULL, []), (2, NULL, 'x', ['y']), (3, NULL, NULL, ['f3']), (4, NULL, 'x', ['f1'])) SELECT matcher_id::BIGINT AS matcher_id, path, start, target FROM q JOIN m ON CASE WHEN m.module IS NOT NULL THEN q.module = m.module WHEN member_of IS NOT NULL THEN base = member_of ELSE true END AND q.fields[1:len(m.fields)] = m.fields")
+def read_matches(spark, sf_dir):
+    from quarry.operators import binder
+
+    calls, imports, _ = named(spark, sf_dir)
+    matchers = spark.createDataFrame([(1, "mod1", None, []), (2, None, "x", ["y"]), (3, None, None, ["f3"]), (4, None, "x", ["f1"])], "matcher_id long, module string, member_of string, fields array<string>")
+    return binder.reads_matched(binder.resolved_reads(calls, imports), matchers)
+
+
+# -- rules, benchmark, states --------------------------------------------------------------------------------------------------
+@query("+ u AS (SELECT rule_id, path, line, start_col FROM findings WHERE rule_id IN ('txt.email', 'txt.ipv4') UNION SELECT 'txt.any', path, line, start_col FROM findings WHERE rule_id IN ('txt.phone', 'txt.licence')) SELECT rule_id, path, line::BIGINT AS line, start_col::BIGINT AS start_col FROM u", findings=True)
+def multi_rule_union(spark, sf_dir):
+    """Two rules as they are, and two patterns of one rule, whose equal places count once."""
+    files = corpus.documents(spark, sf_dir)
+    own = [r for r in RULES if r["id"] in ("txt.email", "txt.ipv4")]
+    one = [r | {"id": "txt.any"} for r in RULES if r["id"] in ("txt.phone", "txt.licence")]
+    both = O.line_findings(files, own).unionByName(O.line_findings(files, one))
+    return O.one_each(both, ["path", "rule_id", "line", "start_col"], ["severity"]).select("rule_id", "path", *long("line", "start_col"))
+
+
+@query("+ e AS (SELECT rule_id, count(DISTINCT path) FILTER (quality = 1) AS positives, count(DISTINCT path) FILTER (quality = 0) AS negatives FROM findings JOIN labels USING (doc_id) GROUP BY rule_id) SELECT rule_id, severity, CASE WHEN positives >= 2 AND negatives >= 2 THEN 'high' WHEN positives >= 1 AND negatives >= 1 THEN 'medium' ELSE 'low' END AS precision FROM rules LEFT JOIN e USING (rule_id)", findings=True)
+def rule_evidence(spark, sf_dir):
+    """Rules with the tier that evidence gives them; those without any are low."""
+    from quarry.operators import rulebook
+
+    of = lambda q: F.count_distinct(F.when(F.col("quality") == q, F.col("path")))
+    seen = found(spark, sf_dir).join(read(spark, sf_dir, "labels"), "doc_id").groupBy("rule_id").agg(of(1).alias("p"), of(0).alias("n"))
+    evidence = {r["rule_id"]: (r["p"], r["n"]) for r in seen.collect()}  # a row a rule
+    rules = [{"id": r["id"], "severity": r["severity"], "category": "security", "kind": "pattern", "languages": [], "message": "", "cwe": r["cwe"], "owasp": r["owasp"], "nist": [], "tags": []} for r in RULES]
+    return rulebook.table(spark, rules, evidence).select("rule_id", "severity", "precision")
+
+
+@query("""WITH f AS (SELECT doc_id, doc_id // 3 AS tc, 'CWE-' || (CASE doc_id // 3 % 4 WHEN 0 THEN '89' WHEN 1 THEN '78' WHEN 2 THEN '22' ELSE '999' END) AS cwe, doc_id // 3 % 2 = 0 AS first FROM documents),
+hit AS (SELECT f.doc_id, line FROM f JOIN labels USING (doc_id), (VALUES (3), (12)) t(line) WHERE (toxic = 1 AND line = 3) OR (quality = 0 AND line = 12)),
+g AS (SELECT f.*, exists(SELECT 1 FROM hit WHERE hit.doc_id = f.doc_id AND line = 3) AS bad_hit, exists(SELECT 1 FROM hit WHERE hit.doc_id = f.doc_id AND line = 12) AS good_hit FROM f WHERE cwe <> 'CWE-999'),
+t AS (SELECT cwe, tc, bool_or(bad_hit) AS struck, count(*) FILTER (good_hit) AS fp, count(*) FILTER (NOT good_hit) AS tn FROM g GROUP BY cwe, tc)
+SELECT cwe, count(*) FILTER (struck) AS tp, sum(fp)::BIGINT AS fp, count(*) FILTER (NOT struck) AS fn, sum(tn)::BIGINT AS tn FROM t GROUP BY ROLLUP (cwe)""")
+def benchmark_score(spark, sf_dir):
+    """Documents as files of test cases of three files, each with a bad function (lines 1 to 9) that holds a smaller block, and a good one."""
+    from quarry.operators import benchmark
+
+    d, k = read(spark, sf_dir, "documents").select("doc_id"), F.floor(F.col("doc_id") / 3)
+    number = F.when(k % 4 == 0, "89").when(k % 4 == 1, "78").when(k % 4 == 2, "22").otherwise("999")
+    letter = F.element_at(F.array(F.lit("a"), F.lit("b"), F.lit("c")), (F.col("doc_id") % 3 + 1).cast("int"))
+    name = F.concat(F.lit("t/CWE"), number, F.lit("_case"), k.cast("string"), F.lit("_"), F.when(k % 2 == 0, "01").otherwise("81"), letter, F.lit(".cs"))
+    files = benchmark.named(d.select("doc_id", name.alias("path")))
+    regions = files.select("path", F.explode(F.array(*[F.struct(F.lit(i).alias("region_id"), F.lit(s).alias("s"), F.lit(e).alias("e"), F.lit(kind).alias("kind")) for i, s, e, kind in ((1, 1, 9, "bad"), (2, 10, 15, "good"))])).alias("r")).select("path", "r.*")
+    rule = F.when(F.col("cwe") == "CWE-89", "cs.sql-injection").when(F.col("cwe") == "CWE-78", "cs.cmd-injection").otherwise("cs.path-traversal")
+    labelled = files.join(read(spark, sf_dir, "labels"), "doc_id").withColumn("rule_id", rule)
+    findings = labelled.where("toxic = 1").select("path", "rule_id", F.lit(3).alias("line")).unionByName(labelled.where("quality = 0").select("path", "rule_id", F.lit(12).alias("line")))
+    return benchmark.score(files, regions, findings)[0].select("cwe", *long("tp", "fp", "fn", "tn"))
+
+
+@query("SELECT doc_id, 'a' || doc_id % 9 AS local, CASE WHEN doc_id % 9 > 4 THEN 'b' || (doc_id % 9 - 4) % 3 ELSE 'b' || doc_id % 9 END AS target FROM documents WHERE doc_id % 9 < 5 UNION ALL SELECT doc_id, 'c', 'b' || doc_id % 9 FROM documents WHERE doc_id % 9 < 5 UNION ALL SELECT doc_id, 'd', 'z' FROM documents")
+def alias_hops(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 9).cast("string").alias("k"))
+    own = d.where("doc_id % 9 < 5").select(F.col("doc_id").alias("path"), F.concat(F.lit("a"), "k").alias("local"), F.concat(F.lit("b"), "k").alias("target"))
+    to_own = d.where("doc_id % 9 < 5").select(F.col("doc_id").alias("path"), F.lit("c").alias("local"), F.concat(F.lit("a"), "k").alias("target"))
+    other = d.select(F.col("doc_id").alias("path"), F.lit("d").alias("local"), F.lit("z").alias("target"))
+    rows = own.unionByName(to_own).unionByName(other).withColumn("name", F.lit("*"))
+    return flow.alias_hop(rows).select(F.col("path").alias("doc_id"), "local", "target")
+
+
+@query("SELECT user_id, event_id, (row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) - 1)::BIGINT AS external FROM events")
+def external_origins(spark, sf_dir):
+    calls = read(spark, sf_dir, "events").select(F.col("user_id").alias("path"), F.col("event_type").alias("rule_id"), F.col("event_id").alias("start"))
+    return flow.minted(calls).select(F.col("path").alias("user_id"), F.col("start").alias("event_id"), *long("external"))
+
+
+@query("WITH d AS (SELECT doc_id, sha256(text) AS h FROM documents) SELECT doc_id, sha256(h || chr(31) || 'rules' || chr(31) || '1') AS key FROM d")
+def summary_keys(spark, sf_dir):
+    from quarry.state import summary_key
+
+    return corpus.documents(spark, sf_dir).select("doc_id", summary_key(F.col("content_hash"), "rules").alias("key"))
+
+
+@query("SELECT doc_id, source || '/' || lang || '/' || doc_id AS path FROM documents WHERE source || '/' || lang || '/' || doc_id = 'nothing' OR starts_with(source || '/' || lang || '/' || doc_id, (SELECT min(source) FROM documents) || '/en/') OR source = (SELECT max(source) FROM documents)")
+def paths_under(spark, sf_dir):
+    """Files at or below explicit paths: prefixes end at a folder."""
+    from quarry.scan import under
+
+    d = corpus.documents(spark, sf_dir)
+    low, high = d.agg(F.min("source"), F.max("source")).first()
+    return d.where(under(F.col("path"), [f"{low}/en", high, "nothing"])).select("doc_id", "path")
