@@ -89,8 +89,25 @@ def digests(formatted: DataFrame) -> DataFrame:
 
 
 def as_events(conversations: DataFrame) -> DataFrame:
-    """A table of finished turns as a log of message events."""
-    return conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("seq"), F.lit("message").alias("kind"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    """A table of finished turns as the log of a chat that ends with them. By the length of its text, modulo 4, a turn is a
+    finished message; streamed in three deltas; a draft that an edit replaces; or an answer that was cut short, then regenerated
+    and streamed again. Rows that repeat a turn come after one another, by role and text."""
+    text = F.coalesce(conversations["text"], F.lit(""))
+    rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", text.alias("text"))
+    rows = rows.withColumn("copy", F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("role", "text")))
+    n = F.length("text")
+    cut = F.floor(n / 3).cast("int")
+    part = [F.substring("text", F.lit(1), cut), F.substring("text", cut + 1, cut), F.substring("text", 2 * cut + 1, n)]
+    event = lambda kind, text: F.struct(F.lit(kind).alias("kind"), text.alias("text"))
+    streamed = [event("delta", p) for p in part]
+    log = (
+        F.when(n % 4 == 0, F.array(event("message", F.col("text"))))
+        .when(n % 4 == 1, F.array(event("message", F.lit("")), *streamed))
+        .when(n % 4 == 2, F.array(event("message", F.concat(part[0], F.lit(" ...draft"))), event("edit", F.col("text"))))
+        .otherwise(F.array(event("message", F.lit("")), event("delta", part[0]), event("delta", F.lit(" (cut")), event("regenerate", F.lit("")), *streamed))
+    )
+    events = rows.select("conv_id", "turn", "role", "copy", F.posexplode(log).alias("place", "event"))
+    return events.select("conv_id", (F.col("copy") * 8 + F.col("place")).cast("long").alias("seq"), "event.kind", "turn", F.when(F.col("event.kind") == "message", F.col("role")).alias("role"), "event.text")
 
 
 ORACLE = r"""

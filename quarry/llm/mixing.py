@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from .common import WORD, stored, text_of
 
-#: Key ranges per source; only the range that holds a source's cut is sorted.
-BINS = 1024
+#: Rows that a key range of a source should hold, and fewest ranges; only the range that holds a source's cut is sorted.
+BIN_ROWS, BINS = 20_000, 1024
 WEIGHTS = (3, 1, 2)
 
 
@@ -27,12 +27,13 @@ def sized(docs: DataFrame, seed: str, weight: Column | None) -> DataFrame:
     return docs.withColumns({"w_size": F.regexp_count(text, F.lit(WORD)).cast("long"), "w_source": source, "w_key": key})
 
 
-def plan(slim: DataFrame, weights: tuple, share: float, most: float, bins: int) -> DataFrame:
+def plan(slim: DataFrame, weights: tuple, share: float, most: float, bins: int | None) -> DataFrame:
     """A row for each source: its size, its target, its complete epochs, and where in key order the fractional epoch ends.
 
-    slim: doc_id, w_size, w_source, w_key. The cut is found in two steps: sums over `bins` key ranges, then the rows of the
-    one range that holds it.
+    slim: doc_id, w_size, w_source, w_key. The cut is found in two steps: sums over `bins` key ranges (None: as many as keep a
+    range at about BIN_ROWS rows), then the rows of the one range that holds it.
     """
+    bins = bins or max(BINS, -(-slim.count() // BIN_ROWS))
     ranged = slim.withColumn("bin", F.floor(F.lit(bins) * (1 - F.exp(-F.col("w_key")))).cast("int"))
     sums = stored(ranged.groupBy("w_source", "bin").agg(F.sum("w_size").alias("n")))
     sources = sums.groupBy("w_source").agg(F.sum("n").alias("source_size"))
@@ -61,7 +62,7 @@ def plan(slim: DataFrame, weights: tuple, share: float, most: float, bins: int)
     return stored(sources.join(last, "w_source", "left"))
 
 
-def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: str = "mix", weight: Column | None = None, bins: int = BINS) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: str = "mix", weight: Column | None = None, bins: int | None = None) -> DataFrame:
     """docs with size, source_size, target, taken and whole_epochs added.
 
     size is the number of words (a null text has none). Sources, by code point with null last, weigh `weights`, repeating; they
@@ -84,7 +85,7 @@ def _taken(rows: DataFrame, sources: DataFrame) -> DataFrame:
     return out.withColumnRenamed("w_size", "size").withColumnRenamed("epochs", "whole_epochs").drop("w_source", "w_key", "rest", "cut_key", "cut_id", "cut_share")
 
 
-def mix_sizes(docs: DataFrame, weights: tuple = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: str = "mix", weight: Column | None = None, bins: int = BINS) -> DataFrame:
+def mix_sizes(docs: DataFrame, weights: tuple = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: str = "mix", weight: Column | None = None, bins: int | None = None) -> DataFrame:
     """As mix(), without the columns of docs but doc_id: the texts are read once."""
     slim = stored(sized(docs, seed, weight).select("doc_id", "w_size", "w_source", "w_key"))
     return _taken(slim, plan(slim, weights, share, most, bins))
@@ -94,7 +95,7 @@ ORACLE = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
          -ln((('0x' || substr(md5('mix:' || doc_id::VARCHAR), 1, 13))::BIGINT + 0.5) / 4503599627370496.0)
-           / greatest(0.1, length(regexp_replace(substr(coalesce(text, ''), 1, 500), '[^\p{L} ]', '', 'g')) / greatest(1, length(substr(coalesce(text, ''), 1, 500)))) AS k
+           / greatest(0.1, length(regexp_replace(coalesce(text, ''), '[^\p{L} ]', '', 'g')) / greatest(1, length(coalesce(text, '')))) AS k
   FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, [3.0, 1.0, 2.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS w FROM d GROUP BY source),
 f AS (SELECT *, (1.5 * sum(source_size) OVER () - coalesce(sum(2.0 * source_size) OVER b, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER b, 0)) AS rate
@@ -105,6 +106,6 @@ e AS (SELECT *, floor(target / source_size)::BIGINT AS epochs FROM t),
 p AS (SELECT d.*, e.source_size, e.target, e.epochs, round(target - epochs * source_size)::BIGINT AS rest,
         coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
       FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source)
-SELECT doc_id, size::BIGINT AS size, source_size, round(target, 3)::DOUBLE AS target,
+SELECT doc_id, size::BIGINT AS size, source_size, target::DOUBLE AS target,
        (epochs * size + greatest(0, least(size, rest - start)))::BIGINT AS taken FROM p
 """
