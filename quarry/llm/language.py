@@ -50,12 +50,22 @@ def grams(text: str) -> np.ndarray:
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
-    """Languages and log-probabilities of n-grams in each, from the `sample` texts of each whose hashed id is smallest."""
+    """Languages and log-probabilities of n-grams in each, from the `sample` texts of each whose hashed id is smallest.
+
+    The texts of each language are counted first: a hash below about twice the share that is wanted lets through a bounded number
+    of texts, however many tasks there are, of which the first are taken.
+    """
     from pyspark.sql import Window
 
     known = docs.where(docs["lang"].isNotNull() & docs["text"].isNotNull()).select(F.col("lang"), F.xxhash64("doc_id", F.lit("language")).alias("spot"), "text")
+    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}  # a row for each language
+    if not sizes:
+        return [], np.zeros((0, GRAMS))
+    share = lambda n: min(1.0, (2 * sample + 50) / n)
+    bounds = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(2**63 - 1, -(2**63) + int(2**64 * share(n))))])
+    few = known.where(F.col("spot") <= F.element_at(bounds, F.col("lang")))
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("spot", "text"))
-    chosen = known.withColumn("nth", nth).where(F.col("nth") <= sample)
+    chosen = few.withColumn("nth", nth).where(F.col("nth") <= sample)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict = {}
