@@ -17,6 +17,8 @@ from .common import stored
 SAMPLE = 6_000
 WEIGHTS = 1 << 14
 SLICE = 128
+#: Words of a window in which distinct words are counted.
+SPAN = 1000
 BAD, GOOD, NONE = 0, 1, 2
 
 
@@ -39,6 +41,12 @@ def shape(text: str) -> tuple[np.ndarray, list[bytes], list[str]]:
     return b, runs.tobytes().split(), text.split()
 
 
+def distinct_share(words: list[str]) -> float:
+    """Mean share of distinct words over consecutive windows of SPAN words (the last may be shorter), so that a text's length
+    makes no difference; each window weighs by its words."""
+    return sum(len(set(words[i : i + SPAN])) for i in range(0, len(words), SPAN)) / max(1, len(words))
+
+
 def votes(text: str) -> list[int]:
     """What each labeller says: BAD, GOOD or NONE. A labeller compares one measure with two thresholds."""
     b, shapes, words = shape(text)
@@ -58,7 +66,7 @@ def votes(text: str) -> list[int]:
         NONE if few else vote(sum(map(eq, words, words[1:])) / n, 0.02, 0.15),
         vote(int(counts[ord("!")]) / n, 0.05, 0.3),
         vote(plain / n, 0.85, 0.6),
-        NONE if few or len(words) > 3000 else vote(len(set(words)) / n, 0.45, 0.25),
+        NONE if few else vote(distinct_share(words), 0.45, 0.25),
     ]
 
 
