@@ -21,26 +21,34 @@ def _named(distinct: DataFrame, by: list[str]) -> DataFrame:
     return distinct.sortWithinPartitions(*by).withColumn("name", F.monotonically_increasing_id())
 
 
+def _blocks(docs: DataFrame, block: int) -> DataFrame:
+    """rid, n_bytes, pos, block, digest of each block of each text; doc_id and text_sha256 with a text's first."""
+    text = normalised(text_of(docs))
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("rid"), F.sha2(text, 256).alias("text_sha256"), text.cast("binary").alias("bytes"))
+    rows = rows.withColumn("n_bytes", F.octet_length("bytes").cast("long"))
+    parts = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), (F.col("n_bytes") - 1) / block).cast("int")), lambda i: F.substring(F.col("bytes"), i * block + 1, F.lit(block)))
+    first = F.col("pos") == 0
+    blocks = rows.select("rid", "doc_id", "text_sha256", "n_bytes", F.posexplode(parts).alias("pos", "block"))
+    return blocks.select("rid", "n_bytes", "pos", F.when(first, F.col("doc_id")).alias("doc_id"), F.when(first, F.col("text_sha256")).alias("text_sha256"), "block", F.unhex(F.sha2("block", 256)).alias("digest"))
+
+
 def identities(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """rid, doc_id, text_sha256, n_bytes, name: rows have equal (n_bytes, name) exactly if their normalised texts are equal.
 
     Each text is cut into blocks of `block` bytes. The distinct blocks, compared by their bytes, get integer names in sorted
     order; then adjacent names are paired and the distinct pairs named, level by level, until each text has one name. The text
     crosses the network once, for the distinct blocks; names come back by the blocks' digests, and by their bytes for digests
-    that two different blocks share. Each level is a table in the shared folder.
+    that two different blocks share. Rows are numbered once, in a table of digests; it and each level lie in the shared folder.
     """
-    text = normalised(text_of(docs))
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("rid"), F.sha2(text, 256).alias("text_sha256"), text.cast("binary").alias("bytes"))
-    rows = rows.withColumn("n_bytes", F.octet_length("bytes").cast("long"))
-    parts = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), (F.col("n_bytes") - 1) / block).cast("int")), lambda i: F.substring(F.col("bytes"), i * block + 1, F.lit(block)))
     first = F.col("pos") == 0
-    blocks = rows.select("rid", "doc_id", "text_sha256", "n_bytes", F.posexplode(parts).alias("pos", "block"))
-    blocks = blocks.select("rid", "n_bytes", "pos", F.when(first, F.col("doc_id")).alias("doc_id"), F.when(first, F.col("text_sha256")).alias("text_sha256"), "block", F.unhex(F.sha2("block", 256)).alias("digest"))
+    blocks = _blocks(docs, block)
+    numbered = stored(blocks.drop("block"))
     names = stored(_named(blocks.select("block", "digest").distinct(), ["block"]).select("digest", "name"))
     shared = names.groupBy("digest").agg(F.count("*").alias("n"), F.min("name").alias("name"))
-    level = blocks.drop("block").join(names, "digest")
+    level = numbered.join(names, "digest")
     if not shared.where("n > 1").isEmpty():  # different blocks with one digest: those go by their bytes
         clash = shared.where("n > 1").select("digest")
+        blocks = stored(blocks)  # numbered anew, with their bytes
         exact = stored(_named(blocks.join(clash, "digest", "left_semi").select("block").distinct(), ["block"]).withColumn("name", -1 - F.col("name")))
         level = blocks.drop("block").join(names.join(clash, "digest", "left_anti"), "digest").unionByName(blocks.join(clash, "digest", "left_semi").join(exact, "block").select(*level.columns))
     level = stored(level.drop("digest"))
