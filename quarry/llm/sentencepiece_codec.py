@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
 from .pieces import borders, compose, default_model, vocabulary
 
 SLICE = 128
@@ -52,7 +53,7 @@ def encode(docs: DataFrame, model: bytes | None = None, chunk: int = 16_384, gia
     piece to either side, the matrix of which border states at its start lead to which at its end; the matrices of a document
     are multiplied (the product is associative), which leaves one state at each border, and each chunk is then traced back by
     itself. Shorter texts are one chunk each. A null or empty text has no ids. Rows are told apart by their place in the
-    input, so repeated rows and null ids stay as they are. An empty table gives no rows.
+    input, stored before they are used, so repeated rows and null ids stay as they are. An empty table gives no rows.
     """
     proto = model or default_model()
     slim = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"))
@@ -100,8 +101,9 @@ def encode(docs: DataFrame, model: bytes | None = None, chunk: int = 16_384, gia
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), _lists(ids)], ["rid", "k", "ids"])
 
     done = slim.where(~long).mapInArrow(short_texts, "doc_id long, text string, piece_ids array<int>")
-    rows = slim.withColumn("rid", F.monotonically_increasing_id()).where(long)
-    chunks = rows.mapInArrow(cut, "rid long, k int, a int, b int, ends boolean, part string").repartition("rid", "k")
+    # numbered once, and spread over all tasks however few of the input's hold them
+    rows = stored(slim.where(long).withColumn("rid", F.monotonically_increasing_id()))
+    chunks = stored(rows.mapInArrow(cut, "rid long, k int, a int, b int, ends boolean, part string").repartition("rid", "k"))
     found = chunks.mapInArrow(matrices, "rid long, k int, matrix binary").groupBy("rid").applyInPandas(states, "rid long, k int, s0 int, e0 int, s1 int, e1 int")
     pieces = chunks.join(found, ["rid", "k"]).mapInArrow(traced, "rid long, k int, ids array<int>")
     whole = pieces.groupBy("rid").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "ids"))), lambda x: x["ids"])).alias("piece_ids"))
