@@ -83,6 +83,33 @@ def access_path(text: Column) -> Column:
     return F.when(good, F.struct(F.element_at(parts, 1).alias("base"), F.slice(parts, 2, FIELDS).alias("fields")))
 
 
+def render_path(path: Column) -> Column:
+    """An access path as dotted text."""
+    return F.array_join(F.concat(F.array(path["base"]), path["fields"]), ".")
+
+
+def node_path(text: Column) -> Column:
+    """The access path of a plain chain, else the first name in the text without fields; null where there is none."""
+    first = F.regexp_extract(text, r"[\p{L}_$][\p{L}\p{N}_$]*", 0)
+    return F.coalesce(access_path(text), F.when(first != "", F.struct(first.alias("base"), F.array().cast("array<string>").alias("fields"))))
+
+
+def import_local(alias: Column, name: Column, module: Column) -> Column:
+    """What an import is called here: its alias, else its name, else the last part of its module's path."""
+    return F.coalesce(alias, name, F.element_at(F.split(module, "/"), -1))
+
+
+def is_source(origin: Column) -> Column:
+    """Whether an origin is a source itself or what a linked call brings, and no parameter."""
+    return origin.isin("s", "x")
+
+
+def category(text: Column) -> Column:
+    """security or quality, in any case; null for others."""
+    low = F.lower(F.trim(text))
+    return F.when(low.isin("security", "quality"), low)
+
+
 def paths_overlap(a: Column, b: Column) -> Column:
     """Same base, and one's fields are the start of the other's."""
     n = F.least(F.size(a["fields"]), F.size(b["fields"]))

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.scalars import normalize_join, parent_dir
+from quarry.sources.facts import LANGUAGES
 
 from . import flow
 from .rulebook import holds, spans_of
@@ -301,7 +302,7 @@ _VERDICT = pa.struct([("rule_id", pa.string()), ("start", pa.int32()), ("end", p
 def analyse(path: str, lang: str, facts: list[dict], rules: list[dict], links: list[dict] | None = None) -> tuple[list, list, list]:
     """Findings, summaries and verdicts of one file under all taint rules of its language; without links by itself."""
     found, summaries, verdicts, structure = [], [], [], None
-    for rule in rules:
+    for rule in rules if LANGUAGES[lang].dataflow else []:
         if rule["kind"] != "taint" or lang not in rule["languages"]:
             continue
         known: dict = {}

@@ -34,3 +34,9 @@ def metrics(tallies: DataFrame) -> DataFrame:
     out = tallies.withColumns({"precision": share(tp, tp + fp, 1.0), "recall": share(tp, tp + fn, 1.0), "fpr": share(fp, fp + tn, 0.0)})
     p, r = F.col("precision"), F.col("recall")
     return out.withColumns({"f1": F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0), "youden": r - F.col("fpr")})
+
+
+def passed(rows: DataFrame, ok: Column) -> DataFrame:
+    """One row: how many rows there are, how many pass, and their share (1 of none)."""
+    out = rows.agg(F.count("*").alias("total"), F.count_if(ok).alias("passed"))
+    return out.withColumn("ratio", F.when(F.col("total") > 0, F.col("passed") / F.col("total")).otherwise(1.0))

@@ -72,6 +72,7 @@ def load(paths: Iterable[str | Path] = (), builtin: bool = True, disabled: Itera
                 if rule["id"] in rules:
                     warnings.append(f"{rule['id']}: replaced by {name}")
                 rules[rule["id"]] = rule
+    warnings += warnings_without_flow(list(rules.values()))
     gone = set(disabled)
     return [rules[k] for k in sorted(rules) if k not in gone], shown(warnings, verbose=True)
 
@@ -239,21 +240,35 @@ def spans_of(part: dict, f: dict) -> list[tuple[int, int]]:
 
 # -- rules as a table --------------------------------------------------------------------------------------------------------
 def table(spark: SparkSession, rules: list[dict], evidence: dict | None = None) -> DataFrame:
-    """A row a rule, in order of ids. Precision is what evidence (rule to positives and negatives) says, else low."""
+    """A row a rule, in order of ids. Precision is what evidence (rule to positives and negatives; None:
+    what is recorded beside the rules) says, else low."""
     from .measures import precision_tier
 
-    known = evidence or {}
+    known = recorded() if evidence is None else evidence
     rows = [(r["id"], r.get("name") or r["id"], r["severity"], r["category"], r["kind"], list(r["languages"]), r["message"], r.get("fix"), r.get("description"), r["cwe"], r["owasp"], r["nist"], r["tags"], *known.get(r["id"], (None, None))) for r in sorted(rules, key=lambda r: r["id"])]
     out = spark.createDataFrame(rows, "rule_id string, name string, severity string, category string, kind string, languages array<string>, message string, fix string, description string, cwe array<string>, owasp array<string>, nist array<string>, tags array<string>, positives int, negatives int")
     return out.withColumn("precision", F.coalesce(F.when(F.col("positives").isNotNull(), precision_tier(F.col("positives"), F.col("negatives"))), F.lit("low")))
 
 
+def recorded() -> dict:
+    """The evidence that is kept beside the rules."""
+    from .evidence import read
+
+    path = BUILTIN / "evidence.yaml"
+    return read(str(path)) if path.exists() else {}
+
+
 def listing(rules: DataFrame, verbose: bool = False) -> DataFrame:
     """What a list of rules shows."""
     more = ["message", "cwe", "owasp", "nist", "tags"] if verbose else []
     return rules.select("rule_id", "severity", "kind", "category", F.array_join("languages", ",").alias("languages"), *more).orderBy("rule_id")
 
 
+def live(rules: DataFrame, languages: DataFrame) -> DataFrame:
+    """Ids of rules that run for at least one of the languages (lang)."""
+    return by_language(rules).join(F.broadcast(languages.select("lang")), "lang", "left_semi").select("rule_id").distinct()
+
+
 def by_language(rules: DataFrame) -> DataFrame:
     """A row for each rule and each of its languages."""
     return rules.withColumn("lang", F.explode("languages"))
@@ -274,6 +289,11 @@ def languages_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "lang string, name string, extensions array<string>, external boolean, dataflow boolean").orderBy("lang")
 
 
+def warnings_without_flow(rules: list[dict]) -> list[str]:
+    """Taint rules of languages that have no profile for data flow can't run there."""
+    return [f"{r['id']}: no data flow for {lang}" for r in rules if r["kind"] == "taint" for lang in r["languages"] if not LANGUAGES[lang].dataflow]
+
+
 def register(language, extensions: Iterable[str]) -> None:
     """Adds a front-end at run time: a Language whose parse makes trees. A name that is taken is an error."""
     from quarry.sources.corpus import EXTENSIONS

@@ -585,3 +585,85 @@ def paths_under(spark, sf_dir):
     d = corpus.documents(spark, sf_dir)
     low, high = d.agg(F.min("source"), F.max("source")).first()
     return d.where(under(F.col("path"), [f"{low}/en", high, "nothing"])).select("doc_id", "path")
+
+
+@query("+ f AS (SELECT p.*, string_split_regex(d.text, '\\r?\\n') AS l FROM printed p JOIN documents d USING (doc_id) WHERE severity_rank >= 2), g AS (SELECT *, greatest(1, line - 2) AS first, least(line + 4, line) AS last FROM f), n AS (SELECT fingerprint, line, unnest(range(first, last + 1)) AS number, l FROM g) SELECT fingerprint, number::BIGINT AS number, substr(l[number], 1, 160) AS text, number >= line AS inside FROM n", findings=True)
+def code_frames(spark, sf_dir):
+    """The lines shown around each finding of medium severity and above."""
+    from quarry.operators.reports import with_frames
+
+    hits = O.with_fingerprints(found(spark, sf_dir)).where("severity_rank >= 2").withColumn("end_line", F.col("line"))
+    frames = with_frames(hits, corpus.documents(spark, sf_dir).select("path", "text"))
+    return frames.select("fingerprint", F.explode("frame").alias("k")).select("fingerprint", F.col("k.number").cast("long").alias("number"), "k.text", "k.inside")
+
+
+@query("SELECT rule_id, array_to_string(list_concat(list_concat(list_transform(cwe, lambda x: 'external/cwe/' || lower(x)), list_transform(owasp, lambda x: 'owasp/' || x)), ['own']), ' ') AS tags, CASE WHEN severity = 'high' THEN 'about' || chr(10) || chr(10) || 'fix' WHEN severity = 'low' THEN 'fix' ELSE 'said' END AS help FROM rules", findings=True)
+def rule_tags(spark, sf_dir):
+    """Tags and help of rules as a SARIF document has them."""
+    from quarry.operators.reports import help_text, sarif_tags
+
+    none = F.lit(None).cast("string")
+    rules = rule_table(spark).withColumns({"about": F.when(F.col("severity") == "high", "about").otherwise(none), "fix": F.when(F.col("severity").isin("high", "low"), "fix").otherwise(none)})
+    tags = sarif_tags(F.col("cwe"), F.col("owasp"), F.lit(None).cast("array<string>"), F.array(F.lit("own")))
+    return rules.select("rule_id", F.array_join(tags, " ").alias("tags"), help_text(F.col("about"), F.col("fix"), F.lit("said")).alias("help"))
+
+
+@query("""WITH i AS (SELECT doc_id, source || '/' || lang AS path, 'org/pkg' || doc_id % 4 || '.Unit' || doc_id % 9 AS module FROM documents), d AS (SELECT DISTINCT 'lib' || doc_id % 50 AS file, CASE WHEN doc_id % 2 = 0 THEN 'Unit' || doc_id % 9 ELSE 'org/pkg' || doc_id % 4 || '.Unit' || doc_id % 9 END AS name FROM documents WHERE doc_id % 7 = 0)
+SELECT DISTINCT i.path, i.module, d.file FROM i JOIN d ON d.name = i.module OR d.name = string_split_regex(i.module, '[/:.]+')[-1]""")
+def symbol_imports(spark, sf_dir):
+    """Imports by name, with the files that declare the whole name or its last part."""
+    from quarry.operators import dataflow
+
+    d = read(spark, sf_dir, "documents")
+    unit = F.concat(F.lit("Unit"), (F.col("doc_id") % 9).cast("string"))
+    whole = F.concat(F.lit("org/pkg"), (F.col("doc_id") % 4).cast("string"), F.lit("."), unit)
+    imported = d.select(F.concat_ws("/", "source", F.col("lang")).alias("path"), F.lit("csharp").alias("lang"), unit.alias("local"), whole.alias("module"), F.lit("*").alias("name"))
+    declared = d.where("doc_id % 7 = 0").select(F.concat(F.lit("lib"), (F.col("doc_id") % 50).cast("string")).alias("file"), F.when(F.col("doc_id") % 2 == 0, unit).otherwise(whole).alias("name")).distinct()
+    return dataflow.by_symbol(imported, declared).select("path", "module", "file").distinct()
+
+
+@query(r"""WITH p AS (SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'build/a' WHEN 1 THEN 'src/build/b.min.js' WHEN 2 THEN 'src/keep.min.js' WHEN 3 THEN 'only.js' WHEN 4 THEN 'src/only.js' ELSE 'docs/x/y/' || lang || '.md' END AS path FROM documents)
+SELECT doc_id FROM p WHERE NOT (CASE WHEN path = 'src/keep.min.js' THEN false WHEN regexp_matches(path, '(^|/)build/') OR path LIKE '%.min.js' OR path = 'only.js' OR (path LIKE 'docs/%' AND path LIKE '%/en.md') THEN true ELSE false END)""")
+def ignore_scope(spark, sf_dir):
+    """Paths that ignore files let through: folders, suffixes, what is kept after all, what stands at the top only."""
+    from quarry.scan import ignore_patterns, ignored
+
+    k = F.col("doc_id") % 6
+    path = F.when(k == 0, "build/a").when(k == 1, "src/build/b.min.js").when(k == 2, "src/keep.min.js").when(k == 3, "only.js").when(k == 4, "src/only.js").otherwise(F.concat(F.lit("docs/x/y/"), "lang", F.lit(".md")))
+    rules = ignore_patterns("", ["# note", "build/", "*.min.js", "/only.js", "docs/**/en.md"]) + ignore_patterns("src/", ["!keep.min.js"])
+    return read(spark, sf_dir, "documents").withColumn("path", path).where(~ignored(F.col("path"), rules)).select("doc_id")
+
+
+@query(r"""WITH d AS (SELECT doc_id, source || '/' || lang || '/' || doc_id AS path, CASE doc_id % 5 WHEN 0 THEN 'a.b.c.d.e' WHEN 1 THEN '$x' WHEN 2 THEN 'f(y.z).w' WHEN 3 THEN 'r[0].q' ELSE '12' END AS expr, CASE doc_id % 6 WHEN 0 THEN ' Note' WHEN 1 THEN 'WARNING' WHEN 2 THEN 'error' WHEN 3 THEN 'High' WHEN 4 THEN 'info ' ELSE 'loud' END AS word FROM documents)
+SELECT doc_id, regexp_extract(path, '^(.*)/[^/]*$', 1) AS parent, string_split_regex(path || ':x.y' || doc_id % 3, '[/:.]')[-1] AS last, 'k' || doc_id % 4 AS bare, substr(path, 1, 6) || '…' AS short,
+  CASE doc_id % 6 WHEN 0 THEN 'info' WHEN 1 THEN 'medium' WHEN 2 THEN 'high' WHEN 3 THEN 'high' WHEN 4 THEN 'info' END AS severity, CASE doc_id % 5 WHEN 0 THEN 'a.b.c.d' WHEN 1 THEN '$x' WHEN 2 THEN 'f' WHEN 3 THEN 'r' END AS node,
+  CASE doc_id % 3 WHEN 0 THEN 'al' WHEN 1 THEN 'na' ELSE 'z' || doc_id % 7 END AS local, doc_id % 3 < 2 AS is_source, doc_id % 4 <= doc_id % 5 AND doc_id % 6 <= doc_id % 7 AS held, CASE WHEN doc_id % 2 = 0 THEN 'quality' END AS category FROM d""")
+def scalar_functions(spark, sf_dir):
+    d = corpus.documents(spark, sf_dir).select("doc_id", "path")
+    k = lambda n: F.col("doc_id") % n
+    pick = lambda n, *values: F.element_at(F.array(*[F.lit(v) for v in values]), (k(n) + 1).cast("int"))
+    text = lambda n: k(n).cast("string")
+    none = F.lit(None).cast("string")
+    return d.select(
+        "doc_id", X.parent_dir(F.col("path")).alias("parent"), X.last_segment(F.concat("path", F.lit(":x.y"), text(3))).alias("last"), X.unquote(F.concat(F.lit("'`k"), text(4), F.lit('"'))).alias("bare"), X.truncate(F.col("path"), 6).alias("short"),
+        X.parse_severity(pick(6, " Note", "WARNING", "error", "High", "info ", "loud")).alias("severity"), X.render_path(X.node_path(pick(5, "a.b.c.d.e", "$x", "f(y.z).w", "r[0].q", "12"))).alias("node"),
+        X.import_local(F.when(k(3) == 0, "al").otherwise(none), F.when(k(3) < 2, "na").otherwise(none), F.concat(F.lit("x/y/z"), text(7))).alias("local"), X.is_source(pick(3, "s", "x", "p")).alias("is_source"), X.contains(k(4), k(7), k(5), k(6)).alias("held"), X.category(pick(2, " Quality", "other")).alias("category"),
+    )
+
+
+@query("+ l AS (SELECT unnest(['en', 'fr']) AS lang) SELECT DISTINCT rule_id FROM rules WHERE list_has_any(langs, ['es', 'it']) UNION SELECT rule_id FROM rules WHERE 'es' IN (SELECT lang FROM l)", findings=True)
+def live_rules(spark, sf_dir):
+    """Rules that run for at least one of two languages."""
+    from quarry.operators import rulebook
+
+    rules = rule_table(spark).withColumnRenamed("langs", "languages")
+    return rulebook.live(rules, spark.createDataFrame([("es",), ("it",)], "lang string"))
+
+
+@query("+ t AS (SELECT path, count(*) FILTER (rule_id = 'txt.email') AS n FROM findings GROUP BY path) SELECT count(*) AS files, count(*) FILTER (n > 0) AS passed, round(count(*) FILTER (n > 0) / count(*), 9) AS ratio FROM t", findings=True)
+def verified_ratio(spark, sf_dir):
+    """How many of the files with findings have one of a kind: a count of those that pass, and their share."""
+    from quarry.operators import measures
+
+    t = found(spark, sf_dir).groupBy("path").agg(F.count_if(F.col("rule_id") == "txt.email").alias("n"))
+    return measures.passed(t, F.col("n") > 0).select(F.col("total").alias("files"), "passed", F.round("ratio", 9).alias("ratio"))

@@ -119,22 +119,29 @@ def under(path: Column, prefixes: list[str]) -> Column:
 
 def ignore_rules(root: str, own_only: bool = False) -> list[tuple[str, bool]]:
     """(pattern, whether it ignores) of all ignore files, from the top down; a later match wins. Own ignore files always count."""
-    out = []
+    out: list[tuple[str, bool]] = []
     names = IGNORE_FILES[-1:] if own_only else IGNORE_FILES
     top = Path(root)
     found = sorted((f for n in names for f in top.rglob(n) if ".git" not in f.parts[:-1]), key=lambda f: (len(f.parts), str(f)))
     for f in found:
         base = "" if f.parent == top else f.parent.relative_to(top).as_posix() + "/"
-        for line in f.read_text(encoding="utf-8", errors="replace").splitlines():
-            line = line.rstrip()
-            if not line or line.startswith("#"):
-                continue
-            keep, line = line.startswith("!"), line.removeprefix("!")
-            tail = "/.*" if line.endswith("/") else "(/.*)?"
-            line = line.rstrip("/")
-            anchored = "/" in line
-            parts = [".*" if p == "**" else glob_regex(p)[1:-1].replace(".*", "[^/]*") for p in line.lstrip("/").split("/")]
-            out.append((f"^{re.escape(base)}{'' if anchored else '(.*/)?'}{'/'.join(parts)}{tail}$".replace("/.*/", "/(.*/)?"), not keep))
+        out += ignore_patterns(base, f.read_text(encoding="utf-8", errors="replace").splitlines())
+    return out
+
+
+def ignore_patterns(base: str, lines: list[str]) -> list[tuple[str, bool]]:
+    """What the lines of an ignore file in a folder (base, with its slash) say: patterns of paths, and whether they ignore or keep."""
+    out = []
+    for line in lines:
+        line = line.rstrip()
+        if not line or line.startswith("#"):
+            continue
+        keep, line = line.startswith("!"), line.removeprefix("!")
+        tail = "/.*" if line.endswith("/") else "(/.*)?"
+        line = line.rstrip("/")
+        anchored = "/" in line
+        parts = [".*" if p == "**" else glob_regex(p)[1:-1].replace(".*", "[^/]*") for p in line.lstrip("/").split("/")]
+        out.append((f"^{re.escape(base)}{'' if anchored else '(.*/)?'}{'/'.join(parts)}{tail}$".replace("/.*/", "/(.*/)?"), not keep))
     return out
 
 

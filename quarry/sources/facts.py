@@ -79,6 +79,30 @@ LANGUAGES = {
     ),
 }
 
+#: What a profile may say, and how: lists of kinds, or kinds with two fields (names, or places among the children).
+LISTS, PAIRS = ("names", "functions", "params", "returns", "strings"), ("members", "calls", "news", "writes")
+
+
+def from_profile(name: str, parse: Callable[[str], Node], profile: dict | None) -> tuple[Language, list[str]]:
+    """A language from its parser and a profile (a YAML document), with warnings. Without a profile there are trees but no data
+    flow; a section that isn't as it should be is left out by itself."""
+    warnings, good = [], {}
+    for section, value in (profile or {}).items():
+        if section in LISTS and isinstance(value, list) and all(isinstance(v, str) for v in value):
+            good[section] = set(value)
+        elif section in PAIRS and isinstance(value, dict) and all(isinstance(v, list) and len(v) == 2 and all(isinstance(x, (str, int)) for x in v) for v in value.values()):
+            good[section] = {k: tuple(v) for k, v in value.items()}
+        elif section == "statements" and isinstance(value, dict) and all(isinstance(v, str) for v in value.values()):
+            good[section] = value
+        elif section == "folded" and isinstance(value, bool):
+            good[section] = value
+        else:
+            warnings.append(f"profile {name}: section {section} is left out")
+    for section in ("names", "members", "calls"):
+        good.setdefault(section, set() if section == "names" else {})
+    return Language(name, parse, **good, dataflow=bool(profile)), warnings
+
+
 SPAN = "struct<text:string,start:int,end:int,kind:string,line:int,col:int>"
 FACT = f"fact string, name string, target string, base string, module string, receiver string, symbol string, resolution string, args array<{SPAN}>, value {SPAN}, start int, end int, line int, col int, end_line int, end_col int, text string, snippet string, scope int, param int"
 FACT_NAMES = [c.split()[0] for c in FACT.replace(SPAN, "x").split(", ")]

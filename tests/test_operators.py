@@ -60,3 +60,26 @@ def test_a_front_end_added_at_run_time(spark):
         from quarry.sources.corpus import EXTENSIONS
 
         del facts.LANGUAGES["lines"], EXTENSIONS["lines"]
+
+
+def test_profiles_leave_out_what_is_wrong():
+    import yaml
+
+    doc = yaml.safe_load("names: [identifier]\ncalls: {call_expression: [function, arguments]}\nwrites: {a: [b]}\nstatements: {x: 1}\nfolded: true\n")
+    from quarry.sources import javascript
+
+    language, warnings = facts.from_profile("other", javascript.parse, doc)
+    assert language.calls == {"call_expression": ("function", "arguments")} and language.folded and language.dataflow and not language.writes and len(warnings) == 2
+    bare, none = facts.from_profile("bare", javascript.parse, None)
+    assert not bare.dataflow and not none
+    rulebook.register(bare, ["bare"])
+    try:
+        rule = {"id": "t", "kind": "taint", "languages": ["bare"], "sources": [{"target": ["f"]}], "sinks": [{"target": ["f"]}]}
+        assert rulebook.warnings_without_flow([rule]) == ["t: no data flow for bare"]
+        from quarry.operators.dataflow import analyse
+
+        assert analyse("a", "bare", facts.facts_of("bare", "f(f())"), [rule]) == ([], [], [])
+    finally:
+        from quarry.sources.corpus import EXTENSIONS
+
+        del facts.LANGUAGES["bare"], EXTENSIONS["bare"]
