@@ -16,11 +16,23 @@ DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of a batch that goes to Python, where the session leaves Spark's own 64 MB: with long texts each running task would
+#: otherwise hold several times that outside the heap, in the executor and in its worker.
+BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "4m")
+
+
+def small_batches(spark: SparkSession) -> None:
+    if spark.conf.get(BATCH[0], BATCH[1]) in (BATCH[1], "64m", "64MB", "67108864"):
+        spark.conf.set(BATCH[0], BATCH[2])
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a temporary one only where none is set and there is one machine (local tests)."""
+    small_batches(spark)
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
         if not spark.sparkContext.master.startswith("local"):

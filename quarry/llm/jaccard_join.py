@@ -21,7 +21,9 @@ COUNTERS = 1 << 18
 #: Fewest and most bits of a text's signature, least parts of a frequent shingle's rows, rows of a part that are aimed at.
 BITS, MOST_BITS, PARTS, PART_ROWS = 2048, 1 << 16, 64, 50_000
 #: Rows of a block of a large group (a text of more than ROW_SHINGLES counts as several), children of a node, rows in one traversal.
-BLOCK, ROW_SHINGLES, LEAF, CHUNK = 256, 1024, 16, 8192
+BLOCK, ROW_SHINGLES, LEAF, CHUNK = 256, 1024, 16, 4096
+#: Node pairs whose children are paired at once, where signatures have 32 words; of longer ones fewer.
+STEP = 500
 SLICE = 64
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -127,26 +129,27 @@ def _children(forest: Forest, depth: int, nodes: np.ndarray) -> tuple[np.ndarray
 
 
 def dual(x: Forest, i: np.ndarray, y: Forest, j: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
-    """Row pairs that a traversal down from the root pairs (i, j) leaves; for a forest with itself each pair once."""
-    depth = max(len(x.levels), len(y.levels)) - 1
-    while True:
-        a, b, left, right = x.levels[min(depth, len(x.levels) - 1)], y.levels[min(depth, len(y.levels) - 1)], [i[:0]], [j[:0]]
-        for at in range(0, len(i), 50_000):
-            p, q = i[at : at + 50_000], j[at : at + 50_000]
-            ok = _possible(a, p, b, q, percent)
-            if depth:
-                p, q = p[ok], q[ok]
-                (p, n), (q, m) = _children(x, depth, p), _children(y, depth, q)
-                nth = np.arange((n * m).sum()) - np.repeat(np.cumsum(n * m) - n * m, n * m)
-                wide = np.repeat(m, n * m)
-                p, q = np.repeat(p, n * m) + nth // wide, np.repeat(q, n * m) + nth % wide
-                ok = p <= q if x is y else np.full(len(p), True)
+    """Row pairs that a traversal down from the root pairs (i, j) leaves; for a forest with itself each pair once. Of children's pairs
+    about STEP nodes' are made at a time, and only those kept that may hold a link."""
+    top = lambda f, depth: f.levels[min(depth, len(f.levels) - 1)]
+    depth, step = max(len(x.levels), len(y.levels)) - 1, max(1, STEP * 32 // x.levels[0][0].shape[1])
+    ok = _possible(top(x, depth), i, top(y, depth), j, percent)
+    i, j = i[ok], j[ok]
+    while depth:
+        left, right = [i[:0]], [j[:0]]
+        for at in range(0, len(i), step):
+            (p, n), (q, m) = _children(x, depth, i[at : at + step]), _children(y, depth, j[at : at + step])
+            nth = np.arange((n * m).sum()) - np.repeat(np.cumsum(n * m) - n * m, n * m)
+            wide = np.repeat(m, n * m)
+            p, q = np.repeat(p, n * m) + nth // wide, np.repeat(q, n * m) + nth % wide
+            if x is y:
+                p, q = p[p <= q], q[p <= q]
+            ok = _possible(top(x, depth - 1), p, top(y, depth - 1), q, percent)
             left.append(p[ok])
             right.append(q[ok])
         i, j = np.concatenate(left), np.concatenate(right)
-        if depth == 0:
-            return (i[i < j], j[i < j]) if x is y else (i, j)
         depth -= 1
+    return (i[i < j], j[i < j]) if x is y else (i, j)
 
 
 def tree_pairs(cell: np.ndarray, side: np.ndarray, node: np.ndarray, n: np.ndarray, comp: np.ndarray, bits: list, percent: int = PERCENT) -> tuple[np.ndarray, ...]:
