@@ -385,7 +385,18 @@ def jaccard_components(docs: DataFrame, n_words: int = WORDS, percent: int = PER
     """
     known = _labelled(docs, n_words, percent)
     smallest = stored(known.where("comp IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("rows")).where("rows > 1").drop("rows"))
-    return known.join(smallest, "comp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return matched(known, smallest, "comp").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def matched(rows: DataFrame, small: DataFrame, key: str, most: int = 1000) -> DataFrame:
+    """rows left-joined to small (a row a key). Keys that hold more than one row in `most` (and over `most` rows) are at most `most`:
+    those rows stay where they are and get theirs by broadcast, so no key's rows meet in one task."""
+    total = rows.count()
+    hot = [r[0] for r in rows.where(F.col(key).isNotNull()).groupBy(key).count().where(F.col("count") > max(most, total // most)).select(key).collect()]
+    if not hot:
+        return rows.join(small, key, "left")
+    some = F.coalesce(F.col(key).isin(hot), F.lit(False))
+    return rows.where(some).join(F.broadcast(small.where(F.col(key).isin(hot))), key, "left").unionByName(rows.where(~some).join(small, key, "left"))
 
 
 def one_of_each(docs: DataFrame, n_words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -395,7 +406,7 @@ def one_of_each(docs: DataFrame, n_words: int = WORDS, percent: int = PERCENT) -
     known = _labelled(docs, n_words, percent).where("comp IS NOT NULL")
     row = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark")
     groups = stored(known.groupBy("comp").agg(F.min(row).alias("kept"), F.count("*").alias("rows")).where("rows > 1").select("comp", "kept"))
-    members = known.join(groups, "comp").select(row.alias("row"), "kept")
+    members = matched(known, groups, "comp").where("kept IS NOT NULL").select(row.alias("row"), "kept")
     gone = stored(members.where("row <> kept").select("row.doc_id", "row.mark").distinct())
     again = stored(members.where("row = kept").groupBy("row").count().where("count > 1").select("row.doc_id", "row.mark"))
     mark = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
@@ -412,7 +423,8 @@ def _labelled(docs: DataFrame, n_words: int, percent: int) -> DataFrame:
     parts = max(PARTS, -(-rows.count() // PART_ROWS))
     # equal groups have met in different tasks: a row is kept once
     groups = stored(_groups(_postings(docs, rare, n_words, percent, parts), percent).repartition("group", "part").dropDuplicates(["group", "part", "node"]))
-    signs = stored(rows.select("node", "n", "bits").join(groups.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]))
+    # copies of a text are one before they meet
+    signs = stored(rows.select("node", "n", "bits").dropDuplicates(["node"]).join(groups.select("node").distinct(), "node", "left_semi"))
     cells = stored(_cells(groups, percent))
     ends = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     # first a spanning forest of the candidates
@@ -433,7 +445,7 @@ def _labelled(docs: DataFrame, n_words: int, percent: int) -> DataFrame:
         dropped(done)
     final = components(links)
 
-    known = stored(rows.select("doc_id", "mark", "n", "node").join(final.withColumnRenamed("label", "comp"), "node", "left").withColumn("comp", F.when(F.col("n") > 0, F.coalesce("comp", "node"))))
+    known = stored(matched(rows.select("doc_id", "mark", "n", "node"), final.withColumnRenamed("label", "comp"), "node").withColumn("comp", F.when(F.col("n") > 0, F.coalesce("comp", "node"))))
     dropped(profile)
     return known
 
