@@ -91,7 +91,8 @@ def identify(pages: DataFrame, docs: DataFrame, sample: int = SAMPLE) -> DataFra
     weigh by how often each value goes with each language over all pages (add-one counts of text posteriors). The host's prior
     is the text posteriors of its other pages, smoothed by those of its domain (the last two labels), these by the suffix's and
     these by all pages'; all sums are grouped aggregations, combined before the shuffle. A null or textless page has text
-    posteriors of equal size and goes by the rest; a null or odd url has the empty host; repeated rows count each. Without
+    posteriors of equal size and goes by the rest; a null or odd url has the empty host; repeated rows count each; of languages
+    with equal odds the first by name is taken. Without
     labelled docs lang is null; an empty table gives no rows. Other columns are not read.
     """
     langs, table = train(docs, sample)
