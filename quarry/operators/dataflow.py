@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.functions.scalars import normalize_join, parent_dir
 from quarry.sources.facts import LANGUAGES
@@ -324,18 +325,25 @@ def analyse(path: str, lang: str, facts: list[dict], rules: list[dict], links: l
     return found, summaries, verdicts
 
 
-def solved(filed: DataFrame, rules: list[dict]) -> DataFrame:
-    """path, lang, found, summaries, verdicts of files (path, lang, facts, and links where files are linked). Narrow: no shuffle."""
+def solved(filed: DataFrame, rules: list[dict], keep: tuple = ()) -> DataFrame:
+    """path, lang, found, summaries, verdicts (and the columns to keep) of files (path, lang, facts, and links where files are
+    linked). Narrow: no shuffle."""
     linked = "links" in filed.columns
     columns = ["path", "lang", "facts", *(["links"] if linked else [])]
+    array = lambda kind: T.ArrayType(T._parse_datatype_string(kind))
+    made = [T.StructField(n, t) for n, t in (("path", T.StringType()), ("lang", T.StringType()), ("found", array(FINDING)), ("summaries", array(SUMMARY)), ("verdicts", array(VERDICT)))]
+    more = [c for c in keep if c not in columns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in zip(*(batch.column(k).to_pylist() for k in range(len(columns)))):
-                found, summaries, verdicts = analyse(row[0], row[1], row[2], rules, row[3] if linked else None)
-                yield pa.RecordBatch.from_arrays([pa.array([row[0]]), pa.array([row[1]]), pa.array([found], pa.list_(_FINDING)), pa.array([summaries], pa.list_(_SUMMARY)), pa.array([verdicts], pa.list_(_VERDICT))], ["path", "lang", "found", "summaries", "verdicts"])
-
-    return filed.select(*columns).mapInArrow(run, f"path string, lang string, found array<{FINDING}>, summaries array<{SUMMARY}>, verdicts array<{VERDICT}>")
+            names = batch.schema.names
+            for i in range(batch.num_rows):
+                path, lang, facts, *links = (batch.column(k)[i].as_py() for k in range(len(columns)))
+                found, summaries, verdicts = analyse(path, lang, facts, rules, links[0] if linked else None)
+                arrays = [pa.array([path]), pa.array([lang]), pa.array([found], pa.list_(_FINDING)), pa.array([summaries], pa.list_(_SUMMARY)), pa.array([verdicts], pa.list_(_VERDICT))]
+                yield pa.RecordBatch.from_arrays([*arrays, *(batch.column(names.index(c)).slice(i, 1) for c in keep)], ["path", "lang", "found", "summaries", "verdicts", *keep])
+
+    return filed.select(*columns, *more).mapInArrow(run, T.StructType([*made, *filed.select(*keep).schema.fields]))
 
 
 # -- files among each other ----------------------------------------------------------------------------------------------------

@@ -200,9 +200,9 @@ def analyse(spark: SparkSession, files: DataFrame, rules: list[dict], opts: Opti
     # facts and what a file says by itself: from the store where content and rules are the same
     small = materialised(small.withColumn("key", state.summary_key(F.col("content_hash"), key)).select("path", "lang", "text", "content_hash", "key"))
     fresh = small if kept is None else small.join(kept.select("path", "key"), ["path", "key"], "left_anti")
-    filed = materialised(facts.with_facts(fresh).join(fresh.select("path", "content_hash", "key"), "path"))
-    own = dataflow.solved(filed, rules)
-    entries = filed.join(own.select("path", "found", "summaries"), "path").select("path", "lang", "content_hash", "key", "facts", "found", "summaries")
+    # parsed and solved in one pass; what goes along isn't joined again
+    own = dataflow.solved(facts.with_facts(fresh, ("content_hash", "key")), rules, ("content_hash", "key", "facts"))
+    entries = own.select("path", "lang", "content_hash", "key", "facts", "found", "summaries")
     reused = 0
     if kept is not None:
         again = kept.join(small.select("path", "key"), ["path", "key"], "left_semi").select(*entries.columns)
@@ -211,13 +211,13 @@ def analyse(spark: SparkSession, files: DataFrame, rules: list[dict], opts: Opti
     entries = materialised(entries)
 
     # files among each other
-    linked = dataflow.links(entries, dataflow.flat_summaries(entries))
-    everything = materialised(entries.join(linked, "path", "left").withColumn("link_hash", F.coalesce("link_hash", F.lit(""))))
-    hits = everything.where("false").select("path") if old is None else everything.select("path", "content_hash", "link_hash").join(old.select("path", "content_hash", "link_hash"), ["path", "content_hash", "link_hash"], "left_semi").select("path")
+    linked = materialised(dataflow.links(entries, dataflow.flat_summaries(entries)))
+    everything = materialised(entries.select("path", "content_hash").join(linked.select("path", "link_hash"), "path", "left").withColumn("link_hash", F.coalesce("link_hash", F.lit(""))))
+    hits = everything.where("false").select("path") if old is None else everything.join(old.select("path", "content_hash", "link_hash"), ["path", "content_hash", "link_hash"], "left_semi").select("path")
     hits = materialised(hits)
-    todo = everything.join(hits, "path", "left_anti")
-    with_links = dataflow.solved(todo.where("link_hash <> ''"), rules).select("path", "lang", "found")
-    flows = todo.where("link_hash = ''").select("path", "lang", "found").unionByName(with_links)
+    todo = entries if old is None else entries.join(hits, "path", "left_anti")
+    with_links = dataflow.solved(todo.join(linked.select("path", "links"), "path"), rules).select("path", "lang", "found")
+    flows = todo.join(linked.select("path"), "path", "left_anti").select("path", "lang", "found").unionByName(with_links)
     flows = flows.select("path", "lang", F.explode("found").alias("f")).select("path", "lang", "f.*")
     says = F.create_map(*[F.lit(x) for r in rules for x in (r["id"], r["message"])]) if rules else None
     flows = flows.select("path", "lang", "rule_id", (says[F.col("rule_id")] if rules else F.lit("")).alias("message"), "start", "end", "line", "col", F.col("line").alias("end_line"), F.col("col").alias("end_col"), "snippet", "trace")
@@ -255,7 +255,7 @@ def analyse(spark: SparkSession, files: DataFrame, rules: list[dict], opts: Opti
         suppressed = out.count() - new.count()
         out = new
     cached = hits.count()
-    stats = {"considered": counted["considered"], "scanned": everything.count() - cached, "cached": cached, "skipped": counted["skipped"], "summarised": filed.count(), "summaries_reused": reused, "suppressed": suppressed, "findings": out.count(), "ms": int((time.monotonic() - began) * 1000)}
+    stats = {"considered": counted["considered"], "scanned": everything.count() - cached, "cached": cached, "skipped": counted["skipped"], "summarised": entries.count() - reused, "summaries_reused": reused, "suppressed": suppressed, "findings": out.count(), "ms": int((time.monotonic() - began) * 1000)}
     return Result(findings.report_order(out), stats, rules, list(warnings), files.where("read_error IS NOT NULL").select("path", "read_error"))
 
 

@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import brace, javascript
 from .objectscript import objectscript
@@ -105,6 +106,7 @@ def from_profile(name: str, parse: Callable[[str], Node], profile: dict | None)
 
 SPAN = "struct<text:string,start:int,end:int,kind:string,line:int,col:int>"
 FACT = f"fact string, name string, target string, base string, module string, receiver string, symbol string, resolution string, args array<{SPAN}>, value {SPAN}, start int, end int, line int, col int, end_line int, end_col int, text string, snippet string, scope int, param int"
+FACTS = "struct<" + re.sub(r"(^|, )(\w+) ", r"\1\2:", FACT) + ">"
 FACT_NAMES = [c.split()[0] for c in FACT.replace(SPAN, "x").split(", ")]
 _SPAN = pa.struct([("text", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("line", pa.int32()), ("col", pa.int32())])
 _TYPES = {"args": pa.list_(_SPAN), "value": _SPAN} | dict.fromkeys(("start", "end", "line", "col", "end_line", "end_col", "scope", "param"), pa.int32())
@@ -454,18 +456,18 @@ def facts_of(lang: str, text: str) -> list[dict]:
     return Walk(LANGUAGES[lang], text).run()
 
 
-def with_facts(files: DataFrame) -> DataFrame:
-    """files (path, lang, text) whose language has a front-end, with the facts of each: the one Python step between texts and
-    findings. An array a file, so that what is asked of a file needs no shuffle."""
-    known = [*LANGUAGES]
-    schema = files.select("path", "lang").schema.simpleString()[7:-1].replace(":", " ")
+def with_facts(files: DataFrame, keep: tuple = ()) -> DataFrame:
+    """path, lang, facts (and the columns to keep) of files (path, lang, text) whose language has a front-end: the one Python step
+    between texts and findings. An array a file, so that what is asked of a file needs no shuffle, nor does what goes along."""
+    kept = files.select(*keep).schema.fields
+    schema = T.StructType([T.StructField("path", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("facts", T._parse_datatype_string(f"array<{FACTS}>")), *kept])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, lang, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([lang]), pa.array([facts_of(lang, text)], pa.list_(ARROW))], ["path", "lang", "facts"])
+            for i, (path, lang, text) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(3)))):
+                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([lang]), pa.array([facts_of(lang, text)], pa.list_(ARROW)), *(batch.column(k).slice(i, 1) for k in range(3, batch.num_columns))], ["path", "lang", "facts", *keep])
 
-    return files.where(F.col("lang").isin(known)).select("path", "lang", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, f"{schema}, facts array<struct<{', '.join(c.replace(' ', ':', 1) for c in FACT.split(', '))}>>")
+    return files.where(F.col("lang").isin([*LANGUAGES])).select("path", "lang", F.coalesce("text", F.lit("")).alias("text"), *keep).mapInArrow(run, schema)
 
 
 def facts(filed: DataFrame) -> DataFrame:
