@@ -331,7 +331,7 @@ def _groups(postings: DataFrame, percent: int) -> DataFrame:
 
 def _sets(docs: DataFrame, profile: DataFrame, nodes: DataFrame, n_words: int) -> DataFrame:
     """node, tokens of the given nodes, from the texts of one document of each."""
-    ids = profile.join(nodes, "node", "left_semi").groupBy("node").agg(F.max("doc_id").alias("doc_id"))
+    ids = profile.groupBy("node").agg(F.max("doc_id").alias("doc_id")).join(nodes, "node", "left_semi")  # copies are one before they meet
     wanted = stored(ids.select("node", F.xxhash64("doc_id").alias("id")))
     # other texts are mostly left out before they reach Python, by a bitmap of their ids: 16 bits each, 16 MB at most
     count = wanted.count()
