@@ -72,7 +72,13 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sizes(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_token_counts, op3_quality, op4_language, op5_neighbours, op6_exact_dedup, op7_jaccard_join, op8_chat_format, op9_toxicity, op10_mixing)}
+def op11_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repeats import digests, with_planted, with_repeats
+
+    return digests(with_repeats(with_planted(table(spark, sf_dir, "documents").select("doc_id", "text"))))
+
+
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_token_counts, op3_quality, op4_language, op5_neighbours, op6_exact_dedup, op7_jaccard_join, op8_chat_format, op9_toxicity, op10_mixing, op11_repeats)}
 
 
 def _oracles() -> dict[str, str]:
