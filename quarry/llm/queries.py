@@ -78,13 +78,19 @@ def op11_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(with_repeats(with_planted(table(spark, sf_dir, "documents").select("doc_id", "text"))))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_token_counts, op3_quality, op4_language, op5_neighbours, op6_exact_dedup, op7_jaccard_join, op8_chat_format, op9_toxicity, op10_mixing, op11_repeats)}
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .divergence import divergence
+
+    return divergence(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_token_counts, op3_quality, op4_language, op5_neighbours, op6_exact_dedup, op7_jaccard_join, op8_chat_format, op9_toxicity, op10_mixing, op11_repeats, op12_divergence)}
 
 
 def _oracles() -> dict[str, str]:
-    from . import chat_format, exact_dedup, mixing
+    from . import chat_format, divergence, exact_dedup, mixing
 
-    return {"op6_exact_dedup": exact_dedup.ORACLE, "op8_chat_format": chat_format.ORACLE, "op10_mixing": mixing.ORACLE}
+    return {"op6_exact_dedup": exact_dedup.ORACLE, "op8_chat_format": chat_format.ORACLE, "op10_mixing": mixing.ORACLE, "op12_divergence": divergence.ORACLE}
 
 
 ORACLES = _oracles()
