@@ -84,7 +84,13 @@ def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_token_counts, op3_quality, op4_language, op5_neighbours, op6_exact_dedup, op7_jaccard_join, op8_chat_format, op9_toxicity, op10_mixing, op11_repeats, op12_divergence)}
+def op13_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .main_text import with_main_text
+
+    return with_main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_token_counts, op3_quality, op4_language, op5_neighbours, op6_exact_dedup, op7_jaccard_join, op8_chat_format, op9_toxicity, op10_mixing, op11_repeats, op12_divergence, op13_main_text)}
 
 
 def _oracles() -> dict[str, str]:
