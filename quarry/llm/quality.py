@@ -139,7 +139,11 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, rounds: i
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> np.ndarray | None:
-    """The scorer's weights; None where no text has a word."""
+    """The scorer's weights; None where no text has a word.
+
+    The labellers vote on all texts. The scorer's texts are drawn by a hash of id and text, so neither null nor repeated ids
+    bring all rows or none; a draw that finds none, which takes rows that are all alike, is repeated with a wider bound.
+    """
 
     def voted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -151,10 +155,11 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> np.ndarray | None:
         for batch in batches:
             codes = [sum(v * 3**k for k, v in enumerate(votes(t))) for t in batch.column(1).to_pylist()]
             found = [features(t, memo) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes, pa.int32()), pa.array([f[0].tolist() for f in found], pa.list_(pa.int32())), pa.array([f[1].tolist() for f in found], pa.list_(pa.float64()))], ["spot", "code", "at", "x"])
+            at, x = ([f[i].astype(kind).tobytes() for f in found] for i, kind in ((0, "<i4"), (1, "<f8")))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes, pa.int32()), pa.array(at, pa.binary()), pa.array(x, pa.binary())], ["spot", "code", "at", "x"])
 
-    spot = F.xxhash64(docs["doc_id"].cast("long"), F.lit("quality"))
-    slim = docs.select(spot.alias("spot"), F.coalesce(docs["text"], F.lit("")).alias("text"))
+    text = F.coalesce(docs["text"], F.lit(""))
+    slim = docs.select(F.xxhash64(docs["doc_id"].cast("long"), text, F.lit("quality")).alias("spot"), text.alias("text"))
     codes = slim.mapInArrow(voted, "spot long, code int").where("code >= 0").groupBy("code").count().toPandas()  # 3 ** LABELLERS rows at most
     if not len(codes):
         return None
@@ -162,21 +167,30 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> np.ndarray | None:
     counts = codes["count"].to_numpy(float)
     _, _, post = estimate(patterns, counts)
     good = dict(zip(codes["code"], post))
-    bound = -(2**63) + int(2**64 * min(1.0, 1.1 * sample / counts.sum())) - 1
-    chosen = slim.where((F.col("spot") <= F.lit(min(bound, 2**63 - 1))) & (F.length(F.trim("text")) > 0)).mapInArrow(made, "spot long, code int, at array<int>, x array<double>").orderBy("spot", "code").limit(sample).collect()
-    rows = [(np.array(r["at"], np.int64), np.array(r["x"])) for r in chosen if len(r["at"])]
-    if not rows:
-        return None
-    return fit(rows, np.array([good.get(r["code"], 0.5) for r in chosen if len(r["at"])]))
+    share, rows, target = 1.1 * sample / counts.sum(), [], []
+    while not rows:
+        bound = min(-(2**63) + int(2**64 * min(1.0, share)) - 1, 2**63 - 1)
+        chosen = slim.where((F.col("spot") <= F.lit(bound)) & (F.length(F.trim("text")) > 0)).mapInArrow(made, "spot long, code int, at binary, x binary").orderBy("spot", "code", "at").limit(sample).toArrow()
+        for code, at, x in zip(*(chosen.column(i) for i in (1, 2, 3))):
+            if len(at.as_py()):
+                rows.append((np.frombuffer(at.as_py(), "<i4").astype(np.int64), np.frombuffer(x.as_py(), "<f8")))
+                target.append(good.get(code.as_py(), 0.5))
+        if share >= 1:
+            break
+        share *= 16
+    return fit(rows, np.array(target)) if rows else None
 
 
 def score(docs: DataFrame, weights: np.ndarray | None, threshold: float = 0.5) -> DataFrame:
-    """docs with quality (0 to 1) and accepted added: of a text without words 0 and false. Other columns stay, those named so are replaced."""
+    """docs with quality (0 to 1) and accepted added: of a text without words 0 and false, and of all texts where weights are
+    None, as nothing was fitted. Other columns stay, those named so are replaced."""
     from pyspark.sql import types as T
 
     docs = docs.drop("quality", "accepted")
     schema = T.StructType([*docs.schema.fields, T.StructField("quality", T.DoubleType())])
-    w = np.zeros(WEIGHTS) if weights is None else weights
+    if weights is None:
+        return docs.withColumn("quality", F.lit(0.0)).withColumn("accepted", F.lit(False))
+    w = weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict = {}
@@ -197,8 +211,8 @@ def classify(docs: DataFrame, sample: int = SAMPLE, threshold: float = 0.5) -> D
 
     Seven heuristics each call a text bad or good or say nothing, over all rows; expectation-maximisation over the counts of
     their vote patterns gives each one's accuracy and each pattern's posterior. A linear scorer over hashed word shapes is
-    fitted to the posteriors of `sample` texts (those whose hashed doc_id is smallest) and scores every whole text. A null
-    text, and one of white space only, has quality 0 and isn't accepted. Repeated rows get the same score; null ids hash alike.
+    fitted to the posteriors of `sample` texts (those whose hash of doc_id and text is smallest) and scores every whole text. A null
+    text, and one of white space only, has quality 0 and isn't accepted. Repeated rows get the same score; null or repeated ids change nothing.
     An empty table gives no rows.
     """
     return score(docs, train(docs, sample), threshold)
