@@ -16,8 +16,9 @@ from .components import components
 
 WORDS = 5
 PERCENT = 80
-#: Counters of shingles; one that is far above the mean holds a frequent shingle, which prefixes take last.
-COUNTERS = 1 << 18
+#: Fewest and most counters of shingles (in between one for each COUNTED rows or so); one that is far above the mean holds a
+#: frequent shingle, which prefixes take last. Tasks' counters are summed FAN at a time.
+COUNTERS, MOST_COUNTERS, COUNTED, FAN = 1 << 18, 1 << 22, 1 << 10, 16
 #: Fewest and most bits of a text's signature, least parts of a frequent shingle's rows, rows of a part that are aimed at.
 BITS, MOST_BITS, PARTS, PART_ROWS = 2048, 1 << 16, 64, 50_000
 #: Rows of a block of a large group (a text of more than ROW_SHINGLES counts as several), children of a node, rows in one traversal.
@@ -222,29 +223,49 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"), F.xxhash64(F.coalesce(docs["text"], F.lit(""))).alias("mark"))
 
 
-def _profile(docs: DataFrame, n_words: int) -> DataFrame:
-    """doc_id, mark, n, node (digest of the shingle set), bits (its signature) of each text, and from each task a row with its shingle counters."""
+def counters(rows: int) -> int:
+    """How many counters a table of so many rows gets: a power of two."""
+    return max(COUNTERS, min(MOST_COUNTERS, 1 << max(0, rows // COUNTED - 1).bit_length()))
+
+
+def _profile(docs: DataFrame, n_words: int, size: int = COUNTERS) -> DataFrame:
+    """doc_id, mark, n, node (digest of the shingle set), bits (its signature) of each text, and from each task a row with its
+    `size` shingle counters, as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(COUNTERS, np.int64)
+        counts = np.zeros(size, np.int64)
         names = ["doc_id", "mark", "n", "node", "bits", "counts"]
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
                 sets = [shingles(t, n_words) for t in part.column(1).to_pylist()]
-                counts += np.bincount((np.concatenate(sets) & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) for s in sets], pa.int64()), pa.array([signature(s) for s in sets], pa.list_(pa.int64())), pa.nulls(len(sets), pa.list_(pa.int64()))], names)
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.int64())), pa.array([counts.tolist()], pa.list_(pa.int64()))], names)
+                np.add.at(counts, (np.concatenate(sets) & np.uint64(size - 1)).astype(np.int64), 1)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) for s in sets], pa.int64()), pa.array([signature(s) for s in sets], pa.list_(pa.int64())), pa.nulls(len(sets), pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.int64())), pa.array([counts.astype("<i8").tobytes()], pa.binary())], names)
 
-    return _texts(docs).mapInArrow(run, "doc_id long, mark long, n long, node long, bits array<long>, counts array<long>")
+    return _texts(docs).mapInArrow(run, "doc_id long, mark long, n long, node long, bits array<long>, counts binary")
 
 
 def _rare(profile: DataFrame) -> np.ndarray:
-    """Which counters hold no frequent shingle: those not six deviations of chance (and 16) above the mean. COUNTERS rows at most
-    come to the driver."""
-    rows = profile.where("counts IS NOT NULL").select(F.posexplode("counts").alias("at", "n")).where("n > 0").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros(COUNTERS, np.int64)
-    counts[rows["at"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
+    """Which counters hold no frequent shingle: those not six deviations of chance (and 16) above the mean. Tasks' counters are
+    summed as arrays, FAN at a time in a tree, so that rows are as many as tasks; one row comes to the driver."""
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            for one in batch.column(0):
+                own = np.frombuffer(one.as_buffer(), "<i8")
+                total = own.copy() if total is None else total + own
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["counts"])
+
+    rows = profile.where("counts IS NOT NULL").select("counts")
+    tasks = rows.count()
+    while tasks > FAN:
+        tasks = -(-tasks // FAN)
+        rows = stored(rows.repartition(tasks).mapInArrow(summed, "counts binary"))
+    last = rows.repartition(1).mapInArrow(summed, "counts binary").first()
+    counts = np.frombuffer(last["counts"], "<i8") if last else np.zeros(COUNTERS, np.int64)
     return counts <= counts.mean() + 6 * np.sqrt(counts.mean()) + 16
 
 
@@ -331,7 +352,8 @@ def _groups(postings: DataFrame, percent: int) -> DataFrame:
 
 def _sets(docs: DataFrame, profile: DataFrame, nodes: DataFrame, n_words: int) -> DataFrame:
     """node, tokens of the given nodes, from the texts of one document of each."""
-    ids = profile.groupBy("node").agg(F.max("doc_id").alias("doc_id")).join(nodes, "node", "left_semi")  # copies are one before they meet
+    # copies are one before they meet; a semi-join, as `nodes` are distinct, but one that isn't taken to before the aggregate
+    ids = profile.groupBy("node").agg(F.max("doc_id").alias("doc_id")).join(nodes, "node")
     wanted = stored(ids.select("node", F.xxhash64("doc_id").alias("id")))
     # other texts are mostly left out before they reach Python, by a bitmap of their ids: 16 bits each, 16 MB at most
     count = wanted.count()
@@ -389,10 +411,10 @@ def jaccard_components(docs: DataFrame, n_words: int = WORDS, percent: int = PER
 
 
 def matched(rows: DataFrame, small: DataFrame, key: str, most: int = 1000) -> DataFrame:
-    """rows left-joined to small (a row a key). Keys that hold more than one row in `most` (and over `most` rows) are at most `most`:
+    """rows left-joined to small (a row a key). Keys that hold more than one row in `most` (and over 64 rows) are at most `most`:
     those rows stay where they are and get theirs by broadcast, so no key's rows meet in one task."""
     total = rows.count()
-    hot = [r[0] for r in rows.where(F.col(key).isNotNull()).groupBy(key).count().where(F.col("count") > max(most, total // most)).select(key).collect()]
+    hot = [r[0] for r in rows.where(F.col(key).isNotNull()).groupBy(key).count().where(F.col("count") > max(64, total // most)).select(key).collect()]
     if not hot:
         return rows.join(small, key, "left")
     some = F.coalesce(F.col(key).isin(hot), F.lit(False))
@@ -417,14 +439,14 @@ def one_of_each(docs: DataFrame, n_words: int = WORDS, percent: int = PERCENT) -
 
 def _labelled(docs: DataFrame, n_words: int, percent: int) -> DataFrame:
     """doc_id, mark, n, node, comp of each row of docs: rows of linked texts have the same comp, those without shingles none."""
-    profile = stored(_profile(docs, n_words))
+    profile = stored(_profile(docs, n_words, counters(docs.count())))
     rare = _rare(profile)
-    rows = profile.where("n IS NOT NULL")
+    rows = profile.where("n > 0")
     parts = max(PARTS, -(-rows.count() // PART_ROWS))
     # equal groups have met in different tasks: a row is kept once
     groups = stored(_groups(_postings(docs, rare, n_words, percent, parts), percent).repartition("group", "part").dropDuplicates(["group", "part", "node"]))
-    # copies of a text are one before they meet
-    signs = stored(rows.select("node", "n", "bits").dropDuplicates(["node"]).join(groups.select("node").distinct(), "node", "left_semi"))
+    # copies of a text are one before they meet (by an inner join, as for the sets)
+    signs = stored(rows.select("node", "n", "bits").dropDuplicates(["node"]).join(groups.select("node").distinct(), "node"))
     cells = stored(_cells(groups, percent))
     ends = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     # first a spanning forest of the candidates
@@ -445,7 +467,8 @@ def _labelled(docs: DataFrame, n_words: int, percent: int) -> DataFrame:
         dropped(done)
     final = components(links)
 
-    known = stored(matched(rows.select("doc_id", "mark", "n", "node"), final.withColumnRenamed("label", "comp"), "node").withColumn("comp", F.when(F.col("n") > 0, F.coalesce("comp", "node"))))
+    found = matched(rows.select("doc_id", "mark", "n", "node"), final.withColumnRenamed("label", "comp"), "node").withColumn("comp", F.coalesce("comp", "node"))
+    known = stored(found.unionByName(profile.where("n = 0").select("doc_id", "mark", "n", "node", F.lit(None).cast("long").alias("comp"))))
     dropped(profile)
     return known
 
