@@ -62,19 +62,28 @@ def visible(uses: DataFrame, writes: DataFrame, ancestors: DataFrame) -> DataFra
     return own.unionByName(up.join(writes, ["scope", "base"]).select("use_id", "origin", "written")).groupBy("use_id", "origin").agg(F.min("written").alias("written"))
 
 
+def nearest_sources(calls: DataFrame, levels: int) -> DataFrame:
+    """func, arg, level, call_id: for each parameter that a caller passes a source to, itself or through callers' own parameters,
+    the fewest callers and, of those so near, the first call that passes the source. The states of all parameters are relaxed
+    backward together, a level a round: a round joins the parameters that the round before settled to the distinct passings of
+    parameters, so the work follows the calls, however many sinks ask."""
+    passings = calls.where("NOT source AND caller_param IS NOT NULL").select("func", "arg", F.col("caller").alias("of_func"), F.col("caller_param").alias("of_arg")).distinct()
+    front = calls.where("source").groupBy("func", "arg").agg(F.min("call_id").alias("call_id")).withColumn("level", F.lit(1))
+    known = front
+    for level in range(2, levels + 1):
+        of = front.select(F.col("func").alias("of_func"), F.col("arg").alias("of_arg"), "call_id")
+        met = passings.join(of, ["of_func", "of_arg"]).groupBy("func", "arg").agg(F.min("call_id").alias("call_id")).withColumn("level", F.lit(level))
+        front = met.join(known.select("func", "arg"), ["func", "arg"], "left_anti")
+        known = known.unionByName(front)
+    return known.select("func", "arg", "level", "call_id")
+
+
 def stitch(sinks: DataFrame, calls: DataFrame, levels: int = 3) -> DataFrame:
     """sink_id, level, call_id: sinks (sink_id, func, param) that a parameter reaches, followed to the callers (call_id, func, arg,
     source, caller, caller_param) that pass a source, or a parameter of their own, up to `levels` callers; the nearest, then the
-    first call. A parameter that was followed before isn't again."""
-    front = sinks.select("sink_id", "func", F.col("param").alias("arg"))
-    seen, found = front, None
-    for level in range(1, levels + 1):
-        met = front.join(calls, ["func", "arg"])
-        hit = met.where("source").select("sink_id", F.lit(level).alias("level"), "call_id")
-        found = hit if found is None else found.unionByName(hit)
-        front = met.where("NOT source AND caller_param IS NOT NULL").select("sink_id", F.col("caller").alias("func"), F.col("caller_param").alias("arg")).distinct().join(seen, ["sink_id", "func", "arg"], "left_anti")
-        seen = seen.unionByName(front)
-    best = found.groupBy("sink_id").agg(F.min(F.struct("level", "call_id")).alias("b"))
+    first call. All sinks share the states of parameters."""
+    states = nearest_sources(calls, levels)
+    best = sinks.join(states, (sinks["func"] == states["func"]) & (sinks["param"] == states["arg"])).groupBy("sink_id").agg(F.min(F.struct("level", "call_id")).alias("b"))
     return best.select("sink_id", "b.level", "b.call_id")
 
 

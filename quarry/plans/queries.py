@@ -667,3 +667,30 @@ def verified_ratio(spark, sf_dir):
 
     t = found(spark, sf_dir).groupBy("path").agg(F.count_if(F.col("rule_id") == "txt.email").alias("n"))
     return measures.passed(t, F.col("n") > 0).select(F.col("total").alias("files"), "passed", F.round("ratio", 9).alias("ratio"))
+
+
+@query(r"""WITH RECURSIVE a AS (SELECT user_id AS path, event_id AS id, event_id % 4 AS scope, event_type AS base, CASE WHEN event_id % 3 = 0 THEN ['k' || event_id % 2, 'z'] WHEN event_id % 3 = 1 THEN ['k' || event_id % 2] ELSE [] END AS fields,
+    ['click', 'view', 'purchase', 'error', 'signup'][1 + floor(value)::BIGINT % 5] AS rbase, CASE WHEN event_id % 5 < 3 THEN ['k' || event_id % 2] ELSE ['k0', 'z', 'y'] END AS rfields, floor(value * 10)::BIGINT % 12 = 0 AS source, event_id % 7 = 0 AS clean FROM events),
+anc(child, ancestor) AS (VALUES (1, 0), (2, 0), (3, 0), (2, 1), (3, 1)),
+vis AS (SELECT i.id AS i, j.id AS j FROM a i JOIN a j ON i.path = j.path AND i.base = j.rbase AND i.fields[1:least(len(i.fields), len(j.rfields))] = j.rfields[1:least(len(i.fields), len(j.rfields))]
+    LEFT JOIN anc ON anc.child = j.scope AND anc.ancestor = i.scope WHERE NOT j.clean AND (i.scope = j.scope AND i.id < j.id OR anc.child IS NOT NULL)),
+reach(id, origin) AS (SELECT id, id FROM a WHERE source UNION SELECT vis.j, reach.origin FROM reach JOIN vis ON vis.i = reach.id)
+SELECT path, scope, base, array_to_string(fields, '.') AS fields, origin, min(a.id) AS written FROM reach JOIN a USING (id) GROUP BY ALL""")
+def assignment_fixpoint(spark, sf_dir):
+    """Events as assignments of their user: each writes a place, reads one, and some bring an origin of their own. What each place
+    comes to hold, with the least write, in rounds over what is new."""
+    from quarry.operators import taint
+
+    e = read(spark, sf_dir, "events")
+    key = F.concat(F.lit("k"), (F.col("event_id") % 2).cast("string"))
+    none = F.array().cast("array<string>")
+    third = F.col("event_id") % 3
+    kinds = F.array(*[F.lit(k) for k in ("click", "view", "purchase", "error", "signup")])
+    cell = [F.col("user_id").alias("path"), (F.col("event_id") % 4).alias("scope"), F.col("event_type").alias("base"), F.when(third == 0, F.array(key, F.lit("z"))).when(third == 1, F.array(key)).otherwise(none).alias("fields"), F.col("event_id").alias("at")]
+    reads = e.select("user_id", F.col("event_id").alias("read"), (F.col("event_id") % 4).alias("scope"), F.get(kinds, (F.floor("value") % 5).cast("int")).alias("base"), F.when(F.col("event_id") % 5 < 3, F.array(key)).otherwise(F.array(F.lit("k0"), F.lit("z"), F.lit("y"))).alias("fields"), F.col("event_id").alias("at")).withColumnRenamed("user_id", "path")
+    above = F.array(*[F.struct(F.lit(c).cast("long").alias("child"), F.lit(p).cast("long").alias("ancestor")) for c, p in ((1, 0), (2, 0), (3, 0), (2, 1), (3, 1))])
+    around = e.select(F.col("user_id").alias("path")).distinct().select("path", F.explode(above).alias("a")).select("path", "a.child", "a.ancestor")
+    cleaned = e.where("event_id % 7 = 0").select(F.col("user_id").alias("path"), F.lit("r").alias("rule"), F.col("event_id").alias("read"))
+    put = e.where(F.floor(F.col("value") * 10) % 12 == 0).select(*cell, F.lit("r").alias("rule"), F.col("event_id").alias("origin"))
+    held = taint.Spread(reads, e.select(*cell, F.col("event_id").alias("read")), around, cleaned).grow(put).held()
+    return held.select("path", "scope", "base", F.array_join("fields", ".").alias("fields"), "origin", F.col("at").alias("written"))
