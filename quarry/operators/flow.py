@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .findings import one_each
+from .prefix import running
 
 
 def reach(edges: DataFrame, start: DataFrame, hops: int) -> DataFrame:
@@ -106,10 +107,11 @@ def alias_hop(locals_: DataFrame) -> DataFrame:
 
 
 def without_repeats(steps: DataFrame, key: str, order: list[str], same: list[str]) -> DataFrame:
-    """Drops a step that says the same as the one before it."""
-    w = Window.partitionBy(key).orderBy(*order)
-    before = F.lag(F.struct(*same)).over(w)
-    return steps.withColumn("_before", before).where(F.col("_before").isNull() | (F.col("_before") != F.struct(*same))).drop("_before")
+    """Drops a step that says the same as the one before it, by blocks of a key's steps."""
+    # what a step says, by its place: the greatest of those before it is the one before it
+    numbered = running(steps, [key], order, "_before", "count", F.lit(1))
+    last = running(numbered, [key], order, "_last", "max", F.struct("_before", F.struct(*same).alias("said")))
+    return last.where(F.col("_last").isNull() | (F.col("_last.said") != F.struct(*same))).drop("_before", "_last")
 
 
 def verdict(reached: Column, stitched: Column, parameter: Column, sanitised: Column) -> Column:

@@ -3,9 +3,11 @@ equality: the work follows the pairs that there are, not the square of a key's r
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .prefix import running
+
 
 def cells(spans: DataFrame, s: str = "s", e: str = "e", levels: int = 40) -> DataFrame:
     """spans with level and cell: a row for each of the dyadic cells (cell << level wide) that make up the closed span; at most two
@@ -57,6 +59,7 @@ def ancestors(edges: DataFrame, depth: int) -> DataFrame:
 
 
 def maximal(spans: DataFrame, key: str) -> DataFrame:
-    """Spans that no earlier or wider one covers: by start, then end falling, those that end beyond all before them."""
-    before = Window.partitionBy(key).orderBy("s", F.desc("e")).rowsBetween(Window.unboundedPreceding, -1)
-    return spans.withColumn("_reach", F.max("e").over(before)).where(F.col("_reach").isNull() | (F.col("e") > F.col("_reach"))).drop("_reach")
+    """Spans that no earlier or wider one covers: by start, then end falling, those that end beyond all before them. A key's spans
+    are scanned by blocks, so one with all of them is no single task."""
+    reach = running(spans, [key], ["s", F.desc("e")], "_reach", "max", F.col("e"))
+    return reach.where(F.col("_reach").isNull() | (F.col("e") > F.col("_reach"))).drop("_reach")
