@@ -136,24 +136,24 @@ def run(args: argparse.Namespace) -> int:
         if form == "human":
             texts = corpus.read_folder(spark, root, opts.extensions)
             colour = args.output is None and reports.wants_colour(args.color, sys.stdout)
-            reports.write(reports.human(reports.with_frames(result.findings, texts), colour), args.output)
+            reports.write(reports.human_document(reports.with_frames(result.findings, texts), colour), args.output)
         else:
-            reports.write(reports.json_lines(result.findings, result.stats, result.errors) if form == "json" else reports.sarif_lines(result.findings, table), args.output)
+            reports.write(reports.json_document(result.findings, result.stats, result.errors) if form == "json" else reports.sarif_document(result.findings, table), args.output)
         if args.sarif_out:
-            reports.write(reports.sarif_lines(result.findings, table), args.sarif_out)
+            reports.write(reports.sarif_document(result.findings, table), args.sarif_out)
         if args.verbose:
             print(json.dumps(result.stats), file=sys.stderr)
         return int(result.fails(opts.fail_on))
     if args.command == "cache":
+        session()
         if args.action == "clear":
-            print("cleared" if state.clear_caches(root) else "nothing there")
+            print("cleared" if state.clear_caches(root, config.get("state")) else "nothing there")
         else:
-            print(json.dumps({t.folder.name: t.info() for t in state.caches(root)}))
+            print(json.dumps(state.info(root, config.get("state"))))
         return 0
     if args.command == "baseline":
         if args.action == "info":
-            doc = state.read_baseline(args.file)
-            print(json.dumps({"fingerprints": len(doc["fingerprints"]), "updated": doc.get("updated")}))
+            print(json.dumps(state.baseline_info(session(), args.file)))
         else:
             print(f"{state.write_baseline(args.file, engine.scan(session(), engine.options(config, root=root)).findings)} fingerprints")
         return 0

@@ -376,6 +376,24 @@ def by_symbol(imported: DataFrame, declared: DataFrame) -> DataFrame:
     return keys.join(declared.select("file", F.col("name").alias("key")), "key").drop("key").distinct()
 
 
+def name_parts(name):
+    return F.filter(F.split(name, r"[/:.]+"), lambda p: p != "")
+
+
+def by_longest_suffix(imported: DataFrame, declared: DataFrame, salts: int = 16) -> DataFrame:
+    """module, suffix, files, file of each distinct module that imports name: the longest end of its parts that files declare (file,
+    name), how many do, and which where one does. A name that many files declare is one class with a count, not a pair for each
+    file; the files of a class are `declared` itself. Names meet once each: an end that very many modules share is dealt to `salts`
+    keys, which costs the names so many rows."""
+    classes = declared.select("file", F.array_join(name_parts(F.col("name")), ".").alias("suffix")).where("suffix <> ''").groupBy("suffix").agg(F.countDistinct("file").alias("files"), F.min("file").alias("file"))
+    parts = name_parts(F.col("module"))
+    ends = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+    wanted = imported.select("module").distinct().where(F.size(parts) > 0).select("module", F.explode(ends).alias("suffix")).withColumn("salt", F.pmod(F.xxhash64("module"), F.lit(salts)))
+    met = wanted.join(classes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), ["suffix", "salt"])
+    best = met.groupBy("module").agg(F.max_by(F.struct("suffix", "files", "file"), F.length("suffix")).alias("b"))
+    return best.select("module", "b.suffix", "b.files", F.when(F.col("b.files") == 1, F.col("b.file")).alias("file"))
+
+
 def links(filed: DataFrame, summaries: DataFrame) -> DataFrame:
     """path, links: what each file's imports bring it. summaries: file, rule_id, function, source, params, sinks. An import that
     names what its file imports itself is followed to where it is from, at most four files on; the farthest wins."""

@@ -7,12 +7,15 @@ import os
 import re
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.scalars import SEVERITIES, sarif_level, security_severity, truncate
 
+from .documents import Document, Section
 from .findings import report_order, rule_index
+from .prefix import running
 
 VERSION = "0.1.0"
 SCHEMA = "quarry.findings/1"
@@ -28,8 +31,11 @@ def format_of(name: str) -> str:
 
 def as_json(findings: DataFrame) -> DataFrame:
     """One JSON object per finding, in report order by place; nulls and empty lists are left out."""
-    cols = [F.when(F.size(c) > 0, F.col(c)).alias(c) if t.startswith("array") else F.col(c) for c, t in findings.dtypes if c != "severity_rank"]
-    return report_order(findings).select("path", F.to_json(F.struct(*cols)).alias("finding"))
+    return report_order(findings).select("path", F.to_json(F.struct(*_json_columns(findings))).alias("finding"))
+
+
+def _json_columns(findings: DataFrame) -> list[Column]:
+    return [F.when(F.size(c) > 0, F.col(c)).alias(c) if t.startswith("array") else F.col(c) for c, t in findings.dtypes if c != "severity_rank"]
 
 
 def with_frames(findings: DataFrame, files: DataFrame) -> DataFrame:
@@ -61,51 +67,70 @@ def paint(text: str, severity: str, on: bool) -> str:
     return f"\x1b[{COLOURS[severity]}m{text}\x1b[0m" if on and severity in COLOURS else text
 
 
-def human(findings: DataFrame, colour: bool = False) -> Iterator[str]:
-    """Lines for a terminal: files in order, worst findings first, each with its frame, flow, tags and fix where it has them, then a
-    count per severity. Rows stream to the driver."""
-    has = findings.columns
-    some = [c for c in ("frame", "trace", "message", "fix", "cwe", "owasp", "end_line", "start", "end") if c in has]
+def human_document(findings: DataFrame, colour: bool = False) -> Document:
+    """Text for a terminal: files in order, worst findings first, each with its frame, flow, tags and fix where it has them, then a
+    count per severity. Executors make the lines of each finding; which is its file's first is known from the one before it."""
+    some = [c for c in ("frame", "trace", "message", "fix", "cwe", "owasp", "end_line", "start", "end") if c in findings.columns]
     shown = findings.select("path", "line", "start_col", "severity", "severity_rank", "rule_id", truncate(F.col("snippet"), 160).alias("snippet"), *some)
-    counts, last = dict.fromkeys(SEVERITIES, 0), None
-    for r in shown.orderBy("path", F.desc("severity_rank"), "line", "start_col", "rule_id").toLocalIterator():
-        if r.path != last:
-            yield r.path
-            last = r.path
-        counts[r.severity] += 1
-        yield f"  {r.line}:{r.start_col}  {paint(f'{r.severity:<8}', r.severity, colour)}  {r.rule_id}" + (f"  {r.message}" if "message" in some and r.message else "")
-        if "frame" in some and r.frame:
-            for k in r.frame:
-                yield f"      {k.number:>5} | {k.text}"
-                if k.number == r.line:
-                    width = r["end"] - r["start"] if "start" in some and r.end_line == r.line else 1 << 30
-                    yield "            | " + caret(k.text, r.start_col, width)
-        else:
-            yield f"      {r.snippet}"
-        for k, step in enumerate(r.trace if "trace" in some and r.trace else [], 1):
-            text = step.snippet or ""
-            yield f"      {k}. {step.file + ':' if step.file else ''}{step.line}  {step.label}  {text if len(text) <= STEP_TEXT else text[:STEP_TEXT] + '…'}"
-        tags = [*(r.cwe if "cwe" in some and r.cwe else []), *(r.owasp if "owasp" in some and r.owasp else [])]
-        if tags:
-            yield "      " + ", ".join(tags)
-        if "fix" in some and r.fix:
-            yield f"      fix: {r.fix}"
-    total = ", ".join(f"{counts[s]} {s}" for s in reversed(SEVERITIES) if counts[s])
-    yield f"{sum(counts.values())} findings" + (f" ({total})" if total else "")
+    counts = {r["severity"]: r["count"] for r in shown.groupBy("severity").count().collect()}  # a row a severity
+    rows = running(shown, [], ["path", F.desc("severity_rank"), "line", "start_col", "rule_id"], "_before", "max", F.col("path"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lines = ["\n".join(human_lines(r, colour)) for r in batch.to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("path", "severity_rank", "line", "start_col", "rule_id")), pa.array(lines, pa.string())], ["path", "severity_rank", "line", "start_col", "rule_id", "text"])
+
+    kinds = dict(rows.dtypes)
+    made = rows.mapInArrow(run, f"path string, severity_rank {kinds['severity_rank']}, line {kinds['line']}, start_col {kinds['start_col']}, rule_id string, text string")
+    made = made.select("path", "severity_rank", F.col("line").alias("at"), "start_col", "rule_id", F.col("text").alias("line"))
+    total = ", ".join(f"{counts[s]} {s}" for s in reversed(SEVERITIES) if counts.get(s))
+    return Document([Section("", made, ["path", F.desc("severity_rank"), "at", "start_col", "rule_id"])], f"{sum(counts.values())} findings" + (f" ({total})" if total else ""))
+
+
+def human_lines(r: dict, colour: bool) -> Iterator[str]:
+    """The lines of one finding, its file's name first where it is the file's first."""
+    if r["_before"] != r["path"]:
+        yield r["path"]
+    severity, frame = r["severity"], r.get("frame")
+    yield f"  {r['line']}:{r['start_col']}  {paint(f'{severity:<8}', severity, colour)}  {r['rule_id']}" + (f"  {r['message']}" if r.get("message") else "")
+    for k in frame or []:
+        yield f"      {k['number']:>5} | {k['text']}"
+        if k["number"] == r["line"]:
+            width = r["end"] - r["start"] if "start" in r and r["end_line"] == r["line"] else 1 << 30
+            yield "            | " + caret(k["text"], r["start_col"], width)
+    if not frame:
+        yield f"      {r['snippet']}"
+    for k, step in enumerate(r.get("trace") or [], 1):
+        text = step["snippet"] or ""
+        yield f"      {k}. {step['file'] + ':' if step['file'] else ''}{step['line']}  {step['label']}  {text if len(text) <= STEP_TEXT else text[:STEP_TEXT] + '…'}"
+    tags = [*(r.get("cwe") or []), *(r.get("owasp") or [])]
+    if tags:
+        yield "      " + ", ".join(tags)
+    if r.get("fix"):
+        yield f"      fix: {r['fix']}"
+
+
+def human(findings: DataFrame, colour: bool = False) -> Iterator[str]:
+    """The lines of human_document, one at a time."""
+    for block in human_document(findings, colour).lines():
+        yield from block.split("\n")
+
+
+def _in_order() -> list:
+    return [F.desc("severity_rank"), "path", "at", "start_col", "rule_id"]
+
+
+def json_document(findings: DataFrame, stats: dict, errors: DataFrame | None = None) -> Document:
+    """One JSON document: schema, version, findings in report order, stats, errors."""
+    cols = _json_columns(findings)
+    rows = findings.select("severity_rank", "path", F.col("line").alias("at"), "start_col", "rule_id", F.to_json(F.struct(*cols)).alias("line"))
+    sections = [Section("{" + f'"schema": "{SCHEMA}", "version": "{VERSION}", "findings": [', rows, _in_order(), ",")]
+    sections.append(Section(f'], "stats": {json.dumps(stats)}, "errors": [', None if errors is None else errors.select(F.to_json(F.struct("*")).alias("line")), ["line"], ","))
+    return Document(sections, "]}")
 
 
 def json_lines(findings: DataFrame, stats: dict, errors: DataFrame | None = None) -> Iterator[str]:
-    """The lines of one JSON document: schema, version, findings, stats, errors. Findings stream to the driver, which holds one."""
-    yield "{" + f'"schema": "{SCHEMA}", "version": "{VERSION}", "findings": ['
-    before = None
-    for r in as_json(findings).toLocalIterator():
-        if before is not None:
-            yield before + ","
-        before = r.finding
-    if before is not None:
-        yield before
-    wrong = [r.asDict() for r in errors.toLocalIterator()] if errors is not None else []
-    yield f'], "stats": {json.dumps(stats)}, "errors": {json.dumps(wrong)}' + "}"
+    return json_document(findings, stats, errors).lines()
 
 
 def sarif_tags(cwe: Column, owasp: Column, nist: Column, tags: Column) -> Column:
@@ -121,25 +146,21 @@ def help_text(description: Column, fix: Column, message: Column) -> Column:
     return F.when(both == "", message).otherwise(both)
 
 
-def sarif_lines(findings: DataFrame, rules: DataFrame) -> Iterator[str]:
-    """The lines of a SARIF document: rules that fired, by id, then a result a line, with a code flow where there is a trace.
-    Results are made and sorted by executors and stream to the driver, which writes them down as they come."""
+def sarif_document(findings: DataFrame, rules: DataFrame) -> Document:
+    """A SARIF document: rules that fired, by id, then a result a line, with a code flow where there is a trace."""
     fired = findings.select("rule_id").distinct()
     known = fired.join(rules, "rule_id", "left").withColumn("severity", F.coalesce("severity", F.lit("medium")))
     properties = F.struct(sarif_tags(F.col("cwe"), F.col("owasp"), F.col("nist"), F.col("tags")).alias("tags"), security_severity(F.col("severity")).alias("security-severity"), F.coalesce("precision", F.lit("low")).alias("precision"))
     said = F.struct(help_text(F.col("description"), F.col("fix"), F.coalesce("message", "rule_id")).alias("text"))
     rule = F.struct(F.col("rule_id").alias("id"), F.coalesce("name", "rule_id").alias("name"), F.struct(F.coalesce("message", "rule_id").alias("text")).alias("shortDescription"), said.alias("help"), F.struct(sarif_level(F.col("severity")).alias("level")).alias("defaultConfiguration"), properties.alias("properties"))
     described = known.orderBy("rule_id").select("rule_id", F.to_json(rule).alias("rule")).collect()  # a row a rule
-    yield '{"version": "2.1.0", "$schema": "https://json.schemastore.org/sarif-2.1.0.json", "runs": [{"tool": {"driver": {"name": "quarry", "version": "' + VERSION + '", "rules": [' + ", ".join(r.rule for r in described) + "]}},"
-    yield '"columnKind": "utf16CodeUnits", "results": ['
-    before = None
-    for r in report_order(sarif_results(findings, rule_index(findings))).toLocalIterator():
-        if before is not None:
-            yield before + ","
-        before = r.result
-    if before is not None:
-        yield before
-    yield "]}]}"
+    head = '{"version": "2.1.0", "$schema": "https://json.schemastore.org/sarif-2.1.0.json", "runs": [{"tool": {"driver": {"name": "quarry", "version": "' + VERSION + '", "rules": [' + ", ".join(r.rule for r in described) + ']}},\n"columnKind": "utf16CodeUnits", "results": ['
+    results = sarif_results(findings, rule_index(findings)).select("severity_rank", "path", F.col("line").alias("at"), "start_col", "rule_id", F.col("result").alias("line"))
+    return Document([Section(head, results, _in_order(), ",")], "]}]}")
+
+
+def sarif_lines(findings: DataFrame, rules: DataFrame) -> Iterator[str]:
+    return sarif_document(findings, rules).lines()
 
 
 def sarif_results(findings: DataFrame, index: DataFrame) -> DataFrame:
@@ -155,12 +176,13 @@ def sarif_results(findings: DataFrame, index: DataFrame) -> DataFrame:
     return findings.join(F.broadcast(index.select("rule_id", "rule_index")), "rule_id", "left").select("severity_rank", "path", "line", "start_col", "rule_id", F.to_json(result).alias("result"))
 
 
-def write(lines: Iterator[str], out: str | None) -> None:
-    """To a file, or to the terminal."""
+def write(document: Document | Iterator[str], out: str | None) -> None:
+    """To a file, to a folder of fragments with a manifest (a name that ends in a slash), or to the terminal; a few lines that the
+    driver made itself go to the terminal."""
     if out is None:
-        for line in lines:
+        for line in document.lines() if isinstance(document, Document) else document:
             print(line)
-        return
-    with open(out, "w", encoding="utf-8") as f:
-        for line in lines:
-            f.write(line + "\n")
+    elif out.endswith("/"):
+        document.publish(out.rstrip("/"))
+    else:
+        document.write(out)

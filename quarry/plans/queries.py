@@ -169,10 +169,15 @@ def disabled_and_scoped(spark, sf_dir):
     return O.line_findings(corpus.documents(spark, sf_dir).join(good, "doc_id", "left_semi"), active).groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
+def fired_rules(spark, sf_dir):
+    return rule_table(spark).join(found(spark, sf_dir).select("rule_id").distinct(), "rule_id", "left_semi")
+
+
 # -- measures ----------------------------------------------------------------------------------------------------------------
-@query("+ flat AS (SELECT rule_id, unnest(langs) AS lang, cwe, owasp FROM rules UNION ALL SELECT rule_id, 'all', cwe, owasp FROM rules) SELECT lang, count(DISTINCT rule_id) AS rules, (SELECT count(DISTINCT c) FROM (SELECT unnest(cwe) AS c, f2.lang AS l FROM flat f2) WHERE l = f.lang) AS cwes, (SELECT count(DISTINCT c) FROM (SELECT unnest(owasp) AS c, f2.lang AS l FROM flat f2) WHERE l = f.lang) AS owasps FROM flat f GROUP BY lang", findings=True)
+@query("+ fired AS (SELECT * FROM rules WHERE rule_id IN (SELECT rule_id FROM findings)), flat AS (SELECT rule_id, unnest(langs) AS lang, cwe, owasp FROM fired UNION ALL SELECT rule_id, 'all', cwe, owasp FROM fired) SELECT lang, count(DISTINCT rule_id) AS rules, (SELECT count(DISTINCT c) FROM (SELECT unnest(cwe) AS c, f2.lang AS l FROM flat f2) WHERE l = f.lang) AS cwes, (SELECT count(DISTINCT c) FROM (SELECT unnest(owasp) AS c, f2.lang AS l FROM flat f2) WHERE l = f.lang) AS owasps FROM flat f GROUP BY lang", findings=True)
 def coverage_matrix(spark, sf_dir):
-    return measures.coverage(rule_table(spark)).select("lang", *long("rules", "cwes", "owasps"))
+    """What the rules that find something in the documents cover."""
+    return measures.coverage(fired_rules(spark, sf_dir)).select("lang", *long("rules", "cwes", "owasps"))
 
 
 @query("SELECT item FROM (SELECT 'A' || lpad(i::VARCHAR, 2, '0') AS item FROM range(1, 11) t(i)) WHERE item NOT IN (SELECT unnest(owasp) FROM rules WHERE rule_id IN (SELECT rule_id FROM findings))", findings=True)
@@ -597,13 +602,13 @@ def code_frames(spark, sf_dir):
     return frames.select("fingerprint", F.explode("frame").alias("k")).select("fingerprint", F.col("k.number").cast("long").alias("number"), "k.text", "k.inside")
 
 
-@query("SELECT rule_id, array_to_string(list_concat(list_concat(list_transform(cwe, lambda x: 'external/cwe/' || lower(x)), list_transform(owasp, lambda x: 'owasp/' || x)), ['own']), ' ') AS tags, CASE WHEN severity = 'high' THEN 'about' || chr(10) || chr(10) || 'fix' WHEN severity = 'low' THEN 'fix' ELSE 'said' END AS help FROM rules", findings=True)
+@query("SELECT rule_id, array_to_string(list_concat(list_concat(list_transform(cwe, lambda x: 'external/cwe/' || lower(x)), list_transform(owasp, lambda x: 'owasp/' || x)), ['own']), ' ') AS tags, CASE WHEN severity = 'high' THEN 'about' || chr(10) || chr(10) || 'fix' WHEN severity = 'low' THEN 'fix' ELSE 'said' END AS help FROM rules WHERE rule_id IN (SELECT rule_id FROM findings)", findings=True)
 def rule_tags(spark, sf_dir):
-    """Tags and help of rules as a SARIF document has them."""
+    """Tags and help of the rules that fired, as a SARIF document has them."""
     from quarry.operators.reports import help_text, sarif_tags
 
     none = F.lit(None).cast("string")
-    rules = rule_table(spark).withColumns({"about": F.when(F.col("severity") == "high", "about").otherwise(none), "fix": F.when(F.col("severity").isin("high", "low"), "fix").otherwise(none)})
+    rules = fired_rules(spark, sf_dir).withColumns({"about": F.when(F.col("severity") == "high", "about").otherwise(none), "fix": F.when(F.col("severity").isin("high", "low"), "fix").otherwise(none)})
     tags = sarif_tags(F.col("cwe"), F.col("owasp"), F.lit(None).cast("array<string>"), F.array(F.lit("own")))
     return rules.select("rule_id", F.array_join(tags, " ").alias("tags"), help_text(F.col("about"), F.col("fix"), F.lit("said")).alias("help"))
 
@@ -651,13 +656,13 @@ def scalar_functions(spark, sf_dir):
     )
 
 
-@query("+ l AS (SELECT unnest(['en', 'fr']) AS lang) SELECT DISTINCT rule_id FROM rules WHERE list_has_any(langs, ['es', 'it']) UNION SELECT rule_id FROM rules WHERE 'es' IN (SELECT lang FROM l)", findings=True)
+@query("SELECT rule_id FROM rules r WHERE EXISTS (SELECT 1 FROM documents d WHERE d.lang > 'en' AND list_contains(r.langs, d.lang))", findings=True)
 def live_rules(spark, sf_dir):
-    """Rules that run for at least one of two languages."""
+    """Rules that run for at least one of the languages of some documents."""
     from quarry.operators import rulebook
 
     rules = rule_table(spark).withColumnRenamed("langs", "languages")
-    return rulebook.live(rules, spark.createDataFrame([("es",), ("it",)], "lang string"))
+    return rulebook.live(rules, read(spark, sf_dir, "documents").where("lang > 'en'").select("lang").distinct()).select("rule_id")
 
 
 @query("+ t AS (SELECT path, count(*) FILTER (rule_id = 'txt.email') AS n FROM findings GROUP BY path) SELECT count(*) AS files, count(*) FILTER (n > 0) AS passed, round(count(*) FILTER (n > 0) / count(*), 9) AS ratio FROM t", findings=True)
@@ -694,3 +699,58 @@ def assignment_fixpoint(spark, sf_dir):
     put = e.where(F.floor(F.col("value") * 10) % 12 == 0).select(*cell, F.lit("r").alias("rule"), F.col("event_id").alias("origin"))
     held = taint.Spread(reads, e.select(*cell, F.col("event_id").alias("read")), around, cleaned).grow(put).held()
     return held.select("path", "scope", "base", F.array_join("fields", ".").alias("fields"), "origin", F.col("at").alias("written"))
+
+
+#: Syllables that rules of words are made of: 1,000 rules by a rule.
+SYLLABLES = ("th", "an", "er", "in", "on", "re", "ed", "nd", "ha", "at")
+
+
+def word_rules() -> list[dict]:
+    """A rule for each word of three syllables at the start of a word that a mark ends."""
+    return [{"id": f"w.{a}{b}{c}", "severity": "info", "pattern": f"(?:^| ){a}{b}{c}[a-z]*[.,!]"} for a in SYLLABLES for b in SYLLABLES for c in SYLLABLES]
+
+
+@query("""WITH s(x) AS (SELECT unnest(['th', 'an', 'er', 'in', 'on', 're', 'ed', 'nd', 'ha', 'at'])), r AS (SELECT a.x || b.x || c.x AS word FROM s a, s b, s c),
+cut AS (SELECT string_split_regex(text, '\\r?\\n') AS p FROM documents), l AS (SELECT unnest(p) AS line FROM cut),
+w AS (SELECT trim(unnest(regexp_extract_all(line, '(?:^| )[a-z]+[.,!]'))) AS token FROM l)
+SELECT 'w.' || word AS rule_id, count(*) AS n FROM w JOIN r ON starts_with(token, word) GROUP BY ALL""")
+def word_rule_findings(spark, sf_dir):
+    """A thousand rules over all lines, through the index of their literals."""
+    from quarry.operators import literals
+
+    return literals.line_findings(corpus.documents(spark, sf_dir), word_rules()).groupBy("rule_id").agg(F.count("*").alias("n"))
+
+
+@query("""WITH i AS (SELECT DISTINCT CASE WHEN doc_id % 3 = 0 THEN 'org/pkg' || doc_id % 4 || '.Unit' || doc_id % 90 ELSE 'Unit' || doc_id % 120 END AS module FROM documents),
+d AS (SELECT DISTINCT 'lib' || doc_id % 50 AS file, CASE WHEN doc_id % 2 = 0 THEN 'Unit' || doc_id % 90 WHEN doc_id % 5 = 0 THEN 'other::pkg1' || '.Unit' || doc_id % 90 ELSE 'pkg' || doc_id % 4 || '/Unit' || doc_id % 90 END AS name FROM documents WHERE doc_id % 7 = 0),
+c AS (SELECT array_to_string(string_split_regex(name, '[/:.]+'), '.') AS suffix, count(DISTINCT file) AS files, min(file) AS file FROM d GROUP BY 1),
+e AS (SELECT module, string_split_regex(module, '[/:.]+') AS p FROM i), s AS (SELECT module, unnest([array_to_string(p[k:], '.') for k in range(1, len(p) + 1)]) AS suffix FROM e)
+SELECT module, suffix, files, CASE WHEN files = 1 THEN file END AS file FROM s JOIN c USING (suffix) QUALIFY row_number() OVER (PARTITION BY module ORDER BY length(suffix) DESC) = 1""")
+def symbol_classes(spark, sf_dir):
+    """Imports by name: the longest end of each that files declare, as a class with its count."""
+    from quarry.operators import dataflow
+
+    d = read(spark, sf_dir, "documents")
+    unit = F.concat(F.lit("Unit"), (F.col("doc_id") % 90).cast("string"))
+    pkg = F.concat(F.lit("pkg"), (F.col("doc_id") % 4).cast("string"))
+    imported = d.select(F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("org/"), pkg, F.lit("."), unit)).otherwise(F.concat(F.lit("Unit"), (F.col("doc_id") % 120).cast("string"))).alias("module"))
+    name = F.when(F.col("doc_id") % 2 == 0, unit).when(F.col("doc_id") % 5 == 0, F.concat(F.lit("other::pkg1."), unit)).otherwise(F.concat(pkg, F.lit("/"), unit))
+    declared = d.where("doc_id % 7 = 0").select(F.concat(F.lit("lib"), (F.col("doc_id") % 50).cast("string")).alias("file"), name.alias("name")).distinct()
+    return dataflow.by_longest_suffix(imported, declared).select("module", "suffix", *long("files"), "file")
+
+
+@query("""WITH o AS (SELECT source || '/' || lang || '/d' || doc_id % 10 || '/' || doc_id AS path, text AS body FROM documents),
+n AS (SELECT source || '/' || lang || '/d' || doc_id % 10 || '/' || CASE WHEN doc_id % 103 = 0 THEN 'new/' ELSE '' END || doc_id AS path, CASE WHEN doc_id % 97 = 0 THEN text || '!' ELSE text END AS body FROM documents WHERE doc_id % 101 > 0)
+SELECT coalesce(o.path, n.path) AS path, CASE WHEN o.path IS NULL THEN 'added' WHEN n.path IS NULL THEN 'removed' ELSE 'edited' END AS change FROM o FULL JOIN n ON o.path = n.path WHERE o.path IS NULL OR n.path IS NULL OR o.body IS DISTINCT FROM n.body""")
+def snapshot_changes(spark, sf_dir):
+    """Documents as files against an edited copy: trees of digests, compared from the top."""
+    from quarry.functions.scalars import content_hash
+    from quarry.operators import snapshots
+
+    d, number = read(spark, sf_dir, "documents"), F.col("doc_id").cast("string")
+    folder = F.concat_ws("/", "source", "lang", F.concat(F.lit("d"), (F.col("doc_id") % 10).cast("string")))
+    old = d.select(F.concat_ws("/", folder, number).alias("path"), content_hash(F.col("text")).alias("content_hash"))
+    moved = F.when(F.col("doc_id") % 103 == 0, F.concat(F.lit("new/"), number)).otherwise(number)
+    edited = F.when(F.col("doc_id") % 97 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    new = d.where("doc_id % 101 > 0").select(F.concat_ws("/", folder, moved).alias("path"), content_hash(edited).alias("content_hash"))
+    return snapshots.changes(snapshots.Tree(old), snapshots.Tree(new))[0]

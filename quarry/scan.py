@@ -10,6 +10,8 @@ from dataclasses import dataclass, field, fields
 from functools import reduce
 from pathlib import Path
 
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +48,7 @@ class Options:
     max_file_size: int = corpus.MAX_BYTES
     no_cache: bool = False
     no_ignore: bool = False
+    state: str | None = None
 
 
 @dataclass
@@ -193,9 +196,9 @@ def analyse(spark: SparkSession, files: DataFrame, rules: list[dict], opts: Opti
     counted = files.agg(F.count("*").alias("considered"), F.count_if(F.col("size") > opts.max_file_size).alias("skipped"), F.count_if(F.col("read_error").isNotNull()).alias("unread")).first()
     small = files.where((F.col("size") <= opts.max_file_size) & F.col("read_error").isNull())
     key = rulebook.rules_hash(rules)
-    cache, store = state.caches(opts.root)
-    old = None if opts.no_cache else cache.read(spark, key)
-    kept = None if opts.no_cache else store.read(spark, key)
+    cache, store = state.caches(spark, state.folder(opts.root, opts.state), key)
+    old = None if opts.no_cache else cache.read()
+    kept = None if opts.no_cache else store.read()
 
     # facts and what a file says by itself: from the store where content and rules are the same
     small = materialised(small.withColumn("key", state.summary_key(F.col("content_hash"), key)).select("path", "lang", "text", "content_hash", "key"))
@@ -235,15 +238,16 @@ def analyse(spark: SparkSession, files: DataFrame, rules: list[dict], opts: Opti
         raw = raw.unionByName(old.join(hits, "path", "left_semi").select(F.explode("rows").alias("r")).select("r.*").select(*found.columns))
     raw = materialised(raw)
     if not opts.no_cache:
+        # what this run looked at anew is a delta; what it didn't look at stays known, unless it looked at everything
         rows = raw.groupBy("path").agg(F.collect_list(F.struct(*raw.columns)).alias("rows"))
-        keyed = everything.select("path", "content_hash", "link_hash").join(rows, "path", "left").withColumn("rows", F.coalesce("rows", F.array().cast(rows.schema["rows"].dataType)))
+        keyed = everything.join(hits, "path", "left_anti").join(rows, "path", "left").withColumn("rows", F.coalesce("rows", F.array().cast(rows.schema["rows"].dataType)))
+        whole = not (opts.paths or opts.diff_base or opts.include or opts.exclude or opts.langs)
+        lost = lambda known: known.select("path").join(everything.select("path"), "path", "left_anti") if whole and known is not None else None
+        new = entries if kept is None else entries.join(kept.select("path", "key"), ["path", "key"], "left_anti")
         try:
-            # what this run didn't look at stays known
-            rest = None if old is None else old.join(everything.select("path"), "path", "left_anti")
-            cache.write(keyed if rest is None else keyed.unionByName(rest), key)
-            rest = None if kept is None else kept.join(everything.select("path"), "path", "left_anti")
-            store.write(entries if rest is None else entries.unionByName(rest), key)
-        except OSError as e:
+            cache.write(keyed, lost(old))
+            store.write(new, lost(kept))
+        except (OSError, Py4JError, PySparkException) as e:
             warnings = [*warnings, f"what was found couldn't be kept: {e}"]
     out = completed(raw, rulebook.table(spark, rules))
     if opts.only_rules:

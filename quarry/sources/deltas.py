@@ -8,6 +8,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .hadoop import Folder
 
@@ -48,7 +49,7 @@ class DeltaLog:
         entries = self.entries() if entries is None else entries
         if not entries:
             return None
-        part = lambda e: self.spark.read.parquet(f"{self.folder.path}/{e['folder']}").withColumn("_n", F.lit(e["number"]))
+        part = lambda e: self.spark.read.schema(StructType.fromJson(e["schema"])).parquet(f"{self.folder.path}/{e['folder']}").withColumn("_n", F.lit(e["number"]))
         whole, deltas = part(entries[0]), [part(e) for e in entries[1:]]
         if deltas:
             new = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), deltas)
@@ -80,14 +81,17 @@ class DeltaLog:
         """Writes a folder and an entry that names it; a whole only if nothing came after what it holds."""
         folder = f"data/{uuid.uuid4().hex}"
         rows.write.partitionBy("_part").parquet(f"{self.folder.path}/{folder}")
-        size = self.folder.size(folder)[1]
+        size = self.folder.size(folder)[1] if any(n.startswith("_part=") for n in self.folder.names(folder)) else 0
+        if not size and not whole:  # nothing changed
+            self.folder.delete(folder)
+            return 0
         while True:
             names = [n for n in self.folder.names("log") if n.endswith(".json")]
             last = int(names[-1].split(".")[0]) if names else 0
             if seen is not None and last != seen:
                 self.folder.delete(folder)
                 return 0
-            if self.folder.create(f"log/{last + 1:010d}.json", json.dumps({"kind": self.kind, "whole": whole, "folder": folder, "bytes": size})):
+            if self.folder.create(f"log/{last + 1:010d}.json", json.dumps({"kind": self.kind, "whole": whole, "folder": folder, "bytes": size, "schema": rows.schema.jsonValue()})):
                 return size
 
     def _forget(self) -> None:

@@ -15,6 +15,8 @@ class Folder:
         self.spark, self.path = spark, path.rstrip("/")
         self._jvm, self._conf = spark._jvm, spark._jsc.hadoopConfiguration()
         self._fs = self._at("").getFileSystem(self._conf)
+        if self._fs.getScheme() == "file":
+            self._fs = self._fs.getRawFileSystem()  # no checksum files beside what others may edit
 
     def _at(self, name: str):
         return self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
@@ -63,21 +65,22 @@ class Folder:
         finally:
             reader.close()
 
-    def joined(self, name: str, head: str, source: Folder, parts: list[str], skip: int, tail: str) -> None:
-        """One file of a head, the files of another folder (without the first's first bytes) and a tail, copied as streams."""
+    def joined(self, name: str, pieces: list, source: Folder) -> None:
+        """One file of texts and of files of another folder (name, bytes to skip), copied in order as streams."""
         other, at = self._at(f".{name}.{uuid.uuid4().hex}.tmp"), self._at(name)
         self._fs.mkdirs(at.getParent())
         out = self._fs.create(other, True)
         try:
-            out.write(bytearray(head.encode("utf-8")))
-            for k, part in enumerate(parts):
-                stream = source._fs.open(source._at(part))
+            for piece in pieces:
+                if isinstance(piece, str):
+                    out.write(bytearray(piece.encode("utf-8")))
+                    continue
+                stream = source._fs.open(source._at(piece[0]))
                 try:
-                    stream.seek(skip if k == 0 else 0)
+                    stream.seek(piece[1])
                     self._jvm.org.apache.hadoop.io.IOUtils.copyBytes(stream, out, 1 << 20, False)
                 finally:
                     stream.close()
-            out.write(bytearray(tail.encode("utf-8")))
         finally:
             out.close()
         self._moved(other, at, replace=True)

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-import hashlib
-import json
 import os
-import shutil
+import re
 from datetime import UTC, datetime
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.operators.documents import Document, Section
+from quarry.sources.deltas import DeltaLog
+from quarry.sources.hadoop import Folder
+from quarry.sources.store import materialised
+
 FOLDER = ".quarry"
 SCHEMA = 1
 
@@ -25,81 +28,87 @@ def now() -> str:
     return datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
 
 
-def replaced(path: Path, text: str) -> None:
-    """Writes a file whole or not at all."""
-    path.parent.mkdir(parents=True, exist_ok=True)
-    other = path.with_name(f"{path.name}.{os.getpid()}.tmp")
-    other.write_text(text, encoding="utf-8")
-    os.replace(other, path)
-
-
 def summary_key(content_hash, rules_hash: str):
     """Where a file's summaries are kept: by its content, the rules and the form of summaries."""
     return F.sha2(F.concat_ws("\x1f", content_hash, F.lit(rules_hash), F.lit(str(SCHEMA))), 256)
 
 
-class Table:
-    """A Parquet table that one scan replaces as a whole: a new folder, then a pointer to it. What can't be read is as if it were
-    not there."""
+def folder(root: str, state: str | None = None) -> str:
+    """Where a scan of root keeps what it knows: a path that driver and executors share; beside the files unless one is named."""
+    return state or f"{root.rstrip('/')}/{FOLDER}"
 
-    def __init__(self, root: str | Path, name: str):
-        self.folder, self.pointer = Path(root) / FOLDER / name, Path(root) / FOLDER / f"{name}.json"
 
-    def read(self, spark: SparkSession, rules_hash: str) -> DataFrame | None:
-        try:
-            known = json.loads(self.pointer.read_text(encoding="utf-8"))
-            if known["rules_hash"] != rules_hash or known["schema"] != SCHEMA or not (self.folder / known["folder"]).is_dir():
-                return None
-            return spark.read.parquet(str(self.folder / known["folder"]))
-        except (OSError, ValueError, KeyError):
-            return None
+def caches(spark: SparkSession, where: str, rules_hash: str = "") -> tuple[DeltaLog, DeltaLog]:
+    """Findings and summaries by path: logs of deltas, as if empty under other rules."""
+    where = where if re.match(r"[a-z][a-z0-9+.-]*:", where) else "file://" + os.path.abspath(where)
+    kind = f"{SCHEMA}:{rules_hash}"
+    return DeltaLog(spark, f"{where}/cache", ["path"], kind), DeltaLog(spark, f"{where}/summaries", ["path"], kind)
 
-    def write(self, df: DataFrame, rules_hash: str) -> None:
-        name = hashlib.sha256(f"{now()}{os.getpid()}{os.urandom(8).hex()}".encode()).hexdigest()[:16]
-        df.write.parquet(str(self.folder / name))
-        old = [d for d in self.folder.iterdir() if d.is_dir() and d.name != name]
-        replaced(self.pointer, json.dumps({"rules_hash": rules_hash, "schema": SCHEMA, "folder": name, "written": now()}))
-        for d in old:
-            shutil.rmtree(d, ignore_errors=True)
 
-    def clear(self) -> bool:
-        """Whether there was anything."""
-        there = self.folder.exists() or self.pointer.exists()
-        shutil.rmtree(self.folder, ignore_errors=True)
-        self.pointer.unlink(missing_ok=True)
-        return there
+def clear_caches(root: str, state: str | None = None) -> bool:
+    """Whether there was anything."""
+    return any([log.clear() for log in caches(SparkSession.active(), folder(root, state))])
 
-    def info(self) -> dict:
-        files = [f for f in self.folder.rglob("*.parquet")] if self.folder.exists() else []
-        return {"files": len(files), "bytes": sum(f.stat().st_size for f in files)}
 
+def info(root: str, state: str | None = None) -> dict:
+    return {name: dict(zip(("files", "bytes"), log.folder.size("data"))) for name, log in zip(("cache", "summaries"), caches(SparkSession.active(), folder(root, state)))}
 
-def caches(root: str | Path) -> tuple[Table, Table]:
-    return Table(root, "cache"), Table(root, "summaries")
 
+# -- baselines -------------------------------------------------------------------------------------------------------------------
+BASELINE = "schema int, updated string, fingerprints array<string>"
+HEAD = re.compile(r'\{"schema": \d+, "updated": "([^"]*)", "fingerprints": \[')
 
-def clear_caches(root: str | Path) -> bool:
-    return any([t.clear() for t in caches(root)])
 
+def _located(path: str | Path) -> tuple[str, str]:
+    path = str(path)
+    full = path if re.match(r"[a-z][a-z0-9+.-]*:", path) else "file://" + os.path.abspath(path)
+    where, name = full.rsplit("/", 1)
+    return where, name
 
-def read_baseline(path: str | Path) -> dict:
-    """A baseline's document. One that is missing or spoilt is an error: a gate must not pass by accident."""
+
+def _head(spark: SparkSession, path: str | Path) -> str | None:
+    """The first line of a baseline that was written here; None for other documents. One that is missing is an error."""
+    where, name = _located(path)
     try:
-        doc = json.loads(Path(path).read_text(encoding="utf-8"))
-        if not isinstance(doc["fingerprints"], list):
-            raise ValueError("no fingerprints")
-        return doc
-    except (OSError, ValueError, KeyError, TypeError) as e:
-        raise StateError(f"baseline {path}: {e}") from e
+        first = next(Folder(spark, where).lines(name), "")
+    except Exception as e:
+        raise StateError(f"baseline {path}: {type(e).__name__}") from e
+    return first if HEAD.fullmatch(first) else None
 
 
-def write_baseline(path: str | Path, findings: DataFrame) -> int:
-    """Keeps the distinct fingerprints, sorted. They come to the driver one by one, as the file is one document."""
-    prints = [r[0] for r in findings.select("fingerprint").distinct().orderBy("fingerprint").toLocalIterator()]
-    replaced(Path(path), json.dumps({"schema": SCHEMA, "updated": now(), "fingerprints": prints}, indent=1) + "\n")
-    return len(prints)
+def baseline_table(spark: SparkSession, path: str | Path) -> DataFrame:
+    """fingerprint, of a baseline's document. What this module wrote has one on a line and is read by lines, in as many tasks as it
+    has splits; any other JSON by Spark's reader. One that is missing or spoilt is an error: a gate must not pass by accident."""
+    where, name = _located(path)
+    if _head(spark, path) is not None:
+        lines = spark.read.text(f"{where}/{name}")
+        if lines.where("value = ']}'").isEmpty():
+            raise StateError(f"baseline {path}: no end")
+        return lines.select(F.regexp_extract("value", r'^,?"([^"]+)"$', 1).alias("fingerprint")).where("fingerprint <> ''")
+    try:
+        doc = spark.read.schema(BASELINE).option("multiLine", True).option("mode", "FAILFAST").json(f"{where}/{name}")
+        if doc.where("fingerprints IS NOT NULL").isEmpty():
+            raise StateError(f"baseline {path}: no fingerprints")
+    except StateError:
+        raise
+    except Exception as e:
+        raise StateError(f"baseline {path}: {type(e).__name__}") from e
+    return doc.select(F.explode("fingerprints").alias("fingerprint"))
 
 
-def baseline_table(spark: SparkSession, path: str | Path) -> DataFrame:
-    prints = read_baseline(path)["fingerprints"]
-    return spark.createDataFrame([(p,) for p in prints], "fingerprint string")
+def baseline_info(spark: SparkSession, path: str | Path) -> dict:
+    head = _head(spark, path)
+    count = baseline_table(spark, path).count()
+    if head is not None:
+        return {"fingerprints": count, "updated": HEAD.fullmatch(head)[1]}
+    where, name = _located(path)
+    return {"fingerprints": count, "updated": spark.read.schema(BASELINE).option("multiLine", True).json(f"{where}/{name}").first()["updated"]}
+
+
+def write_baseline(path: str | Path, findings: DataFrame) -> int:
+    """Keeps the distinct fingerprints, sorted, one on a line of a JSON document; executors write the lines."""
+    prints = materialised(findings.select("fingerprint").distinct())
+    head = f'{{"schema": {SCHEMA}, "updated": "{now()}", "fingerprints": ['
+    rows = prints.select(F.concat(F.lit('"'), "fingerprint", F.lit('"')).alias("line"), "fingerprint")
+    Document([Section(head, rows, ["fingerprint"], ",")], "]}").write(str(path))
+    return prints.count()
