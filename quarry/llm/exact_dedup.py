@@ -95,14 +95,17 @@ def exact_dedup(docs: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def without_copies(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """The rows of docs, all columns, that exact_dedup() keeps; of repeated rows one."""
+    """The rows of docs, all columns whatever they are named, that exact_dedup() keeps; of repeated rows one."""
+    key = "k_text"
+    while key in docs.columns:
+        key += "_"
     found = stored(exact_dedup(docs, block))
     kept = found.where("kept").select(F.col("doc_id").alias("k_id"), F.col("text_sha256").alias("k_sha"))
-    keyed = docs.withColumn("k_text", F.sha2(normalised(text_of(docs)), 256))
-    out = keyed.join(kept, keyed["doc_id"].eqNullSafe(kept["k_id"]) & (keyed["k_text"] == kept["k_sha"]), "left_semi")
+    keyed = docs.withColumn(key, F.sha2(normalised(text_of(docs)), 256))
+    out = keyed.join(kept, keyed["doc_id"].eqNullSafe(kept["k_id"]) & (keyed[key] == kept["k_sha"]), "left_semi")
     if not found.where(~F.col("kept") & F.col("doc_id").eqNullSafe(F.col("keep_id"))).isEmpty():
-        out = out.dropDuplicates(["doc_id", "k_text"])
-    return out.drop("k_text")
+        out = out.dropDuplicates(["doc_id", key])
+    return out.drop(key)
 
 
 ORACLE = r"""
