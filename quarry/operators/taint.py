@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from quarry.sources import facts
 from quarry.sources.facts import LANGUAGES
-from quarry.sources.store import materialised
+from quarry.sources.store import bucketed, materialised
 
 from . import flow, intervals
 from .rulebook import column, taken
@@ -29,6 +29,11 @@ EVER = 2**62
 
 
 # -- assignments ---------------------------------------------------------------------------------------------------------------
+def place() -> Column:
+    """path, scope, base and _k (key, longer) as one text that no others have."""
+    return F.to_json(F.array(F.col("path").cast("string"), F.col("scope").cast("string"), F.col("base"), F.col("_k.longer").cast("string"), F.to_json("_k.key")))
+
+
 def seen_at(reads: DataFrame, around: DataFrame) -> DataFrame:
     """reads (path, read, scope, base, fields, at) under all keys that equality finds their cells by: in their own scope what is
     written before them, in those around it (path, child, ancestor) all; fields that begin theirs, or that theirs begin."""
@@ -36,13 +41,13 @@ def seen_at(reads: DataFrame, around: DataFrame) -> DataFrame:
     all_ = reads.select("path", "read", "scope", "base", "fields", F.col("at").cast("long").alias("before")).unionByName(up)
     begins = F.transform(F.sequence(F.lit(0), F.size("fields")), lambda n: F.struct(F.slice("fields", F.lit(1), n).alias("key"), F.lit(False).alias("longer")))
     keys = F.concat(begins, F.array(F.struct(F.col("fields").alias("key"), F.lit(True).alias("longer"))))
-    return all_.withColumn("_k", F.explode(keys)).select("path", "read", "scope", "base", "before", "_k.key", "_k.longer")
+    return all_.withColumn("_k", F.explode(keys)).select(place().alias("place"), "path", "read", "before")
 
 
 def keyed(cells: DataFrame) -> DataFrame:
     """cells under the keys that seen_at gives reads: their fields, and, as `longer`, what begins them."""
     shorter = F.transform(F.sequence(F.lit(0), F.size("fields")), lambda n: F.struct(F.slice("fields", F.lit(1), n).alias("key"), (n < F.size("fields")).alias("longer")))
-    return cells.withColumn("_k", F.explode(shorter)).select("path", "rule", "scope", "base", "origin", "at", "_k.key", "_k.longer")
+    return cells.withColumn("_k", F.explode(shorter)).select(place().alias("place"), "rule", "origin", "at")
 
 
 class Spread:
@@ -53,7 +58,7 @@ class Spread:
     """
 
     def __init__(self, reads: DataFrame, assigns: DataFrame, around: DataFrame, cleaned: DataFrame | None = None):
-        self.keys, self.assigns, self.cleaned = materialised(seen_at(reads, around)), materialised(assigns.distinct()), cleaned
+        self.keys, self.assigns, self.cleaned = bucketed(seen_at(reads, around), "place"), bucketed(assigns.distinct(), "path", "read"), cleaned
         self.cells: list[DataFrame] = []
         self.seen: list[DataFrame] = []
 
@@ -72,7 +77,7 @@ class Spread:
     def grow(self, put: DataFrame, passes: int = PASSES) -> Spread:
         """Puts cells in (path, rule, scope, base, fields, origin, at) and follows them until nothing is new, `passes` at most. A cell
         is new where it lacks the origin or has it from a later write; a read where it lacks the origin. Deltas are tables of their
-        own, so what is written follows what is new."""
+        own, so what is written follows what is new; reads and assignments lie in buckets, so what is shuffled does too."""
         for _ in range(passes):
             put = put.groupBy(*CELL, "origin").agg(F.min(F.col("at").cast("long")).alias("at"))
             if self.cells:
@@ -80,7 +85,7 @@ class Spread:
                 put = put.join(old, [*CELL, "origin"], "left").where(F.col("was").isNull() | (F.col("at") < F.col("was"))).drop("was")
             put = materialised(put)
             self.cells.append(put)
-            met = keyed(put).join(self.keys, ["path", "scope", "base", "key", "longer"]).where(F.col("at") < F.col("before")).select("path", "rule", "read", "origin").distinct()
+            met = keyed(put).join(self.keys, "place").where(F.col("at") < F.col("before")).select("path", "rule", "read", "origin").distinct()
             if self.cleaned is not None:
                 met = met.join(self.cleaned, ["path", "rule", "read"], "left_anti")
             if self.seen:
