@@ -12,7 +12,7 @@ import hashlib
 import json
 import re
 from collections.abc import Iterable
-from functools import reduce
+from functools import lru_cache, reduce
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -154,6 +154,11 @@ def taken(part: dict) -> tuple[str, int]:
     return m[1], int(m[2] or 0)
 
 
+@lru_cache
+def _compiled(test: str) -> re.Pattern:
+    return re.compile(_pattern(test))
+
+
 # -- tests of a fact, as columns and as plain values -------------------------------------------------------------------------
 def column(part: dict, f) -> Column:
     """Whether a fact (a struct column, or a function from name to column) passes a part."""
@@ -196,7 +201,7 @@ def holds(part: dict, f: dict) -> bool:
     """As column(), for a fact as a dict."""
     if f["fact"] != part.get("fact", "call"):
         return False
-    one = lambda test, x: x is not None and (re.search(_pattern(test), x) is not None if isinstance(test, str) else x in test)
+    one = lambda test, x: x is not None and (_compiled(test).search(x) is not None if isinstance(test, str) else x in test)
     if any(k in part and not one(part[k], f[k]) for k in TESTS) or len(f["args"]) < part.get("args", 0):
         return False
     spans = [(part["value"], f["value"])] if "value" in part else []

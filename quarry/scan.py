@@ -204,7 +204,7 @@ def analyse(spark: SparkSession, files: DataFrame, rules: list[dict], opts: Opti
     small = materialised(small.withColumn("key", state.summary_key(F.col("content_hash"), key)).select("path", "lang", "text", "content_hash", "key"))
     fresh = small if kept is None else small.join(kept.select("path", "key"), ["path", "key"], "left_anti")
     # parsed and solved in one pass; what goes along isn't joined again
-    own = dataflow.solved(facts.with_facts(fresh, ("content_hash", "key")), rules, ("content_hash", "key", "facts"))
+    own = dataflow.solved(fresh, rules, ("content_hash", "key"))
     entries = own.select("path", "lang", "content_hash", "key", "facts", "found", "summaries")
     reused = 0
     if kept is not None:
